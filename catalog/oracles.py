@@ -93,7 +93,7 @@ seq AS (
 
 FACTS = """
 named AS (
-  SELECT case_id, variant FROM norm WHERE variant <> '' GROUP BY ALL
+  SELECT case_id, variant FROM norm WHERE variant <> '' GROUP BY case_id, variant
   QUALIFY row_number() OVER (
     PARTITION BY case_id ORDER BY count(*) DESC, max(ts) DESC, variant) = 1),
 swaps AS (
@@ -331,7 +331,7 @@ ORACLES["append_new_events"] = ORACLES["dedupe_events"]
 ORACLES["replace_load"] = ORACLES["dedupe_events"] + " WHERE ts >= TIMESTAMP '1998-07-01'"
 ORACLES["incremental_ingest"] = _with(
     RAW,
-    f"""SELECT DISTINCT {HASH} AS event_key, * REPLACE ({CSAT}) EXCLUDE (number) FROM complete""",
+    f"""SELECT DISTINCT {HASH} AS event_key, * EXCLUDE (number) REPLACE ({CSAT}) FROM complete""",
     """
 complete AS (
   SELECT * FROM raw

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from ticketloom.functions.keys import event_key
 from ticketloom.schema import EVENT_COLUMNS, EVENT_SCHEMA, TARGET_COLUMNS
 
-DAY = "event_date"
+MONTH = "event_month"
 TOP_EVENTS = 5
 
 
@@ -45,18 +46,22 @@ def unseen_events(batch: DataFrame, stored_events: DataFrame) -> DataFrame:
     return dedupe_events(batch).join(seen, "event_key", "left_anti").select(*EVENT_COLUMNS)
 
 
+def _month(ts: Column) -> Column:
+    return F.trunc(ts, "month")
+
+
 class EventStore:
-    """A Parquet event log in one folder, partitioned by the UTC day of the event."""
+    """A Parquet event log in one folder, partitioned by the UTC month of the event."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path
 
     def read(self) -> DataFrame:
-        return self._days().select(*EVENT_COLUMNS)
+        return self._months().select(*EVENT_COLUMNS)
 
-    def _days(self) -> DataFrame:
-        schema = EVENT_SCHEMA.add(DAY, "date") if DAY not in EVENT_SCHEMA.names else EVENT_SCHEMA
+    def _months(self) -> DataFrame:
+        schema = StructType([*EVENT_SCHEMA.fields, StructField(MONTH, DateType())])
         try:
             return self.spark.read.schema(schema).parquet(self.path)
         except AnalysisException:
@@ -65,13 +70,14 @@ class EventStore:
     def append_new(self, batch: DataFrame) -> None:
         """Append the unseen events of a keyed batch; a repeated load appends nothing.
 
-        The key covers the timestamp, so only the stored days that the batch touches can hold a
-        copy. The range of days, two values, limits the part of the store that is scanned.
+        The key covers the timestamp, so only the stored months that the batch touches can hold a
+        copy. The first and the last of them limit the part of the store that is scanned.
         """
-        days = batch.agg(F.min(F.to_date("ts")).alias("first"), F.max(F.to_date("ts")).alias("last")).first()
-        if days["first"] is None:
+        month = _month(F.col("ts"))
+        first, last = batch.agg(F.min(month), F.max(month)).first()
+        if first is None:
             return
-        touched = self._days().filter(F.col(DAY).between(days["first"], days["last"]))
+        touched = self._months().filter(F.col(MONTH).between(first, last))
         self._write(unseen_events(batch, touched), "append")
 
     def replace(self, batch: DataFrame) -> None:
@@ -79,11 +85,11 @@ class EventStore:
         self._write(dedupe_events(batch), "overwrite")
 
     def _write(self, events: DataFrame, mode: str) -> None:
-        # rebalance writes few files per day and still splits a day that holds much of the log
+        # rebalance writes few files per month and still splits a month that holds much of the log
         (
-            events.select(*EVENT_COLUMNS, F.to_date("ts").alias(DAY))
-            .hint("rebalance", DAY)
-            .write.partitionBy(DAY)
+            events.select(*EVENT_COLUMNS, _month(F.col("ts")).alias(MONTH))
+            .hint("rebalance", MONTH)
+            .write.partitionBy(MONTH)
             .mode(mode)
             .parquet(self.path)
         )
