@@ -141,14 +141,15 @@ def plain_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def portable(df: DataFrame) -> DataFrame:
     """Plain types for comparison: 64-bit integers, doubles with six decimals, zone-free times."""
 
-    def plain(field: T.StructField) -> Column:
-        c = F.col(f"`{field.name}`")
+    def plain(field: T.StructField) -> str:
+        name = f"`{field.name}`"
+        sql = name
         if isinstance(field.dataType, (T.DoubleType, T.DecimalType)):
-            c = F.round(c.cast("double"), 6)
+            sql = f"round(double({name}), 6)"
         elif isinstance(field.dataType, T.IntegerType):
-            c = c.cast("bigint")
+            sql = f"bigint({name})"
         elif isinstance(field.dataType, T.TimestampType):
-            c = c.cast("timestamp_ntz")
-        return c.alias(field.name)
+            sql = f"CAST({name} AS timestamp_ntz)"
+        return f"{sql} AS {name}"
 
-    return df.select(*[plain(f) for f in df.schema.fields])
+    return df.selectExpr(*[plain(f) for f in df.schema.fields])

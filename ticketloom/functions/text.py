@@ -20,10 +20,6 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(stripped(c), F.lit(""))
 
 
-def has_text(c: Column) -> Column:
-    return c.isNotNull() & (c != "")
-
-
 def plain_words(c: Column) -> Column:
     """Lower-case words of a free text, one space apart; NULL when no letter is left.
 

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 MICROS_PER_HOUR = 3.6e9
 
-_TIME = "[ H:mm[:ss[.SSSSSS]]][ ][XXX]"
-_CLOCK = " h:mm[:ss] a"
+# Any of: no time, a time with AM or PM, a time of 24 hours; then an optional offset.
+_TIME = "[ h:mm[:ss] a][ H:mm[:ss[.SSSSSS]]][ ][XXX]"
 
 
 def hours_between(start: Column, end: Column) -> Column:
@@ -23,13 +23,10 @@ def parse_timestamp(c: Column, iso_day_first: bool = False) -> Column:
     numeric = F.regexp_replace(text, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})[T ]*", "$1/$2/$3 ")
     numeric = F.rtrim(numeric)
     iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text)
-    day_first = [f"d/M/yyyy{_TIME}", f"d/M/yyyy{_CLOCK}"]
-    month_first = [f"M/d/yyyy{_TIME}", f"M/d/yyyy{_CLOCK}"]
-
-    tries = [F.try_to_timestamp(numeric, F.lit(p)) for p in day_first]
+    tries = [F.try_to_timestamp(numeric, F.lit(f"d/M/yyyy{_TIME}"))]
     if iso_day_first:
         spaced = F.regexp_replace(iso, "T", " ")
         tries.append(F.try_to_timestamp(spaced, F.lit(f"yyyy-d-M{_TIME}")))
     tries.append(iso.try_cast("timestamp"))
-    tries += [F.try_to_timestamp(numeric, F.lit(p)) for p in month_first]
+    tries.append(F.try_to_timestamp(numeric, F.lit(f"M/d/yyyy{_TIME}")))
     return F.coalesce(*tries)

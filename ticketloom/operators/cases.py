@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketloom.functions.text import has_text, plain_words
+from ticketloom.functions.text import plain_words
 from ticketloom.functions.times import hours_between
 from ticketloom.reference import (
     CLOSED,
@@ -21,59 +21,46 @@ from ticketloom.reference import (
 FIRST_VALUE_COLUMNS = ["priority", "issue_type", "report_channel"]
 
 
-def _code_is(*codes: str) -> Column:
-    return F.col("event_code").isin(list(codes))
-
-
-def _log_position() -> Column:
-    return F.struct("ts", "event_key")
-
-
-def _first_value(name: str) -> Column:
-    """First non-blank value in log order; rows without an ordering value are left out."""
-    return F.min_by(name, F.when(has_text(F.col(name)), _log_position())).alias(name)
-
-
-def _variant_rank(copies: Column, last_seen: Column) -> Column:
+def _listed(*codes: str) -> str:
+    return f"event_code IN ({', '.join(repr(c) for c in codes)})"
+
+
+_LOG_POSITION = "struct(ts, event_key)"
+_IS_LEVEL_SWAP = "event_level <> next_event_level AND least(event_level, next_event_level) = 'L2'"
+
+# Facts whose partial results combine, so that they can be pre-aggregated before a shuffle.
+MERGEABLE_FACTS = {
+    "created_at": f"coalesce(min(ts) FILTER (WHERE {_listed(CREATED)}), min(ts))",
+    "closed_at": f"max(ts) FILTER (WHERE {_listed(CLOSED)})",
+    "event_count": "count(1)",
+    "escalation_count": f"count_if({_listed(*MOVED_TO_L2, *MOVED_TO_L3)})",
+    "has_feedback": f"bool_or({_listed(FEEDBACK)})",
+    "has_reopen": f"bool_or({_listed(REOPENED)})",
+    "has_reject": f"bool_or({_listed(REJECTED)})",
+    "customer_satisfaction": "max(customer_satisfaction)",
+    "short_description_raw": "max(short_description)",
+    **{f"solved_{level.lower()}": f"bool_or({_listed(code)})" for level, code in SOLVED.items()},
+    "escalated_to_l2": f"bool_or({_listed(*MOVED_TO_L2)})",
+    "escalated_to_l3": f"bool_or({_listed(*MOVED_TO_L3)})",
+    # first non-blank value in log order
+    **{c: f"min_by({c}, {_LOG_POSITION}) FILTER (WHERE {c} <> '')" for c in FIRST_VALUE_COLUMNS},
+}
+
+# Facts that compare an event with the last close of its case.
+AFTER_CLOSE_FACTS = {
+    "first_reopen_after_close": f"min(ts) FILTER (WHERE {_listed(REOPENED)} AND ts > last_close)",
+    "last_solve": f"""max_by(event_code, {_LOG_POSITION})
+        FILTER (WHERE {_listed(*SOLVED.values())} AND ts <= last_close)""",
+}
+
+
+def _variant_rank(copies: str, last_seen: str) -> str:
     """Smallest for the most frequent variant, then the latest seen, then the first by name."""
-    return F.when(
-        has_text(F.col("variant")), F.struct((-copies).alias("c"), (-last_seen).alias("t"), "variant")
-    )
+    return f"CASE WHEN variant <> '' THEN struct(-{copies} AS c, -{last_seen} AS t, variant) END"
 
 
-def _is_level_swap() -> Column:
-    here, there = F.col("event_level"), F.col("next_event_level")
-    upper = ["L2", "L3"]
-    return here.isin(upper) & there.isin(upper) & (here != there)
-
-
-def _mergeable_facts() -> list[Column]:
-    """Facts whose partial results combine, so that they can be pre-aggregated before a shuffle."""
-    return [
-        F.coalesce(F.min(F.when(_code_is(CREATED), F.col("ts"))), F.min("ts")).alias("created_at"),
-        F.max(F.when(_code_is(CLOSED), F.col("ts"))).alias("closed_at"),
-        F.count(F.lit(1)).alias("event_count"),
-        F.count_if(_code_is(*MOVED_TO_L2, *MOVED_TO_L3)).alias("escalation_count"),
-        F.bool_or(_code_is(FEEDBACK)).alias("has_feedback"),
-        F.bool_or(_code_is(REOPENED)).alias("has_reopen"),
-        F.bool_or(_code_is(REJECTED)).alias("has_reject"),
-        F.max("customer_satisfaction").alias("customer_satisfaction"),
-        F.max("short_description").alias("short_description_raw"),
-        *[F.bool_or(_code_is(code)).alias(f"solved_{lvl.lower()}") for lvl, code in SOLVED.items()],
-        F.bool_or(_code_is(*MOVED_TO_L2)).alias("escalated_to_l2"),
-        F.bool_or(_code_is(*MOVED_TO_L3)).alias("escalated_to_l3"),
-        *[_first_value(c) for c in FIRST_VALUE_COLUMNS],
-    ]
-
-
-def _after_close_facts(closed_at: Column) -> list[Column]:
-    """Facts that compare an event with the last close of its case."""
-    reopened_later = _code_is(REOPENED) & (F.col("ts") > closed_at)
-    solved_before = _code_is(*SOLVED.values()) & (F.col("ts") <= closed_at)
-    return [
-        F.min(F.when(reopened_later, F.col("ts"))).alias("first_reopen_after_close"),
-        F.max_by("event_code", F.when(solved_before, _log_position())).alias("last_solve"),
-    ]
+def _aggregates(facts: dict[str, str]) -> list[Column]:
+    return [F.expr(sql).alias(name) for name, sql in facts.items()]
 
 
 def case_facts(normalized: DataFrame) -> DataFrame:
@@ -84,31 +71,21 @@ def case_facts(normalized: DataFrame) -> DataFrame:
     that reads some of the facts computes only those; Catalyst prunes the other windows and
     aggregates.
     """
-    in_case = Window.partitionBy("case_id")
-    in_order = in_case.orderBy("ts", "event_key")
-    in_variant = Window.partitionBy("case_id", "variant")
-    rows = normalized.withColumns(
-        {
-            "last_close": F.max(F.when(_code_is(CLOSED), F.col("ts"))).over(in_case),
-            "next_event_level": F.lead("event_level").over(in_order),
-            "variant_rank": _variant_rank(
-                F.count(F.lit(1)).over(in_variant), F.max(F.unix_micros("ts")).over(in_variant)
-            ),
-        }
-    )
-    return (
-        rows.groupBy("case_id")
-        .agg(
-            *_mergeable_facts(),
-            *_after_close_facts(F.col("last_close")),
-            F.size(F.collect_set(F.when(has_text(F.col("resolver")), F.col("resolver"))))
-            .cast("bigint")
-            .alias("distinct_resolvers"),
-            F.min("variant_rank").getField("variant").alias("variant"),
-            F.count_if(_is_level_swap()).alias("pingpong_transitions"),
-        )
-        .select("case_id", *FACT_COLUMNS)
+    in_variant = "OVER (PARTITION BY case_id, variant)"
+    rows = normalized.selectExpr(
+        "*",
+        f"max(CASE WHEN {_listed(CLOSED)} THEN ts END) OVER (PARTITION BY case_id) AS last_close",
+        "lead(event_level) OVER (PARTITION BY case_id ORDER BY ts, event_key) AS next_event_level",
+        _variant_rank(f"count(1) {in_variant}", f"unix_micros(max(ts) {in_variant})") + " AS variant_rank",
     )
+    in_case = {
+        **MERGEABLE_FACTS,
+        **AFTER_CLOSE_FACTS,
+        "distinct_resolvers": "bigint(size(collect_set(nullif(resolver, ''))))",
+        "variant": "min(variant_rank).variant",
+        "pingpong_transitions": f"count_if({_IS_LEVEL_SWAP})",
+    }
+    return rows.groupBy("case_id").agg(*_aggregates(in_case)).select("case_id", *FACT_COLUMNS)
 
 
 def large_case_facts(normalized: DataFrame, sequence: DataFrame) -> DataFrame:
@@ -117,29 +94,29 @@ def large_case_facts(normalized: DataFrame, sequence: DataFrame) -> DataFrame:
     Every step aggregates on the map side first, so a shuffle carries at most one row per task and
     case, resolver or variant. No task ever sees the events of a whole case.
     """
-    merged = normalized.groupBy("case_id").agg(*_mergeable_facts())
+    merged = normalized.groupBy("case_id").agg(*_aggregates(MERGEABLE_FACTS))
     resolvers = (
-        normalized.filter(has_text(F.col("resolver")))
+        normalized.filter("resolver <> ''")
         .groupBy("case_id")
         .agg(F.count_distinct("resolver").alias("distinct_resolvers"))
     )
     variants = (
-        normalized.filter(has_text(F.col("variant")))
+        normalized.filter("variant <> ''")
         .groupBy("case_id", "variant")
         .agg(F.count(F.lit(1)).alias("copies"), F.max(F.unix_micros("ts")).alias("last_seen"))
         .groupBy("case_id")
-        .agg(F.min(_variant_rank(F.col("copies"), F.col("last_seen"))).getField("variant").alias("variant"))
+        .agg(F.expr(f"min({_variant_rank('copies', 'last_seen')}).variant").alias("variant"))
     )
     # One row per large case: fewer than log rows / in-task rows, so it may always be broadcast.
     closes = F.broadcast(merged.select("case_id", F.col("closed_at").alias("last_close")))
     after_close = (
-        normalized.filter(_code_is(REOPENED, *SOLVED.values()))
+        normalized.filter(_listed(REOPENED, *SOLVED.values()))
         .join(closes, "case_id")
         .groupBy("case_id")
-        .agg(*_after_close_facts(F.col("last_close")))
+        .agg(*_aggregates(AFTER_CLOSE_FACTS))
     )
     swaps = (
-        sequence.filter(_is_level_swap())
+        sequence.filter(_IS_LEVEL_SWAP)
         .groupBy("case_id")
         .agg(F.count(F.lit(1)).alias("pingpong_transitions"))
     )
@@ -221,38 +198,29 @@ def variant_mode(facts: DataFrame) -> DataFrame:
 
 def closed_cases(facts: DataFrame, sla_policy: DataFrame) -> DataFrame:
     """Every closed case with all derived columns; the other case relations are projections of it."""
-    no_event_after = F.col("closed_at").isNotNull() & (F.col("closed_at") >= F.col("created_at"))
-    reopen_hours = hours_between(F.col("closed_at"), F.col("first_reopen_after_close"))
-    level = F.lit("Unknown")
-    for name, code in SOLVED.items():
-        level = F.when(F.col("last_solve") == code, name).otherwise(level)
-
+    level = " ".join(f"WHEN '{code}' THEN '{name}'" for name, code in SOLVED.items())
     flags = ["solved_l1", "solved_l2", "solved_l3", "escalated_to_l2", "escalated_to_l3"]
-    closed = facts.filter(no_event_after).withColumns(
-        {
-            "cycle_hours": hours_between(F.col("created_at"), F.col("closed_at")),
-            "resolver_changes": F.greatest(F.col("distinct_resolvers") - 1, F.lit(0)),
-            "closed_without_feedback": ~F.coalesce("has_feedback", F.lit(False)),
-            "reopen_after_close_hours": reopen_hours,
-            "reopened_within_3h": F.coalesce(reopen_hours <= 3, F.lit(False)),
-            "reopened_within_24h": F.coalesce(reopen_hours <= 24, F.lit(False)),
-            "short_description_norm": plain_words(F.col("short_description_raw")),
-            "reopened": F.coalesce("has_reopen", F.lit(False)),
-            "resolution_level": level,
-            **{c: F.coalesce(c, F.lit(False)) for c in flags},
-        }
-    )
-    first_contact = (
-        (F.col("resolution_level") == "L1")
-        & ~F.col("reopened")
-        & ~F.col("escalated_to_l2")
-        & ~F.col("escalated_to_l3")
+    kept = [c for c in facts.columns if c not in flags]
+    closed = facts.filter("closed_at >= created_at").select(
+        *kept,
+        hours_between(F.col("created_at"), F.col("closed_at")).alias("cycle_hours"),
+        hours_between(F.col("closed_at"), F.col("first_reopen_after_close")).alias(
+            "reopen_after_close_hours"
+        ),
+        plain_words(F.col("short_description_raw")).alias("short_description_norm"),
+        F.expr("greatest(distinct_resolvers - 1, 0)").alias("resolver_changes"),
+        F.expr("NOT coalesce(has_feedback, false)").alias("closed_without_feedback"),
+        F.expr("coalesce(has_reopen, false)").alias("reopened"),
+        F.expr(f"CASE last_solve {level} ELSE 'Unknown' END").alias("resolution_level"),
+        *[F.expr(f"coalesce({c}, false)").alias(c) for c in flags],
     )
-    return closed.join(sla_policy, "priority", "left").withColumns(
-        {
-            "met_sla": F.col("cycle_hours") <= F.col("target_hours").cast("double"),
-            "fcr": first_contact,
-        }
+    return closed.join(sla_policy, "priority", "left").selectExpr(
+        "*",
+        "coalesce(reopen_after_close_hours <= 3, false) AS reopened_within_3h",
+        "coalesce(reopen_after_close_hours <= 24, false) AS reopened_within_24h",
+        "cycle_hours <= double(target_hours) AS met_sla",
+        """resolution_level = 'L1' AND NOT reopened AND NOT escalated_to_l2
+            AND NOT escalated_to_l3 AS fcr""",
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketloom.functions.times import hours_between
@@ -15,32 +15,30 @@ from ticketloom.session import stored
 NEXT_COLUMNS = ["ts", "event", "raw_event_name", "event_code", "event_level"]
 
 
-def event_level(code: Column) -> Column:
-    level = F.lit(None).cast("string")
-    for name, codes in LEVEL_CODES.items():
-        level = F.when(code.isin(codes), name).otherwise(level)
-    return level
+_LEVEL = "CASE {} END".format(
+    " ".join(f"WHEN event_code IN ({', '.join(map(repr, codes))}) THEN '{name}'" for name, codes in LEVEL_CODES.items())
+)
 
 
 def event_normalized(events: DataFrame, event_alias: DataFrame) -> DataFrame:
     """Canonical code and support level per event; an unknown label is kept as it is."""
     alias = event_alias.withColumnRenamed("raw_event_name", "event")
-    return events.join(alias, "event", "left").select(
+    return events.join(alias, "event", "left").selectExpr(
         "event_key",
         "case_id",
         "variant",
         "priority",
         "reporter",
         "ts",
-        F.col("event").alias("raw_event_name"),
-        F.coalesce("event_code", "event").alias("event"),
+        "event AS raw_event_name",
+        "coalesce(event_code, event) AS event",
         "event_code",
         "issue_type",
         "resolver",
         "report_channel",
         "short_description",
         "customer_satisfaction",
-        event_level(F.col("event_code")).alias("event_level"),
+        f"{_LEVEL} AS event_level",
     )
 
 

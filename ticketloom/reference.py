@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.schema import ALIAS_SCHEMA, CATALOG_SCHEMA, SLA_SCHEMA
+from ticketloom.schema import ALIAS_COLUMNS, CATALOG_COLUMNS, SLA_COLUMNS
 
 # Hours allowed per priority.
 SLA_POLICY = [
@@ -92,10 +92,11 @@ class ReferenceData:
 
     @classmethod
     def defaults(cls, spark: SparkSession) -> "ReferenceData":
+        """The fixed values above, as constants of the plan rather than data sent from Python."""
         return cls(
-            F.broadcast(spark.createDataFrame(SLA_POLICY, SLA_SCHEMA)),
-            F.broadcast(spark.createDataFrame(EVENT_CATALOG, CATALOG_SCHEMA)),
-            F.broadcast(spark.createDataFrame(EVENT_ALIASES, ALIAS_SCHEMA)),
+            F.broadcast(_constant(spark, SLA_POLICY, SLA_COLUMNS)),
+            F.broadcast(_constant(spark, EVENT_CATALOG, CATALOG_COLUMNS)),
+            F.broadcast(_constant(spark, EVENT_ALIASES, ALIAS_COLUMNS)),
         )
 
     def replaced(self, **dims: DataFrame) -> "ReferenceData":
@@ -109,6 +110,11 @@ class ReferenceData:
         return ReferenceData(**current)
 
 
+def _constant(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    values = ", ".join(repr(row) for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
+
+
 def _broadcast_if_small(dim: DataFrame) -> DataFrame:
     known = dim.limit(BROADCAST_DIM_ROWS + 1).count()
     return F.broadcast(dim) if known <= BROADCAST_DIM_ROWS else dim

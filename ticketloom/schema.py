@@ -32,6 +32,6 @@ LOG_SCHEMA = T.StructType([T.StructField(c, _column_type(c)) for c in TARGET_COL
 EVENT_SCHEMA = T.StructType([T.StructField("event_key", T.StringType()), *LOG_SCHEMA.fields])
 EVENT_COLUMNS = EVENT_SCHEMA.fieldNames()
 
-SLA_SCHEMA = "priority string, target_hours int"
-CATALOG_SCHEMA = "event_name string, description string, stakeholder_owner string"
-ALIAS_SCHEMA = "raw_event_name string, event_code string"
+SLA_COLUMNS = ["priority", "target_hours"]
+CATALOG_COLUMNS = ["event_name", "description", "stakeholder_owner"]
+ALIAS_COLUMNS = ["raw_event_name", "event_code"]

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ticketloom.plans.skew import IN_TASK_ROWS, LogParts, split_log
 from ticketloom.schema import CSAT_TYPE, TARGET_COLUMNS
@@ -54,17 +53,45 @@ LINE_COLUMNS = [
 ]
 
 
-def _case_id(order_key: str) -> Column:
-    return F.concat(F.lit("INC"), F.col(order_key).cast("string")).alias("case_id")
-
-
-def _pick(number: Column, values: list[str | None]) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
+def _pick(number: str, values: list[str | None]) -> str:
+    """SQL that chooses among values by the remainder of a number."""
+    listed = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"element_at(array({listed}), int(({number}) % {len(values)}) + 1)"
+
+
+_MIX = "l_partkey * 7 + l_suppkey * 3"
+_MINUTES = f"(l_linenumber - 1) * {MINUTES_PER_LINE} + 15 * (l_suppkey % 12)"
+
+LOG_EXPRESSIONS = {
+    "case_id": "case_id",
+    "variant": f"""CASE WHEN l_discount >= 0.09D THEN '' WHEN l_tax >= 0.07D THEN 'Expedited'
+        ELSE {_pick("l_orderkey", VARIANTS)} END""",
+    "priority": """CASE WHEN l_linenumber = 5 THEN NULL
+        WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'High'
+        WHEN o_orderpriority = '3-MEDIUM' THEN 'Medium'
+        WHEN o_orderpriority = '5-LOW' THEN 'Low'
+        ELSE 'Unrated' END""",
+    "reporter": "concat('U', o_custkey)",
+    "ts": f"timestampadd(MINUTE, {_MINUTES}, timestamp(o_orderdate))",
+    "event": f"""CASE WHEN l_linenumber = 1 THEN 'Ticket created'
+        WHEN l_linenumber <= 3 THEN {_pick(_MIX, MIDDLE_EVENTS)}
+        WHEN l_linenumber <= 5 THEN {_pick(_MIX, SOLVING_EVENTS)}
+        WHEN l_linenumber = 6 THEN 'Ticket closed'
+        WHEN l_returnflag = 'R' THEN 'Ticket reopened by customer'
+        WHEN l_returnflag = 'A' THEN 'Customer feedback received'
+        ELSE 'Ticket closed' END""",
+    "issue_type": _pick("l_partkey", ISSUE_TYPES),
+    "resolver": "CASE WHEN l_suppkey % 9 <> 0 THEN concat('R', l_suppkey % 9) END",
+    "report_channel": _pick("l_orderkey", CHANNELS),
+    "short_description": _pick("l_orderkey", DESCRIPTIONS),
+    "customer_satisfaction": f"""CASE WHEN l_linenumber = 7 AND l_returnflag = 'A'
+        THEN CAST(l_quantity % 5 + 1 AS {CSAT_TYPE.simpleString()}) END""",
+}
 
 
 def order_lines(lineitem: DataFrame) -> DataFrame:
     """The columns of the order lines that the log is made from, and the case of each line."""
-    return lineitem.select(_case_id("l_orderkey"), *LINE_COLUMNS)
+    return lineitem.selectExpr("concat('INC', l_orderkey) AS case_id", *LINE_COLUMNS)
 
 
 def order_event_log(lines: DataFrame, orders: DataFrame) -> DataFrame:
@@ -72,44 +99,12 @@ def order_event_log(lines: DataFrame, orders: DataFrame) -> DataFrame:
 
     Lines and orders meet on case_id, so lines that are partitioned by case stay where they are.
     """
-    line, order, part, supplier = (
-        F.col(f"l_{c}") for c in ("linenumber", "orderkey", "partkey", "suppkey")
+    headers = orders.selectExpr(
+        "concat('INC', o_orderkey) AS case_id", "o_custkey", "o_orderdate", "o_orderpriority"
+    )
+    return lines.join(headers, "case_id").selectExpr(
+        *[f"{LOG_EXPRESSIONS[c]} AS {c}" for c in TARGET_COLUMNS]
     )
-    mix = part * 7 + supplier * 3
-    flag = F.col("l_returnflag")
-    urgency = F.col("o_orderpriority")
-    minutes = (line - 1) * MINUTES_PER_LINE + supplier % 12 * 15
-    started = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
-
-    columns = {
-        "case_id": F.col("case_id"),
-        "variant": F.when(F.col("l_discount") >= 0.09, "")
-        .when(F.col("l_tax") >= 0.07, "Expedited")
-        .otherwise(_pick(order, VARIANTS)),
-        "priority": F.when(line == 5, F.lit(None))
-        .when(urgency.isin("1-URGENT", "2-HIGH"), "High")
-        .when(urgency == "3-MEDIUM", "Medium")
-        .when(urgency == "5-LOW", "Low")
-        .otherwise("Unrated"),
-        "reporter": F.concat(F.lit("U"), F.col("o_custkey").cast("string")),
-        "ts": F.timestamp_micros(started + minutes.cast("bigint") * 60_000_000),
-        "event": F.when(line == 1, "Ticket created")
-        .when(line <= 3, _pick(mix, MIDDLE_EVENTS))
-        .when(line <= 5, _pick(mix, SOLVING_EVENTS))
-        .when(line == 6, "Ticket closed")
-        .when(flag == "R", "Ticket reopened by customer")
-        .when(flag == "A", "Customer feedback received")
-        .otherwise("Ticket closed"),
-        "issue_type": _pick(part, ISSUE_TYPES),
-        "resolver": F.when(supplier % 9 != 0, F.concat(F.lit("R"), (supplier % 9).cast("string"))),
-        "report_channel": _pick(order, CHANNELS),
-        "short_description": _pick(order, DESCRIPTIONS),
-        "customer_satisfaction": F.when(
-            (line == 7) & (flag == "A"), F.col("l_quantity") % 5 + 1
-        ).cast(CSAT_TYPE),
-    }
-    headers = orders.select(_case_id("o_orderkey"), "o_custkey", "o_orderdate", "o_orderpriority")
-    return lines.join(headers, "case_id").select(*[columns[c].alias(c) for c in TARGET_COLUMNS])
 
 
 def order_log_parts(lineitem: DataFrame, orders: DataFrame, in_task_rows: int = IN_TASK_ROWS) -> LogParts:
