@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 MICROS_PER_HOUR = 3.6e9
 
-# Any of: no time, a time with AM or PM, a time of 24 hours; then an optional offset.
-_TIME = "[ h:mm[:ss] a][ H:mm[:ss[.SSSSSS]]][ ][XXX]"
+# A time with AM or PM, a time of 24 hours, or none; then an optional offset.
+_TIME = "['T'][ ][h:mm[:ss] a][H:mm[:ss[.SSSSSS]]][ ][XXX]"
 
 
 def hours_between(start: Column, end: Column) -> Column:
@@ -14,19 +14,17 @@ def hours_between(start: Column, end: Column) -> Column:
 
 
 def parse_timestamp(c: Column, iso_day_first: bool = False) -> Column:
-    """Day-first, then ISO, then month-first; NULL where nothing fits.
+    """Stripped text as day-first, then ISO, then month-first; NULL where nothing fits.
 
     Each value is read on its own. An ISO date reads as year-month-day unless iso_day_first asks
     for year-day-month.
     """
-    text = F.trim(c)
-    numeric = F.regexp_replace(text, r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})[T ]*", "$1/$2/$3 ")
-    numeric = F.rtrim(numeric)
-    iso = F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text)
-    tries = [F.try_to_timestamp(numeric, F.lit(f"d/M/yyyy{_TIME}"))]
+    slashed = F.regexp_replace(c, r"^(\d{1,2})[-.](\d{1,2})[-.]", "$1/$2/")
+    iso = F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), c)
+
+    tries = [F.try_to_timestamp(slashed, F.lit(f"d/M/yyyy{_TIME}"))]
     if iso_day_first:
-        spaced = F.regexp_replace(iso, "T", " ")
-        tries.append(F.try_to_timestamp(spaced, F.lit(f"yyyy-d-M{_TIME}")))
+        tries.append(F.try_to_timestamp(iso, F.lit(f"yyyy-d-M{_TIME}")))
     tries.append(iso.try_cast("timestamp"))
-    tries.append(F.try_to_timestamp(numeric, F.lit(f"M/d/yyyy{_TIME}")))
+    tries.append(F.try_to_timestamp(slashed, F.lit(f"M/d/yyyy{_TIME}")))
     return F.coalesce(*tries)

@@ -34,7 +34,7 @@ def summarize(
         # Two frames of one row each: stack them and fold, rather than pair them.
         stacked = base.unionByName(ranked, allowMissingColumns=True)
         return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
-    return _join_on(base, ranked, keys).select(*base.columns, *percentiles)
+    return _join_on(base, ranked, keys, "left").select(*base.columns, *percentiles)
 
 
 def distributed_percentiles(
@@ -99,10 +99,10 @@ def _cell(value: Column) -> Column:
     return (F.signum(value) * F.floor(size)).cast("bigint")
 
 
-def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on keys that may be NULL; the key columns of the left side remain."""
+def _join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be NULL; the key columns of the left side remain."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
-    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.functions.text import blank_to_null
+from ticketloom.functions.text import blank_to_null, stripped
 from ticketloom.functions.times import parse_timestamp
 from ticketloom.schema import CSAT_TYPE, REQUIRED_COLUMNS, TARGET_COLUMNS
 from ticketloom.sources.event_store import keyed_events
@@ -104,7 +104,7 @@ def target_columns(raw: DataFrame) -> DataFrame:
 
 def parse_csat(c: Column) -> Column:
     """A score with two decimals, halves away from zero; NULL for text or more than 999.99."""
-    text = blank_to_null(c)
+    text = stripped(c)
     number = F.when(text.rlike(NUMBER), text).try_cast("double")
     return number.try_cast(CSAT_TYPE)
 
@@ -115,7 +115,7 @@ def cleaned(columns: DataFrame, iso_day_first: bool = False) -> DataFrame:
     def clean(name: str) -> Column:
         c = F.col(name)
         if name == "ts":
-            c = parse_timestamp(blank_to_null(c), iso_day_first)
+            c = parse_timestamp(stripped(c), iso_day_first)
         elif name == "customer_satisfaction":
             c = parse_csat(c)
         else:
