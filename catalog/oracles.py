@@ -622,6 +622,7 @@ ORACLES["flow_steps"] = over_steps(
     f"""SELECT {DIMS}, created_at AS ts, seq, event, next_event, {d("delta_hours")} FROM steps"""
 )
 ORACLES["flow_transitions"] = over_steps(f"SELECT {_EDGE} FROM edges")
+ORACLES["flow_transitions_large_cases"] = ORACLES["flow_transitions"]
 ORACLES["flow_dwell"] = over_steps(f"SELECT {_DWELL} FROM dwells")
 ORACLES["flow_dwell_chart"] = over_steps(
     f"SELECT {_DWELL} FROM (FROM dwells ORDER BY hours DESC NULLS LAST, event LIMIT 10)"

@@ -20,8 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 
-# Low enough that the plans for logs of any size run on the test tables as well.
-ALWAYS_DISTRIBUTED = 5
+# Low enough that the test tables have cases above it, which then run in slices.
+FEW_ROWS = 9
 
 
 def _query(function: Query) -> Query:
@@ -210,7 +210,7 @@ def log_constraints(spark, sf_dir):
 
 _over_model("event_normalized", lambda m: m.normalized)
 _over_model("event_seq", lambda m: m.sequence)
-_over_model("event_seq_large_cases", lambda m: m.sequence, in_task_rows=ALWAYS_DISTRIBUTED)
+_over_model("event_seq_large_cases", lambda m: m.sequence, in_task_rows=FEW_ROWS)
 _over_model("transition_summary", lambda m: events.transition_summary(m.sequence, m.in_task))
 _over_model(
     "transition_summary_distributed", lambda m: events.transition_summary(m.sequence, in_task=False)
@@ -225,7 +225,7 @@ _over_model("first_nonblank", lambda m: cases.first_nonblank(m.facts))
 _over_model("variant_mode", lambda m: cases.variant_mode(m.facts))
 _over_model("case", lambda m: cases.case(m.closed))
 _over_model("case_sla", lambda m: cases.case_sla(m.closed))
-_over_model("case_sla_large_cases", lambda m: cases.case_sla(m.closed), in_task_rows=ALWAYS_DISTRIBUTED)
+_over_model("case_sla_large_cases", lambda m: cases.case_sla(m.closed), in_task_rows=FEW_ROWS)
 _over_model("pingpong_cases", lambda m: outcomes.pingpong_cases(m.closed))
 _over_model("worst_handoff_cases", lambda m: outcomes.worst_handoff_cases(m.closed))
 _over_model("closure_compliance", lambda m: outcomes.closure_compliance(m.closed))
@@ -286,11 +286,16 @@ _over_scope("action_chart", command.action_chart)
 
 
 def _over_steps(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
-    _over_model(name, lambda m: build(flow.scoped_steps(m.sequence, inputs.scoped(m), SCOPE)))
+    _over_model(name, lambda m: build(flow.scoped_steps(m, SCOPE)))
 
 
 _over_steps("flow_steps", lambda steps: steps)
 _over_steps("flow_transitions", flow.flow_transitions)
+_over_model(
+    "flow_transitions_large_cases",
+    lambda m: flow.flow_transitions(flow.scoped_steps(m, SCOPE)),
+    in_task_rows=FEW_ROWS,
+)
 _over_steps("flow_dwell", flow.flow_dwell)
 _over_steps("flow_dwell_chart", flow.flow_dwell_chart)
 _over_steps("flow_hotspots", flow.flow_hotspots)
@@ -300,15 +305,13 @@ _over_steps("flow_top_paths", flow.flow_top_paths)
 @_query
 def flow_kpis(spark, sf_dir):
     m = inputs.model(spark, sf_dir)
-    scoped = inputs.scoped(m)
-    return flow.flow_kpis(scoped, flow.scoped_steps(m.sequence, scoped, SCOPE))
+    return flow.flow_kpis(inputs.scoped(m), flow.scoped_steps(m, SCOPE))
 
 
 @_query
 def flow_worklist(spark, sf_dir):
     m = inputs.model(spark, sf_dir)
-    scoped = inputs.scoped(m)
-    return flow.flow_worklist(scoped, flow.scoped_steps(m.sequence, scoped, SCOPE))
+    return flow.flow_worklist(inputs.scoped(m), flow.scoped_steps(m, SCOPE))
 
 
 # Handoffs

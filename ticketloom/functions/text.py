@@ -12,8 +12,17 @@ WHITE_SPACE = (
 UNSPECIFIED = "Unspecified"
 
 
+# Text whose first and last characters are visible ASCII needs no stripping.
+_MAY_NEED_STRIPPING = r"^[^!-~]|[^!-~]\z"
+_VISIBLE = r"(?U)[^\s\x1c-\x1f]"
+
+
 def stripped(c: Column) -> Column:
-    return F.btrim(c, F.lit(WHITE_SPACE))
+    return F.when(c.rlike(_MAY_NEED_STRIPPING), F.btrim(c, F.lit(WHITE_SPACE))).otherwise(c)
+
+
+def is_blank(c: Column) -> Column:
+    return c.isNull() | ~c.rlike(_VISIBLE)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -30,4 +39,4 @@ def plain_words(c: Column) -> Column:
 
 def or_unspecified(c: Column) -> Column:
     """The untouched value, or a fixed word where it is missing or blank."""
-    return F.when(c.isNull() | (stripped(c) == ""), F.lit(UNSPECIFIED)).otherwise(c)
+    return F.when(is_blank(c), F.lit(UNSPECIFIED)).otherwise(c)

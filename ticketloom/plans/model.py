@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Callable
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ticketloom.operators import cases, events
 from ticketloom.plans.skew import IN_TASK_ROWS, LogParts, split_log
@@ -49,36 +51,49 @@ class EventLogModel:
         return None if self.parts.large is None else self._normalized(self.parts.large)
 
     @cached_property
-    def _large_sequence(self) -> DataFrame | None:
-        if self._large is None:
-            return None
-        return events.sequence_large_cases(self._large, self.parts.in_task_rows)
+    def _sequences(self) -> list[DataFrame]:
+        rows = events.sequence_events(self._normalized(self.parts.normal))
+        found = [rows.select(*events.SEQUENCE_COLUMNS)]
+        if self._large is not None:
+            large = events.sequence_large_cases(self._large, self.parts.in_task_rows)
+            found.append(large.select(*events.SEQUENCE_COLUMNS))
+        return found
+
+    @cached_property
+    def _facts(self) -> list[DataFrame]:
+        found = [cases.case_facts(self._normalized(self.parts.normal))]
+        if self._large is not None:
+            found.append(cases.large_case_facts(self._large, self._sequences[1]))
+        return found
+
+    @cached_property
+    def _closed(self) -> list[DataFrame]:
+        first, *large = (cases.closed_cases(f, self.reference.sla_policy) for f in self._facts)
+        # Large cases are fewer than log rows / in-task rows, so they may be broadcast in any join.
+        return [first, *[F.broadcast(c) for c in large]]
 
     @cached_property
     def sequence(self) -> DataFrame:
         """event_seq: position, successor and waiting time of every event."""
-        rows = events.sequence_events(self._normalized(self.parts.normal))
-        return self._whole(rows, self._large_sequence).select(*events.SEQUENCE_COLUMNS)
+        return _together(self._sequences)
 
     @cached_property
     def facts(self) -> DataFrame:
         """One row per case, open cases included."""
-        rows = cases.case_facts(self._normalized(self.parts.normal))
-        large = None
-        if self._large is not None:
-            large = cases.large_case_facts(self._large, self._large_sequence)
-        return self._whole(rows, large)
+        return _together(self._facts)
 
     @cached_property
     def closed(self) -> DataFrame:
         """One row per closed case with every derived column."""
-        return cases.closed_cases(self.facts, self.reference.sla_policy)
+        return _together(self._closed)
+
+    def events_with_cases(self, build: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+        """`build(sequence, closed)`, for a join of events with their own cases.
 
-    @staticmethod
-    def _whole(rows: DataFrame, large_rows: DataFrame | None) -> DataFrame:
-        if large_rows is None:
-            return rows
-        return rows.unionByName(large_rows.select(*rows.columns))
+        Built for each part of the log: normal cases meet their events in the partitioning that
+        both have, large cases are broadcast to theirs.
+        """
+        return _together([build(s, c) for s, c in zip(self._sequences, self._closed)])
 
     def materialize(self, path: str) -> "EventLogModel":
         """Write the two relations that everything else reads, and return a model over them.
@@ -95,6 +110,10 @@ class EventLogModel:
     def over_stored(self, spark: SparkSession, path: str) -> "EventLogModel":
         """A model that reads the relations written by `materialize`."""
         model = EventLogModel(self.parts, self.reference)
-        model.sequence = spark.read.parquet(f"{path}/event_seq")
-        model.closed = spark.read.parquet(f"{path}/closed_cases")
+        model._sequences = [spark.read.parquet(f"{path}/event_seq")]
+        model._closed = [spark.read.parquet(f"{path}/closed_cases")]
         return model
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)

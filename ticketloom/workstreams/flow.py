@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.operators.scope import SCOPE_EVENT_COLUMNS, Scope, scope_detail
+from ticketloom.operators.scope import SCOPE_EVENT_COLUMNS, Scope, scope_cases, scope_detail
+from ticketloom.plans.model import EventLogModel
 
 # Lengths of the ranked lists.
 DWELL_CHART_ROWS = 10
@@ -25,12 +26,16 @@ WORKLIST_COLUMNS = [
 ]
 
 
-def scoped_steps(sequence: DataFrame, scoped: DataFrame, scope: Scope) -> DataFrame:
+def scoped_steps(model: EventLogModel, scope: Scope) -> DataFrame:
     """Events of scoped cases that also pass the scope by their own values and day.
 
     The successor of an event was fixed over the whole log and stays as it is.
     """
-    return scope_detail(sequence.select(*SCOPE_EVENT_COLUMNS), scoped, scope, "ts")
+
+    def of_part(sequence: DataFrame, closed: DataFrame) -> DataFrame:
+        return scope_detail(sequence.select(*SCOPE_EVENT_COLUMNS), scope_cases(closed, scope), scope, "ts")
+
+    return model.events_with_cases(of_part)
 
 
 def _count():
