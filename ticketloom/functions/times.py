@@ -20,11 +20,10 @@ def parse_timestamp(c: Column, iso_day_first: bool = False) -> Column:
     for year-day-month.
     """
     slashed = F.regexp_replace(c, r"^(\d{1,2})[-.](\d{1,2})[-.]", "$1/$2/")
-    iso = F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), c)
-
-    tries = [F.try_to_timestamp(slashed, F.lit(f"d/M/yyyy{_TIME}"))]
+    day_first = F.try_to_timestamp(slashed, F.lit(f"d/M/yyyy{_TIME}"))
+    month_first = F.try_to_timestamp(slashed, F.lit(f"M/d/yyyy{_TIME}"))
+    iso = c.try_cast("timestamp")
     if iso_day_first:
-        tries.append(F.try_to_timestamp(iso, F.lit(f"yyyy-d-M{_TIME}")))
-    tries.append(iso.try_cast("timestamp"))
-    tries.append(F.try_to_timestamp(slashed, F.lit(f"M/d/yyyy{_TIME}")))
-    return F.coalesce(*tries)
+        iso = F.coalesce(F.try_to_timestamp(c, F.lit(f"yyyy-d-M{_TIME}")), iso)
+    # The shape picks the notation first, since a failed attempt costs more than a parsed value.
+    return F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), iso).otherwise(F.coalesce(day_first, month_first))

@@ -110,7 +110,11 @@ def parse_csat(c: Column) -> Column:
 
 
 def cleaned(columns: DataFrame, iso_day_first: bool = False) -> DataFrame:
-    """Stripped text with blanks as NULL, timestamps in UTC, decimal scores."""
+    """Stripped text with blanks as NULL, timestamps in UTC, decimal scores.
+
+    The columns come out of inline, so that a filter on them is not pushed below and each cell is
+    cleaned and parsed once instead of once per use.
+    """
 
     def clean(name: str) -> Column:
         c = F.col(name)
@@ -122,7 +126,7 @@ def cleaned(columns: DataFrame, iso_day_first: bool = False) -> DataFrame:
             c = blank_to_null(c)
         return c.alias(name)
 
-    return columns.select(*[clean(c) for c in TARGET_COLUMNS])
+    return columns.select(F.inline(F.array(F.struct(*[clean(c) for c in TARGET_COLUMNS]))))
 
 
 def drop_invalid(clean: DataFrame) -> DataFrame:

@@ -92,11 +92,16 @@ def flow_hotspots(steps: DataFrame) -> DataFrame:
 
 
 def flow_worklist(scoped: DataFrame, steps: DataFrame) -> DataFrame:
-    """Every scoped case with the number of its scoped events, most steps first."""
+    """Every scoped case with the number of its scoped events, most steps first.
+
+    A total order samples its input first. The rows are shuffled before it, so that the sample is
+    drawn from these few columns and the joins below run once.
+    """
     counts = steps.groupBy("case_id").agg(_count().alias("event_steps"))
     return (
         scoped.join(counts, "case_id", "left")
         .select(*WORKLIST_COLUMNS)
+        .hint("rebalance")
         .orderBy(F.desc_nulls_last("event_steps"), F.desc("cycle_hours"), "case_id")
     )
 
