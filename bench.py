@@ -33,14 +33,11 @@ HEADLINE = [
     "event_seq",
     "transition_summary",
     "transition_summary_distributed",
-    "dwell_by_event",
     "case_sla",
     "variant_summary",
     "handoff_summary",
-    "closure_compliance",
     "problem_candidates",
     "fcr_summary",
-    "variant_rollup",
     "flow_transitions",
     "flow_worklist",
     "handoff_rollup",
