@@ -308,11 +308,7 @@ def flow_kpis(spark, sf_dir):
     return flow.flow_kpis(inputs.scoped(m), flow.scoped_steps(m, SCOPE))
 
 
-@_query
-def flow_worklist(spark, sf_dir):
-    m = inputs.model(spark, sf_dir)
-    return flow.flow_worklist(inputs.scoped(m), flow.scoped_steps(m, SCOPE))
-
+_over_model("flow_worklist", lambda m: flow.flow_worklist(m, SCOPE))
 
 # Handoffs
 

@@ -122,10 +122,22 @@ def test_flow_filters_events_by_their_own_values_and_day(model_of):
 
 
 def test_worklist_keeps_cases_without_scoped_events(model_of):
-    m = model_of(*case_rows("C", hours=2), *case_rows("D", hours=3))
-    steps = flow.scoped_steps(m, YEAR).filter("case_id = 'C'")
-    listed = flow.flow_worklist(m.closed, steps).collect()
-    assert [(r.case_id, r.event_steps) for r in listed] == [("C", 2), ("D", None)]
+    late = row("E", "2024-01-12 08:00", "Customer feedback received", variant="Other")
+    m = model_of(*case_rows("C", hours=2), *case_rows("D", hours=3), late)
+    listed = flow.flow_worklist(m, YEAR).collect()
+    assert [(r.case_id, r.event_steps) for r in listed] == [("D", 2), ("C", 2)]
+    # the case mode is Standard, but half of its events are not
+    mixed = model_of(
+        row("M", "2024-01-10 08:00", CREATED),
+        row("M", "2024-01-10 09:00", "Ticket rejected", variant="Other"),
+        row("M", "2024-01-10 10:00", CLOSED),
+        row("N", "2024-01-31 23:00", CREATED, variant="Other"),
+        row("N", "2024-02-01 01:00", CLOSED),
+        row("N", "2024-02-01 02:00", CLOSED),
+    )
+    january = Scope(date(2024, 1, 1), date(2024, 1, 31), variant=["Standard"])
+    listed = flow.flow_worklist(mixed, january).collect()
+    assert [(r.case_id, r.event_steps) for r in listed] == [("M", 2), ("N", None)]
 
 
 def test_top_paths_number_sources_before_targets(model_of):

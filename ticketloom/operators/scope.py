@@ -81,15 +81,20 @@ def scope_cases(closed: DataFrame, scope: Scope) -> DataFrame:
     return _filled_where_selected(inside, scope)
 
 
-def scope_detail(
-    detail: DataFrame, scoped: DataFrame, scope: Scope, date_column: str | None = None
-) -> DataFrame:
-    """Rows of a detail relation that belong to scoped cases and pass the scope themselves."""
+def scope_rows(detail: DataFrame, scope: Scope, date_column: str | None = None) -> DataFrame:
+    """Rows of a detail relation that pass the scope by their own values and, if asked, their day."""
     tests = scope.dimensions(detail.columns)
     if date_column is not None:
         tests = tests & scope.days(date_column)
-    kept = detail.filter(tests).join(scoped.select("case_id"), "case_id", "left_semi")
-    return _filled_where_selected(kept, scope)
+    return _filled_where_selected(detail.filter(tests), scope)
+
+
+def scope_detail(
+    detail: DataFrame, scoped: DataFrame, scope: Scope, date_column: str | None = None
+) -> DataFrame:
+    """The same, and only rows that belong to scoped cases."""
+    kept = scope_rows(detail, scope, date_column)
+    return kept.join(scoped.select("case_id"), "case_id", "left_semi")
 
 
 def filter_dates(closed: DataFrame) -> DataFrame:

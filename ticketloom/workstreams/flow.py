@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticketloom.operators.scope import SCOPE_EVENT_COLUMNS, Scope, scope_cases, scope_detail
+from ticketloom.operators.scope import SCOPE_EVENT_COLUMNS, Scope, scope_cases, scope_detail, scope_rows
 from ticketloom.plans.model import EventLogModel
 
 # Lengths of the ranked lists.
@@ -91,16 +91,21 @@ def flow_hotspots(steps: DataFrame) -> DataFrame:
     )
 
 
-def flow_worklist(scoped: DataFrame, steps: DataFrame) -> DataFrame:
+def flow_worklist(model: EventLogModel, scope: Scope) -> DataFrame:
     """Every scoped case with the number of its scoped events, most steps first.
 
-    A total order samples its input first. The rows are shuffled before it, so that the sample is
-    drawn from these few columns and the joins below run once.
+    The join on the scoped cases drops all other counts, so events are not matched with cases
+    before. A total order samples its input first; the rows are shuffled before it, so that the
+    sample is drawn from these few columns and the joins below run once.
     """
-    counts = steps.groupBy("case_id").agg(_count().alias("event_steps"))
+
+    def of_part(sequence: DataFrame, closed: DataFrame) -> DataFrame:
+        events = scope_rows(sequence.select(*SCOPE_EVENT_COLUMNS), scope, "ts")
+        counts = events.groupBy("case_id").agg(_count().alias("event_steps"))
+        return scope_cases(closed, scope).join(counts, "case_id", "left").select(*WORKLIST_COLUMNS)
+
     return (
-        scoped.join(counts, "case_id", "left")
-        .select(*WORKLIST_COLUMNS)
+        model.events_with_cases(of_part)
         .hint("rebalance")
         .orderBy(F.desc_nulls_last("event_steps"), F.desc("cycle_hours"), "case_id")
     )
