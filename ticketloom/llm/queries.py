@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import quality_rules, sharding, token_counts, url_filters
+from ticketloom.llm import quality_rules, sharding, token_counts, url_filters, word_bpe
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -102,3 +102,25 @@ QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS
 @_query
 def op6_sharding(spark, sf_dir):
     return sharding.sharded(table(spark, sf_dir, "documents"), shards=8)
+
+
+def digests(encodings: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, and the SHA-256 of the ids as text and of the decoded text."""
+    return encodings.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def round_trip(documents: DataFrame) -> DataFrame:
+    """The digests of encoding and decoding every document with a lexicon of its own words."""
+    file = tokenizer_file("word_bpe_49k.json")
+    lexicon = word_bpe.build_lexicon(documents, file)
+    return digests(word_bpe.decoded(word_bpe.encoded(documents, file, lexicon), file))
+
+
+@_query
+def op8_word_bpe(spark, sf_dir):
+    return round_trip(table(spark, sf_dir, "documents"))
