@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import quality_rules, sharding, token_counts, url_filters, word_bpe
+from ticketloom.llm import quality_rules, sharding, token_counts, token_files, url_filters, word_bpe
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -124,3 +124,8 @@ def round_trip(documents: DataFrame) -> DataFrame:
 @_query
 def op8_word_bpe(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_token_files(spark, sf_dir):
+    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
