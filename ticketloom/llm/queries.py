@@ -8,7 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketloom.llm import quality_rules, sharding, token_counts, token_files, url_filters, word_bpe
+from ticketloom.llm import (
+    quality_classifier,
+    quality_rules,
+    sharding,
+    token_counts,
+    token_files,
+    toxicity,
+    url_filters,
+    word_bpe,
+)
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -129,3 +138,15 @@ def op8_word_bpe(spark, sf_dir):
 @_query
 def op10_token_files(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+@_query
+def op4_quality_classifier(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return quality_classifier.scored(documents, quality_classifier.fit(documents, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op9_toxicity(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.scored(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
