@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketloom.llm import (
+    decontamination,
     quality_classifier,
     quality_rules,
     sharding,
@@ -150,3 +151,8 @@ def op4_quality_classifier(spark, sf_dir):
 def op9_toxicity(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     return toxicity.scored(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
+@_query
+def op7_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
