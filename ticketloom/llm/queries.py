@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.llm import (
     decontamination,
+    near_duplicates,
     quality_classifier,
     quality_rules,
     sharding,
@@ -156,3 +157,8 @@ def op9_toxicity(spark, sf_dir):
 @_query
 def op7_decontamination(spark, sf_dir):
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op2_near_duplicates(spark, sf_dir):
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
