@@ -29,7 +29,7 @@ PASSAGE_WORDS = 64
 PER_LABEL = 2_500
 LONGEST = 32_768
 HIDDEN, GATES = 24, 12
-EPOCHS, BAGS, RATE, DECAY = 12, 128, 0.01, 1e-4
+STEPS, BAGS, RATE, DECAY = 400, 128, 0.01, 1e-4
 ACCEPTED = 0.7
 
 
@@ -161,7 +161,7 @@ def _gradients(net: Network, features, per_text, labels, importance) -> dict[str
 
 
 def fitted(sample: Sample) -> Network:
-    """The network after EPOCHS passes of Adam over the sample, the same for the same sample."""
+    """The network after STEPS steps of Adam on BAGS documents each, the same for the same sample."""
     labels = np.array(sample.labels, np.float32)
     if len(set(sample.labels)) < 2:
         return Network(None, sample.share if sample.labels else 0.5)
@@ -188,20 +188,19 @@ def fitted(sample: Sample) -> Network:
     net.weights["b"][:], net.weights["d"][:] = 0, 0
     first = {k: np.zeros_like(v) for k, v in net.weights.items()}
     second = {k: np.zeros_like(v) for k, v in net.weights.items()}
-    step = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(labels))
-        for at in range(0, len(order), BAGS):
-            bags = order[at : at + BAGS]
-            rows = np.concatenate([np.arange(starts[i], starts[i] + per_text[i]) for i in bags])
-            found = _gradients(net, features[rows], per_text[bags], labels[bags], importance[bags] / len(bags))
-            step += 1
-            for k, g in found.items():
-                g = g + DECAY * net.weights[k]
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                scale = np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8
-                net.weights[k] = (net.weights[k] - RATE * (first[k] / (1 - 0.9**step)) / scale).astype(np.float32)
+    waiting = np.zeros(0, np.int64)
+    for step in range(1, STEPS + 1):
+        if len(waiting) < BAGS:
+            waiting = np.concatenate([waiting, *(rng.permutation(len(labels)) for _ in range(-(-BAGS // len(labels))))])
+        bags, waiting = waiting[:BAGS], waiting[BAGS:]
+        rows = np.concatenate([np.arange(starts[i], starts[i] + per_text[i]) for i in bags])
+        found = _gradients(net, features[rows], per_text[bags], labels[bags], importance[bags] / len(bags))
+        for k, g in found.items():
+            g = g + DECAY * net.weights[k]
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * g * g
+            scale = np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8
+            net.weights[k] = (net.weights[k] - RATE * (first[k] / (1 - 0.9**step)) / scale).astype(np.float32)
     return net
 
 
