@@ -60,12 +60,12 @@ def test_filter_domain(small):
     assert values == sorted(values) and len(values) == len(set(values))
 
 
-def test_global_lists_are_cut_before_the_scope(model_of, monkeypatch):
+def test_lists_are_cut_after_the_scope(model_of):
+    """A case outside the scope takes no place of the list, whatever its length."""
     m = model_of(*case_rows("LONG", "2025-01-01", hours=20), *case_rows("SHORT", hours=2))
-    monkeypatch.setattr(outcomes, "PROBLEM_ROWS", 1)
-    monkeypatch.setattr(outcomes, "WORST_HANDOFF_ROWS", 1)
-    assert enablement.problem_worklist(m.closed, YEAR).count() == 0
-    assert handoffs.worst_handoff_worklist(m.closed, YEAR).count() == 0
+    assert [r.case_id for r in enablement.problem_worklist(m.closed, YEAR, rows=1).collect()] == ["SHORT"]
+    assert [r.case_id for r in handoffs.worst_handoff_worklist(m.closed, YEAR, rows=1).collect()] == ["SHORT"]
+    assert [r.cases for r in enablement.prevention_backlog(m.closed, YEAR).collect()] == [1]
 
 
 def test_worst_cases_are_ranked_with_a_fixed_tiebreak(model_of):

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Sizes of the two global lists.
+# Usual lengths of the two global lists.
 WORST_HANDOFF_ROWS = 200
 PROBLEM_ROWS = 500
 
+# The columns of each list, in order.
 DIMENSIONS = ["variant", "priority", "issue_type", "report_channel"]
 
 PINGPONG_COLUMNS = [
@@ -101,18 +102,18 @@ def pingpong_cases(closed: DataFrame) -> DataFrame:
     return swapped_level(closed).select(*PINGPONG_COLUMNS)
 
 
-def most_handed_over(closed: DataFrame) -> DataFrame:
-    """The global list, with every column that a later filter may need."""
+def by_handovers(closed: DataFrame) -> DataFrame:
+    """The cases in the order of the list, most handed over first."""
     return closed.orderBy(
         F.desc_nulls_first("resolver_changes"),
         F.desc_nulls_first("escalation_count"),
         F.desc_nulls_first("cycle_hours"),
         "case_id",
-    ).limit(WORST_HANDOFF_ROWS)
+    )
 
 
-def worst_handoff_cases(closed: DataFrame) -> DataFrame:
-    return most_handed_over(closed).select(*WORST_HANDOFF_COLUMNS)
+def worst_handoff_cases(closed: DataFrame, rows: int = WORST_HANDOFF_ROWS) -> DataFrame:
+    return by_handovers(closed).select(*WORST_HANDOFF_COLUMNS).limit(rows)
 
 
 def closure_compliance(closed: DataFrame) -> DataFrame:
@@ -123,18 +124,18 @@ def problem_candidate_cases(closed: DataFrame) -> DataFrame:
     return closed.select(*PROBLEM_COLUMNS)
 
 
-def longest_problems(closed: DataFrame) -> DataFrame:
-    """The global list, with every column that a later filter may need."""
+def by_length(closed: DataFrame) -> DataFrame:
+    """The cases in the order of the list, longest first."""
     return closed.orderBy(
         F.desc_nulls_first("cycle_hours"),
         F.desc_nulls_first("has_reopen"),
         F.desc_nulls_first("has_reject"),
         "case_id",
-    ).limit(PROBLEM_ROWS)
+    )
 
 
-def problem_candidate_top_cases(closed: DataFrame) -> DataFrame:
-    return longest_problems(closed).select(*PROBLEM_TOP_COLUMNS)
+def problem_candidate_top_cases(closed: DataFrame, rows: int = PROBLEM_ROWS) -> DataFrame:
+    return by_length(closed).select(*PROBLEM_TOP_COLUMNS).limit(rows)
 
 
 def resolution_level(closed: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ TOP_CASES = 25
 ACTION_ROWS = 10
 ACTION_CHART_ROWS = 8
 
+# The columns of the list, in order.
 TOP_CASE_COLUMNS = [
     "case_id",
     *DIMENSIONS,
@@ -28,7 +29,7 @@ TOP_CASE_COLUMNS = [
 ]
 
 
-def scope_kpis(scoped: DataFrame, in_task: bool = True) -> DataFrame:
+def scope_kpis(scoped: DataFrame, in_task: bool = False) -> DataFrame:
     measures = [
         m.cases(),
         m.met_sla_rate(),
@@ -64,11 +65,11 @@ def group_rollup(scoped: DataFrame, dimension: str) -> DataFrame:
     return cohorts.orderBy(F.desc("cases"), dimension)
 
 
-def top_cases(scoped: DataFrame) -> DataFrame:
-    return scoped.orderBy(F.desc("cycle_hours"), "case_id").limit(TOP_CASES).select(*TOP_CASE_COLUMNS)
+def top_cases(scoped: DataFrame, rows: int = TOP_CASES) -> DataFrame:
+    return scoped.orderBy(F.desc("cycle_hours"), "case_id").limit(rows).select(*TOP_CASE_COLUMNS)
 
 
-def action_queue(scoped: DataFrame) -> DataFrame:
+def action_queue(scoped: DataFrame, rows: int = ACTION_ROWS) -> DataFrame:
     columns = [
         "variant",
         "cases",
@@ -78,12 +79,12 @@ def action_queue(scoped: DataFrame) -> DataFrame:
         "reject_rate",
         "opportunity_score",
     ]
-    return variant_rollup(scoped).select(*columns).limit(ACTION_ROWS)
+    return variant_rollup(scoped).select(*columns).limit(rows)
 
 
-def action_chart(scoped: DataFrame) -> DataFrame:
+def action_chart(scoped: DataFrame, rows: int = ACTION_CHART_ROWS) -> DataFrame:
     """The heaviest variants, in the order of their mean cycle time."""
-    return variant_rollup(scoped).limit(ACTION_CHART_ROWS).orderBy("avg_cycle_hours", "variant")
+    return variant_rollup(scoped).limit(rows).orderBy("avg_cycle_hours", "variant")
 
 
 def leader_briefing(scoped: DataFrame) -> DataFrame:

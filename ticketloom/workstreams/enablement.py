@@ -9,7 +9,7 @@ from ticketloom.functions import measures as m
 from ticketloom.operators import outcomes
 from ticketloom.operators.scope import Scope, fill_dimensions, scope_cases
 
-# Lengths of the ranked lists.
+# Usual lengths of the ranked lists.
 BACKLOG_ROWS = 15
 WORKLIST_ROWS = 200
 
@@ -34,19 +34,15 @@ def enablement_by_issue(scoped: DataFrame) -> DataFrame:
     )
 
 
-def scoped_problems(closed: DataFrame, scope: Scope) -> DataFrame:
-    """The scoped part of the global problem list, which is cut before the scope applies."""
-    return scope_cases(outcomes.longest_problems(closed), scope).select(*outcomes.PROBLEM_TOP_COLUMNS)
-
-
-def prevention_backlog(closed: DataFrame, scope: Scope) -> DataFrame:
-    themes = fill_dimensions(scoped_problems(closed, scope), "issue_type").groupBy(
+def prevention_backlog(closed: DataFrame, scope: Scope, rows: int = BACKLOG_ROWS) -> DataFrame:
+    """The themes with most cases, counted over all cases of the scope."""
+    themes = fill_dimensions(scope_cases(closed, scope), "issue_type").groupBy(
         "issue_type", "short_description_norm"
     )
     return (
         themes.agg(m.cases(), m.avg_cycle())
         .orderBy(F.desc("cases"), F.desc("avg_cycle_hours"), "issue_type", "short_description_norm")
-        .limit(BACKLOG_ROWS)
+        .limit(rows)
     )
 
 
@@ -54,13 +50,11 @@ def enablement_kpis(scoped: DataFrame) -> DataFrame:
     return scoped.agg(m.rate("fcr", "fcr_rate"), _level_share("L1"), m.avg_cycle(), m.avg_csat())
 
 
-def low_fcr_worklist(scoped: DataFrame) -> DataFrame:
-    return (
-        outcomes.fcr_cases(scoped).orderBy("fcr", F.desc("cycle_hours"), "case_id").limit(WORKLIST_ROWS)
-    )
+def low_fcr_worklist(scoped: DataFrame, rows: int = WORKLIST_ROWS) -> DataFrame:
+    return outcomes.fcr_cases(scoped).orderBy("fcr", F.desc("cycle_hours"), "case_id").limit(rows)
 
 
-def problem_worklist(closed: DataFrame, scope: Scope) -> DataFrame:
-    return (
-        scoped_problems(closed, scope).orderBy(F.desc("cycle_hours"), "case_id").limit(WORKLIST_ROWS)
-    )
+def problem_worklist(closed: DataFrame, scope: Scope, rows: int = WORKLIST_ROWS) -> DataFrame:
+    """The longest cases of the scope."""
+    problems = scope_cases(closed, scope).select(*outcomes.PROBLEM_TOP_COLUMNS)
+    return problems.orderBy(F.desc("cycle_hours"), "case_id").limit(rows)

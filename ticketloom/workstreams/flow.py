@@ -59,8 +59,8 @@ def flow_dwell(steps: DataFrame) -> DataFrame:
     )
 
 
-def flow_dwell_chart(steps: DataFrame) -> DataFrame:
-    return flow_dwell(steps).limit(DWELL_CHART_ROWS).orderBy("avg_dwell_hours", "event")
+def flow_dwell_chart(steps: DataFrame, rows: int = DWELL_CHART_ROWS) -> DataFrame:
+    return flow_dwell(steps).limit(rows).orderBy("avg_dwell_hours", "event")
 
 
 def flow_kpis(scoped: DataFrame, steps: DataFrame) -> DataFrame:
@@ -83,11 +83,11 @@ def flow_kpis(scoped: DataFrame, steps: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
-def flow_hotspots(steps: DataFrame) -> DataFrame:
+def flow_hotspots(steps: DataFrame, rows: int = HOTSPOT_ROWS) -> DataFrame:
     return (
         flow_transitions(steps)
         .orderBy(F.desc_nulls_last("avg_delta_hours"), F.desc("transition_count"), "from_event", "to_event")
-        .limit(HOTSPOT_ROWS)
+        .limit(rows)
     )
 
 
@@ -111,19 +111,19 @@ def flow_worklist(model: EventLogModel, scope: Scope) -> DataFrame:
     )
 
 
-def flow_top_paths(steps: DataFrame) -> DataFrame:
+def flow_top_paths(steps: DataFrame, rows: int = TOP_PATHS) -> DataFrame:
     """The most used edges with node numbers: sources in order of appearance, then targets."""
     ranked = (
         flow_transitions(steps)
         .orderBy(F.desc("transition_count"), "from_event", "to_event")
-        .limit(TOP_PATHS)
+        .limit(rows)
     )
-    # At most TOP_PATHS rows from here on.
+    # At most `rows` rows from here on.
     by_use = Window.orderBy(F.desc("transition_count"), "from_event", "to_event")
     edges = ranked.withColumn("position", F.row_number().over(by_use))
     appearances = F.array(
         F.struct(F.col("from_event").alias("name"), F.col("position").alias("place")),
-        F.struct(F.col("to_event").alias("name"), (F.col("position") + TOP_PATHS).alias("place")),
+        F.struct(F.col("to_event").alias("name"), (F.col("position") + rows).alias("place")),
     )
     nodes = (
         edges.select(F.inline(appearances))

@@ -9,7 +9,7 @@ from ticketloom.functions import measures as m
 from ticketloom.operators import outcomes
 from ticketloom.operators.scope import Scope, fill_dimensions, scope_cases
 
-# Lengths of the ranked lists.
+# Usual lengths of the ranked lists.
 CHART_ROWS = 10
 TABLE_ROWS = 12
 WORKLIST_ROWS = 200
@@ -42,12 +42,12 @@ def handoff_rollup(scoped: DataFrame) -> DataFrame:
     return cohorts.orderBy(F.desc("pingpong_rate"), "issue_type")
 
 
-def handoff_chart(scoped: DataFrame) -> DataFrame:
-    return handoff_rollup(scoped).limit(CHART_ROWS).orderBy("pingpong_rate", "issue_type")
+def handoff_chart(scoped: DataFrame, rows: int = CHART_ROWS) -> DataFrame:
+    return handoff_rollup(scoped).limit(rows).orderBy("pingpong_rate", "issue_type")
 
 
-def handoff_table(scoped: DataFrame) -> DataFrame:
-    return handoff_rollup(scoped).limit(TABLE_ROWS).select(*TABLE_COLUMNS)
+def handoff_table(scoped: DataFrame, rows: int = TABLE_ROWS) -> DataFrame:
+    return handoff_rollup(scoped).limit(rows).select(*TABLE_COLUMNS)
 
 
 def handoff_kpis(scoped: DataFrame) -> DataFrame:
@@ -58,15 +58,14 @@ def handoff_kpis(scoped: DataFrame) -> DataFrame:
     )
 
 
-def pingpong_worklist(scoped: DataFrame) -> DataFrame:
+def pingpong_worklist(scoped: DataFrame, rows: int = WORKLIST_ROWS) -> DataFrame:
     return (
         outcomes.pingpong_cases(scoped)
         .orderBy(F.desc("pingpong_transitions"), "case_id")
-        .limit(WORKLIST_ROWS)
+        .limit(rows)
     )
 
 
-def worst_handoff_worklist(closed: DataFrame, scope: Scope) -> DataFrame:
-    """The scoped part of the global list, which is cut before the scope applies."""
-    listed = scope_cases(outcomes.most_handed_over(closed), scope)
-    return listed.select(*outcomes.WORST_HANDOFF_COLUMNS).limit(WORKLIST_ROWS)
+def worst_handoff_worklist(closed: DataFrame, scope: Scope, rows: int = WORKLIST_ROWS) -> DataFrame:
+    """The first rows of the list of all cases of the scope."""
+    return outcomes.worst_handoff_cases(scope_cases(closed, scope), rows)

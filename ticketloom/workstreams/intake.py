@@ -28,10 +28,10 @@ def intake_channel_issue(scoped: DataFrame) -> DataFrame:
     return _channel_issue(scoped).orderBy("report_channel", F.desc("cases"), "issue_type")
 
 
-def intake_issue_mix(scoped: DataFrame) -> DataFrame:
+def intake_issue_mix(scoped: DataFrame, rows: int = ISSUE_MIX_ROWS) -> DataFrame:
     """The largest pairs of channel and issue type."""
     largest = [F.desc("cases"), "report_channel", "issue_type"]
-    return _channel_issue(scoped).orderBy(*largest).limit(ISSUE_MIX_ROWS)
+    return _channel_issue(scoped).orderBy(*largest).limit(rows)
 
 
 def intake_kpis(scoped: DataFrame) -> DataFrame:

@@ -43,11 +43,11 @@ def quality_kpis(scoped: DataFrame) -> DataFrame:
     return scoped.agg(m.avg_csat(), m.met_sla_rate(), _no_feedback(), _fast_reopen(), _reject())
 
 
-def quality_worklist(scoped: DataFrame) -> DataFrame:
+def quality_worklist(scoped: DataFrame, rows: int = WORKLIST_ROWS) -> DataFrame:
     worst_first = [
         F.desc(c) for c in ("reopened_within_24h", "closed_without_feedback", "cycle_hours")
     ]
-    return outcomes.closure_compliance(scoped).orderBy(*worst_first, "case_id").limit(WORKLIST_ROWS)
+    return outcomes.closure_compliance(scoped).orderBy(*worst_first, "case_id").limit(rows)
 
 
 def quality_outcome_pairs(scoped: DataFrame) -> DataFrame:
