@@ -45,11 +45,7 @@ def model(spark: SparkSession, sf_dir: str, in_task_rows: int = IN_TASK_ROWS) ->
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eleven log columns, copies included."""
     require_utc(spark)
-    lines = order_lines(table(spark, sf_dir, "lineitem"))
-    if lines.count() <= IN_TASK_ROWS:
-        # a small table is a single row group, which only one task can read
-        lines = lines.repartition(spark.sparkContext.defaultParallelism)
-    return order_event_log(lines, table(spark, sf_dir, "orders"))
+    return order_event_log(order_lines(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "orders"))
 
 
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,8 +90,12 @@ def case_facts(normalized: DataFrame) -> DataFrame:
     return rows.groupBy("case_id").agg(*_aggregates(in_case)).select("case_id", *FACT_COLUMNS)
 
 
-def large_case_facts(normalized: DataFrame, sequence: DataFrame) -> DataFrame:
-    """The same facts for cases that are too large for one task, whose number is bounded.
+def large_case_facts(
+    normalized: DataFrame, sequence: DataFrame, per_case: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """The same facts for cases that are too large for one task.
+
+    `per_case` gives a frame with a row per case the hint to broadcast it, if there are few enough.
 
     Every step aggregates on the map side first, so a shuffle carries at most one row per task and
     case, resolver or variant. No task ever sees the events of a whole case.
@@ -107,8 +113,7 @@ def large_case_facts(normalized: DataFrame, sequence: DataFrame) -> DataFrame:
         .groupBy("case_id")
         .agg(F.expr(f"min({_variant_rank('copies', 'last_seen')}).variant").alias("variant"))
     )
-    # One row per large case: fewer than log rows / in-task rows, so it may always be broadcast.
-    closes = F.broadcast(merged.select("case_id", F.col("closed_at").alias("last_close")))
+    closes = per_case(merged.select("case_id", F.col("closed_at").alias("last_close")))
     after_close = (
         normalized.filter(_listed(REOPENED, *SOLVED.values()))
         .join(closes, "case_id")
@@ -128,6 +133,7 @@ def large_case_facts(normalized: DataFrame, sequence: DataFrame) -> DataFrame:
     )
 
 
+# The columns of the relation, in order.
 FACT_COLUMNS = [
     "variant",
     *FIRST_VALUE_COLUMNS,
@@ -151,6 +157,7 @@ FACT_COLUMNS = [
     "pingpong_transitions",
 ]
 
+# The columns of the relation, in order.
 BOUNDS_COLUMNS = [
     "case_id",
     "created_at",
@@ -164,6 +171,7 @@ BOUNDS_COLUMNS = [
     "customer_satisfaction",
 ]
 
+# The columns of the relation, in order.
 CASE_COLUMNS = [
     "case_id",
     "variant",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ticketloom.functions.times import hours_between
 from ticketloom.operators.percentiles import summarize
 from ticketloom.reference import LEVEL_CODES
-from ticketloom.session import stored
+from ticketloom.session import broadcast_up_to, stored
 
 NEXT_COLUMNS = ["ts", "event", "raw_event_name", "event_code", "event_level"]
 
@@ -99,8 +99,9 @@ def sequence_large_cases(normalized: DataFrame, rows_per_slice: int) -> DataFram
             F.lead("head").over(across).alias("next_head"),
         )
     )
-    # One row per slice and case: at most slices + cases rows, both bounded by rows / slice size.
-    joined = local.join(F.broadcast(edges), ["case_id", "slice"], "left")
+    # A row per slice, and one more for each case that begins inside one: at most two per slice, since
+    # every case here fills more than a slice.
+    joined = local.join(broadcast_up_to(edges, 2 * slices), ["case_id", "slice"], "left")
     return _with_next(
         joined.select(
             *normalized.columns,
@@ -114,6 +115,7 @@ def sequence_large_cases(normalized: DataFrame, rows_per_slice: int) -> DataFram
     )
 
 
+# The columns of the relation, in order.
 SEQUENCE_COLUMNS = [
     "case_id",
     "variant",
@@ -148,7 +150,7 @@ def _steps(sequence: DataFrame) -> DataFrame:
     )
 
 
-def transition_summary(sequence: DataFrame, in_task: bool = True) -> DataFrame:
+def transition_summary(sequence: DataFrame, in_task: bool = False) -> DataFrame:
     """Edges of the process graph with count, mean, median and 90th percentile of the wait."""
     return summarize(
         _steps(sequence),
@@ -160,7 +162,7 @@ def transition_summary(sequence: DataFrame, in_task: bool = True) -> DataFrame:
     )
 
 
-def dwell_by_event(sequence: DataFrame, in_task: bool = True) -> DataFrame:
+def dwell_by_event(sequence: DataFrame, in_task: bool = False) -> DataFrame:
     """Time until the next event of the case; the last event of a case has no dwell."""
     return summarize(
         _steps(sequence).withColumnRenamed("from_event", "event"),

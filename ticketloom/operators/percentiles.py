@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Cells per doubling of the value; bounds a group to about 64 * CELLS_PER_OCTAVE cells.
+# Cells per doubling of the value; bounds a group to about 64 * CELLS_PER_OCTAVE cells. Each cell has PARTS
+# parts: one of a wait of a day spans 60 milliseconds, which holds at most 57,000 different microseconds.
 CELLS_PER_OCTAVE = 256
+PARTS = 4096
 # Values are counted in steps of one microsecond when given in hours.
 CELL_UNIT = 3.6e9
 
@@ -17,12 +19,12 @@ def summarize(
     measures: list[Column],
     value: str,
     percentiles: dict[str, float],
-    in_task: bool = True,
+    in_task: bool = False,
 ) -> DataFrame:
-    """Measures and percentiles of `value` per group.
+    """Measures and percentiles of `value` per group, the same values by either plan.
 
-    With in_task, Spark's own aggregate holds the distinct values of a group in one task. Without
-    it the percentiles come from `distributed_percentiles`, for groups of any size.
+    By default the percentiles come from `distributed_percentiles`, for groups of any size. A caller who
+    knows that no group has more different values than a task holds can ask for Spark's own aggregate.
     """
     if in_task:
         exact = [F.percentile(value, p).alias(name) for name, p in percentiles.items()]
@@ -42,63 +44,62 @@ def distributed_percentiles(
 ) -> DataFrame:
     """Exact percentiles without gathering a group in one task.
 
-    First pass: count the values of each group per cell of a fixed, value-ordered grid. Running
-    sums over the cells, of which a group has a bounded number, show the cells that hold the wanted
-    ranks. Second pass: count the distinct values of those cells only and read the ranks off.
+    Different values are counted once, with a map-side combine; everything else reads these counts, whose
+    shuffle is shared. Running sums over the cells of a fixed, value-ordered grid, of which a group has a
+    bounded number, show the cells that hold the wanted ranks; the same over the parts of those cells; and
+    only the values of the parts that are left are put in order.
     """
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value).withColumn("cell", _cell(F.col(value)))
-    wanted = {name: (p, f"{name}_low", f"{name}_high") for name, p in percentiles.items()}
-
-    in_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    up_to = in_group.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = (
-        rows.groupBy(*keys, "cell")
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    size = F.log2(F.abs(value) * F.lit(CELL_UNIT) + 1.0) * F.lit(CELLS_PER_OCTAVE)
+    cell = (F.signum(value) * F.floor(size)).cast("bigint")
+    part = F.floor(F.signum(value) * (size - F.floor(size)) * PARTS).cast("bigint")
+    counted = (
+        rows.withColumns({"cell": cell, "part": part})
+        .groupBy(*keys, "cell", "part", value)
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("before", F.coalesce(F.sum("n").over(up_to), F.lit(0)))
-        .withColumn("total", F.sum("n").over(in_group))
     )
+    wanted = {name: (p, f"{name}_low", f"{name}_high") for name, p in percentiles.items()}
 
     def rank(p: float, rounding) -> Column:
         return rounding(F.lit(p) * (F.col("total") - 1)).cast("bigint")
 
-    def holds(r: Column, n: str) -> Column:
-        return (r >= F.col("before")) & (r < F.col("before") + F.col(n))
+    def holds(r: Column) -> Column:
+        return (r >= F.col("before")) & (r < F.col("before") + F.col("n"))
+
+    def running(frame: DataFrame, within: list[str], order: str) -> DataFrame:
+        """The rows with `before` moved on by what stands in front of each of them."""
+        ahead = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+        ahead = ahead.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return frame.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(ahead), F.lit(0)))
 
     any_rank = F.lit(False)
     for p, _, _ in wanted.values():
-        any_rank = any_rank | holds(rank(p, F.floor), "n") | holds(rank(p, F.ceil), "n")
-    targets = cells.filter(any_rank).select(*keys, "cell", F.col("before").alias("cell_before"), "total")
+        any_rank = any_rank | holds(rank(p, F.floor)) | holds(rank(p, F.ceil))
 
-    counted = (
-        _join_on(rows, targets, [*keys, "cell"])
-        .groupBy(*keys, "cell", "cell_before", "total", value)
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    in_cell = Window.partitionBy(*keys, "cell").orderBy(value)
-    placed = counted.withColumn(
-        "before",
-        F.col("cell_before")
-        + F.coalesce(F.sum("copies").over(in_cell.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    )
+    in_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    cells = counted.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
+    cells = cells.withColumns({"total": F.sum("n").over(in_group), "before": F.lit(0).cast("bigint")})
+    cells = running(cells, keys, "cell").filter(any_rank).drop("n")
+
+    parts = _join_on(counted, cells, [*keys, "cell"]).groupBy(*keys, "cell", "part", "total", "before")
+    parts = running(parts.agg(F.sum("n").alias("n")), [*keys, "cell"], "part").filter(any_rank).drop("n")
+
+    placed = running(_join_on(counted, parts, [*keys, "cell", "part"]), [*keys, "cell", "part"], value)
     ends = []
     for p, low, high in wanted.values():
-        ends.append(F.max(F.when(holds(rank(p, F.floor), "copies"), F.col(value))).alias(low))
-        ends.append(F.max(F.when(holds(rank(p, F.ceil), "copies"), F.col(value))).alias(high))
+        ends.append(F.max(F.when(holds(rank(p, F.floor)), F.col(value))).alias(low))
+        ends.append(F.max(F.when(holds(rank(p, F.ceil)), F.col(value))).alias(high))
     read = placed.groupBy(*keys).agg(F.max("total").alias("total"), *ends)
 
     def interpolated(p: float, low: str, high: str) -> Column:
-        position = F.lit(p) * (F.col("total") - 1)
-        return F.col(low) + (F.col(high) - F.col(low)) * (position - F.floor(position))
+        """As Spark's percentile does it, so that both plans give the same bits."""
+        at = F.lit(p) * (F.col("total") - 1)
+        between = (F.ceil(at) - at) * F.col(low) + (at - F.floor(at)) * F.col(high)
+        return F.when(F.ceil(at) == F.floor(at), F.col(low)).otherwise(between)
 
     return read.select(*keys, *[interpolated(*w).alias(name) for name, w in wanted.items()])
 
 
-def _cell(value: Column) -> Column:
-    """Grid cell of a number: ordered as the numbers are, finer for small ones."""
-    size = F.log2(F.abs(value) * F.lit(CELL_UNIT) + 1.0) * F.lit(CELLS_PER_OCTAVE)
-    return (F.signum(value) * F.floor(size)).cast("bigint")
-
-
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on keys that may be NULL; the key columns of the left side remain."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})

@@ -18,11 +18,11 @@ def _with_p90(closed, keys, measures, in_task):
     return summarize(closed, keys, measures, "cycle_hours", P90_CYCLE, in_task)
 
 
-def variant_summary(closed: DataFrame, in_task: bool = True) -> DataFrame:
+def variant_summary(closed: DataFrame, in_task: bool = False) -> DataFrame:
     return _with_p90(closed, ["variant"], [*m.core(), *m.outcome_rates(), *m.handoff_means()], in_task)
 
 
-def handoff_summary(closed: DataFrame, in_task: bool = True) -> DataFrame:
+def handoff_summary(closed: DataFrame, in_task: bool = False) -> DataFrame:
     changes = F.col("resolver_changes")
     measures = [
         *m.core(),
@@ -42,7 +42,7 @@ def _closure_rates():
     ]
 
 
-def cx_summary(closed: DataFrame, in_task: bool = True) -> DataFrame:
+def cx_summary(closed: DataFrame, in_task: bool = False) -> DataFrame:
     """One row, also when there is no case."""
     within_a_day = m.rate("reopened_within_24h", "reopened_within_24h_rate")
     return _with_p90(closed, [], [*m.core(), *_closure_rates(), within_a_day], in_task)
@@ -52,7 +52,7 @@ def cx_breakdown(closed: DataFrame) -> DataFrame:
     return closed.groupBy("issue_type", "priority").agg(*m.core(), *_closure_rates())
 
 
-def problem_candidates(closed: DataFrame, in_task: bool = True) -> DataFrame:
+def problem_candidates(closed: DataFrame, in_task: bool = False) -> DataFrame:
     """Recurring themes with an impact score; a cohort without any SLA target counts as all missed."""
     themes = _with_p90(
         closed.filter(F.col("short_description_norm").isNotNull()),
@@ -81,11 +81,11 @@ def _channel_measures():
     ]
 
 
-def channel_summary(closed: DataFrame, in_task: bool = True) -> DataFrame:
+def channel_summary(closed: DataFrame, in_task: bool = False) -> DataFrame:
     return _with_p90(closed, ["report_channel"], _channel_measures(), in_task)
 
 
-def channel_issue_summary(closed: DataFrame, in_task: bool = True) -> DataFrame:
+def channel_issue_summary(closed: DataFrame, in_task: bool = False) -> DataFrame:
     return _with_p90(closed, ["report_channel", "issue_type"], _channel_measures(), in_task)
 
 

@@ -15,12 +15,17 @@ from ticketloom.session import require_utc
 
 
 class EventLogModel:
-    """Derived relations over a log of unique events."""
+    """Derived relations over a log of unique events.
 
-    def __init__(self, parts: LogParts, reference: ReferenceData | None = None):
+    `in_task` is the caller's word that no group has more different values than a task holds, for the
+    percentiles of the summaries; nothing sets it by the size of the data.
+    """
+
+    def __init__(self, parts: LogParts, reference: ReferenceData | None = None, in_task: bool = False):
         spark = parts.normal.sparkSession
         require_utc(spark)
         self.parts = parts
+        self.in_task = in_task
         self.reference = reference or ReferenceData.defaults(spark)
 
     @classmethod
@@ -30,11 +35,6 @@ class EventLogModel:
         """A model over a stored log, in which every event_key is unique."""
         return cls(split_log(log, in_task_rows=in_task_rows), reference)
 
-    @property
-    def in_task(self) -> bool:
-        """Whether no group of this log can outgrow a task."""
-        return self.parts.small
-
     @cached_property
     def log(self) -> DataFrame:
         return self.parts.whole
@@ -63,14 +63,13 @@ class EventLogModel:
     def _facts(self) -> list[DataFrame]:
         found = [cases.case_facts(self._normalized(self.parts.normal))]
         if self._large is not None:
-            found.append(cases.large_case_facts(self._large, self._sequences[1]))
+            found.append(cases.large_case_facts(self._large, self._sequences[1], self.parts.per_large_case))
         return found
 
     @cached_property
     def _closed(self) -> list[DataFrame]:
         first, *large = (cases.closed_cases(f, self.reference.sla_policy) for f in self._facts)
-        # Large cases are fewer than log rows / in-task rows, so they may be broadcast in any join.
-        return [first, *[F.broadcast(c) for c in large]]
+        return [first, *[self.parts.per_large_case(c) for c in large]]
 
     @cached_property
     def sequence(self) -> DataFrame:
@@ -91,7 +90,7 @@ class EventLogModel:
         """`build(sequence, closed)`, for a join of events with their own cases.
 
         Built for each part of the log: normal cases meet their events in the partitioning that
-        both have, large cases are broadcast to theirs.
+        both have; large cases come with a hint to broadcast them if there are few enough.
         """
         return _together([build(s, c) for s, c in zip(self._sequences, self._closed)])
 
@@ -107,7 +106,7 @@ class EventLogModel:
 
     def over_stored(self, spark: SparkSession, path: str) -> "EventLogModel":
         """A model that reads the relations written by `materialize`."""
-        model = EventLogModel(self.parts, self.reference)
+        model = EventLogModel(self.parts, self.reference, self.in_task)
         model._sequences = [spark.read.parquet(f"{path}/event_seq")]
         model._closed = [spark.read.parquet(f"{path}/closed_cases")]
         return model

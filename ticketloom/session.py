@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Rows, of a few hundred bytes at most, up to which a frame of known size is broadcast.
+BROADCAST_ROWS = 100_000
 
 TARGET_PARTITION_BYTES = 192 * 1024 * 1024
 
@@ -46,6 +50,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def broadcast_up_to(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame, known to have no more than `rows` narrow rows, with a hint to broadcast it if those are few."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The frame written once to the shared folder and read back: fixed rows, no lineage."""
     spark = df.sparkSession

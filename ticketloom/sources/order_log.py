@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ticketloom.plans.skew import IN_TASK_ROWS, LogParts, split_log
 from ticketloom.schema import CSAT_TYPE, TARGET_COLUMNS
+from ticketloom.session import broadcast_up_to, stored
 from ticketloom.sources.event_store import keyed_events
 
 # Raw labels by the position of a line and its part and supplier numbers.
@@ -94,14 +95,18 @@ def order_lines(lineitem: DataFrame) -> DataFrame:
     return lineitem.selectExpr("concat('INC', l_orderkey) AS case_id", *LINE_COLUMNS)
 
 
-def order_event_log(lines: DataFrame, orders: DataFrame) -> DataFrame:
+def order_event_log(lines: DataFrame, orders: DataFrame, large_ids: DataFrame | None = None) -> DataFrame:
     """The eleven log columns, before keys and de-duplication.
 
-    Lines and orders meet on case_id, so lines that are partitioned by case stay where they are.
+    Lines and orders meet on case_id, so lines that are partitioned by case stay where they are. With the
+    ids of a few large cases only their headers are joined, and the lines of one case stay spread.
     """
     headers = orders.selectExpr(
         "concat('INC', o_orderkey) AS case_id", "o_custkey", "o_orderdate", "o_orderpriority"
     )
+    if large_ids is not None:
+        headers = stored(headers.join(large_ids, "case_id", "left_semi"), "large-headers")
+        headers = broadcast_up_to(headers, headers.count())
     return lines.join(headers, "case_id").selectExpr(
         *[f"{LOG_EXPRESSIONS[c]} AS {c}" for c in TARGET_COLUMNS]
     )
@@ -114,4 +119,5 @@ def order_log_parts(lineitem: DataFrame, orders: DataFrame, in_task_rows: int =
         lambda lines: keyed_events(order_event_log(lines, orders)),
         unique=False,
         in_task_rows=in_task_rows,
+        large_to_events=lambda lines, ids: keyed_events(order_event_log(lines, orders, ids)),
     )
