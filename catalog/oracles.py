@@ -338,6 +338,7 @@ complete AS (
   WHERE variant <> '' AND priority <> '' AND issue_type <> '' AND report_channel <> '')""",
 )
 _STATS = """(SELECT count(*) FROM tidy) AS rows_input, count(*) AS rows_valid,
+  (SELECT count(*) FROM untidy WHERE trim(written_csat) <> '' AND score IS NULL) AS nulled_scores,
   (SELECT count(*) FROM tidy) - count(*) AS rows_dropped, count(DISTINCT case_id) AS distinct_cases,
   count(DISTINCT event) AS distinct_events, min(ts) AS min_ts, max(ts) AS max_ts"""
 ORACLES["validate_only"] = _with(
@@ -421,6 +422,19 @@ ORACLES["log_constraints"] = _with(
 FROM keyed""",
 )
 
+_FOUND = {
+    "unmapped_events": f"SELECT coalesce(sum(events), 0) FROM ({ORACLES['unmapped_events']})",
+    "unseeded_dimensions": "SELECT 0",
+    "unknown_alias_codes": "SELECT 0",
+    "broken_policies": "SELECT 0",
+    "log_constraints": f"""SELECT missing_case_id + missing_ts + missing_event + surplus_rows
+  FROM ({ORACLES['log_constraints']})""",
+}
+ORACLES["verify"] = " UNION ALL ".join(
+    f"""SELECT '{name}' AS "check", CAST(({sql}) AS BIGINT) AS violations, ({sql}) = 0 AS passed"""
+    for name, sql in _FOUND.items()
+)
+
 # Event-level relations
 
 ORACLES["event_normalized"] = _with(NORM, f"SELECT * REPLACE ({CSAT}) FROM norm")
@@ -680,9 +694,8 @@ ORACLES["handoff_worklist_pingpong"] = over_scope(
   FROM scoped WHERE swapped ORDER BY pingpong_transitions DESC, case_id LIMIT 200)"""
 )
 ORACLES["handoff_worklist_worst"] = over_closed(
-    f"SELECT {WORST_COLUMNS} FROM picked",
-    f"\nworst AS (FROM closed {WORST_ORDER} LIMIT 200)",
-    _scope("picked", *WIDE_DAYS, source="worst", **WIDE_SELECTED),
+    f"SELECT {WORST_COLUMNS} FROM (FROM picked {WORST_ORDER} LIMIT 200)",
+    _scope("picked", *WIDE_DAYS, **WIDE_SELECTED),
 )
 
 # Quality
@@ -737,12 +750,10 @@ ORACLES["enablement_by_issue"] = over_scope(
   {d("count(*) FILTER (NOT fcr) * avg(cycle_hours)", "enablement_score")}
 FROM scoped GROUP BY ALL"""
 )
-LONGEST = f"\nlongest AS (FROM closed {LONGEST_ORDER} LIMIT 500)"
-PICKED = _scope("picked", *WIDE_DAYS, source="longest", **WIDE_SELECTED)
+PICKED = _scope("picked", *WIDE_DAYS, **WIDE_SELECTED)
 ORACLES["prevention_backlog"] = over_closed(
     f"""SELECT issue_type, short_description_norm, {CASES}, {AVG_CYCLE} FROM picked GROUP BY ALL
 ORDER BY count(*) DESC, avg(cycle_hours) DESC, issue_type, short_description_norm NULLS FIRST LIMIT 15""",
-    LONGEST,
     PICKED,
 )
 ORACLES["enablement_kpis"] = over_scope(
@@ -753,7 +764,6 @@ ORACLES["low_fcr_worklist"] = over_scope(
 )
 ORACLES["problem_worklist"] = over_closed(
     f"SELECT {PROBLEM_COLUMNS} FROM (FROM picked ORDER BY cycle_hours DESC, case_id LIMIT 200)",
-    LONGEST,
     PICKED,
 )
 

@@ -12,7 +12,7 @@ from catalog.inputs import SCOPE, WIDE_SCOPE, portable
 from ticketloom import EventLogModel
 from ticketloom.operators import cases, checks, events, outcomes, scope, summaries
 from ticketloom.session import scratch_dir
-from ticketloom.sources import event_csv, event_store, export
+from ticketloom.sources import event_csv, event_store, export, load
 from ticketloom.streaming.incremental import ingest_new_files
 from ticketloom.workstreams import command, enablement, flow, handoffs, intake, quality
 
@@ -114,16 +114,17 @@ def replace_load(spark, sf_dir):
 @_query
 def load_stats(spark, sf_dir):
     """Statistics of a load of the untidy export into a store that holds part of it."""
-    clean = _clean(spark, sf_dir)
-    valid = event_store.keyed_events(event_csv.drop_invalid(clean))
-    earlier = valid.filter(F.col("ts") < F.lit(inputs.FIRST_LOAD_ENDS).cast("timestamp"))
-    return event_store.load_stats(clean, valid, event_store.unseen_events(valid, earlier))
+    store = event_store.EventStore(spark, scratch_dir(spark, "events"))
+    columns = event_csv.target_columns(inputs.export_rows(spark, sf_dir))
+    earlier = event_csv.events_from_columns(columns)
+    store.replace(earlier.filter(F.col("ts") < F.lit(inputs.FIRST_LOAD_ENDS).cast("timestamp")))
+    return load.load_columns(store, columns)
 
 
 @_query
 def validate_only(spark, sf_dir):
-    clean = _clean(spark, sf_dir)
-    return event_store.load_stats(clean, event_csv.drop_invalid(clean))
+    columns = event_csv.target_columns(inputs.export_rows(spark, sf_dir))
+    return event_store.load_stats(event_csv.cleaned(columns, marks=True))
 
 
 @_query
@@ -133,12 +134,13 @@ def top_events(spark, sf_dir):
 
 @_query
 def incremental_ingest(spark, sf_dir):
-    """Two runs of the stream over a growing folder, then the store."""
+    """Two runs of the stream over a growing folder whose files have two layouts, then the store."""
     folder, state = scratch_dir(spark, "incoming"), scratch_dir(spark, "stream")
     store = event_store.EventStore(spark, scratch_dir(spark, "events"))
     rows = inputs.plain_export(spark, sf_dir)
     early = F.col("timestamp") < inputs.FIRST_LOAD_ENDS
-    for part in (rows.filter(early), rows):
+    renamed = rows.withColumnRenamed("severity", "Priority").withColumnRenamed("summary", "Short Description")
+    for part in (rows.filter(early), renamed.select(*reversed(renamed.columns))):
         part.write.mode("append").options(header="true", sep=";", escape='"').csv(folder)
         ingest_new_files(spark, folder, store, state)
     return store.read()
@@ -171,7 +173,8 @@ _over_model("unmapped_events", lambda m: checks.unmapped_events(m.normalized))
 
 @_query
 def reference_counts(spark, sf_dir):
-    """Rows of each dimension that the log makes use of."""
+    """Rows of each dimension that the log makes use of: the dimensions themselves are fixed values, and a
+    query has to read a given table."""
     m = inputs.model(spark, sf_dir)
     ref = m.reference
     used = {
@@ -206,6 +209,13 @@ def log_constraints(spark, sf_dir):
     return checks.log_constraints(inputs.keyed(spark, sf_dir))
 
 
+@_query
+def verify(spark, sf_dir):
+    """All checks over the log with its copies; unmapped labels and copies fail it."""
+    m = inputs.model(spark, sf_dir)
+    return checks.verification(m.normalized, inputs.keyed(spark, sf_dir), m.reference)
+
+
 # Event-level relations
 
 _over_model("event_normalized", lambda m: m.normalized)

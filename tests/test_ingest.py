@@ -1,7 +1,7 @@
 """Reading, cleaning and storing exports."""
 
 import hashlib
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from ticketloom import EventLogModel, ReferenceData
 from ticketloom.functions.text import WHITE_SPACE, stripped
 from ticketloom.functions.times import parse_timestamp
 from ticketloom.operators import cases, checks
+from ticketloom.operators.events import event_normalized
+from ticketloom.reference import EVENT_ALIASES
 from ticketloom.schema import LOG_SCHEMA, TARGET_COLUMNS
 from ticketloom.session import scratch_dir, settings_for
 from ticketloom.sources.event_csv import (
@@ -26,12 +28,15 @@ from ticketloom.sources.event_csv import (
 )
 from ticketloom.sources.event_store import (
     EventStore,
+    dedupe_events,
     keyed_events,
     load_stats,
     top_events,
+    unique_in_case,
     unseen_events,
 )
 from ticketloom.sources.export import export_csv
+from ticketloom.sources.load import load_exports
 from ticketloom.streaming.incremental import ingest_new_files
 
 HEADER = (
@@ -178,11 +183,11 @@ def test_event_key_is_the_hash_of_the_joined_parts(spark):
 
 def test_a_repeated_load_inserts_nothing(spark, fixture_csv):
     raw = read_event_csv(spark, fixture_csv)
-    clean = cleaned(target_columns(raw))
+    clean = cleaned(target_columns(raw), marks=True)
     valid = keyed_events(drop_invalid(clean))
     store = EventStore(spark, scratch_dir(spark, "store"))
     for inserted, duplicates in ((4, 1), (0, 5)):
-        stats = load_stats(clean, valid, unseen_events(valid, store.read())).first()
+        stats = load_stats(clean, unseen_events(valid, store.read())).first()
         assert (stats.rows_input, stats.rows_valid, stats.rows_dropped) == (5, 5, 0)
         assert (stats.rows_inserted, stats.rows_duplicate) == (inserted, duplicates)
         assert (stats.distinct_cases, stats.distinct_events) == (1, 4)
@@ -195,8 +200,8 @@ def test_a_repeated_load_inserts_nothing(spark, fixture_csv):
 
 
 def test_validation_counts_every_valid_row(spark, fixture_csv):
-    clean = cleaned(target_columns(read_event_csv(spark, fixture_csv)))
-    stats = load_stats(clean, drop_invalid(clean)).first()
+    clean = cleaned(target_columns(read_event_csv(spark, fixture_csv)), marks=True)
+    stats = load_stats(clean).first()
     assert (stats.rows_inserted, stats.rows_duplicate) == (5, 0)
 
 
@@ -228,6 +233,109 @@ def test_the_stream_loads_each_file_once(spark, tmp_path):
     assert ingest("b.csv", FIXTURE) == 4
 
 
+SWAPPED = "Summary;csat;reported_by;severity;incident_number;path;time;activity;type;owner;intake_channel"
+
+
+def swapped(case, reporter, priority, summary, ts="2024-02-01 08:00:00", csat="3.00"):
+    return f"{summary};{csat};{reporter};{priority};{case};Standard;{ts};Ticket created;Access;L1;Portal"
+
+
+@pytest.fixture
+def layouts(tmp_path):
+    """Files with two headers in different order, one of them with a line break inside a cell."""
+    folder = tmp_path / "layouts"
+    folder.mkdir()
+    (folder / "a.csv").write_text("\n".join([HEADER, *FIXTURE]) + "\n")
+    (folder / "b.csv").write_text("\n".join([SWAPPED, swapped("INC2", "Ben", "Low", "Printer")]) + "\n")
+    broken = swapped("INC3", "Cem", "Medium", '"Two lines:\nsecond ""line"""', csat="4.25")
+    (folder / "c.csv").write_text("\n".join([SWAPPED, broken, swapped("INC4", "Dee", "High", "x")]) + "\n")
+    return str(folder)
+
+
+def check_layouts(store):
+    rows = {r.case_id: r for r in store.read().where("case_id <> 'INC100'").collect()}
+    assert {c: (r.priority, r.reporter) for c, r in rows.items()} == {
+        "INC2": ("Low", "Ben"), "INC3": ("Medium", "Cem"), "INC4": ("High", "Dee"),
+    }
+    assert (rows["INC3"].short_description, float(rows["INC3"].customer_satisfaction)) == (
+        'Two lines:\nsecond "line"', 4.25,
+    )
+    assert store.read().count() == 7
+
+
+def test_each_file_is_read_by_its_own_header(spark, layouts):
+    store = EventStore(spark, scratch_dir(spark, "store"))
+    for inserted in (7, 0):
+        stats = load_exports(spark, layouts, store).first()
+        assert (stats.rows_input, stats.rows_inserted, stats.rows_duplicate) == (8, inserted, 8 - inserted)
+    check_layouts(store)
+
+
+def test_the_stream_reads_each_file_by_its_own_header(spark, layouts):
+    store = EventStore(spark, scratch_dir(spark, "store"))
+    state = scratch_dir(spark, "stream")
+    assert [ingest_new_files(spark, layouts, store, state, files_per_batch=2) for _ in range(2)] == [7, 0]
+    check_layouts(store)
+
+
+def test_an_empty_folder_loads_nothing(spark, tmp_path):
+    store = EventStore(spark, scratch_dir(spark, "store"))
+    folder = tmp_path / "empty"
+    folder.mkdir()
+    stats = load_exports(spark, str(folder), store).first()
+    assert (stats.rows_input, stats.rows_inserted) == (0, 0)
+    assert ingest_new_files(spark, str(folder), store, scratch_dir(spark, "stream")) == 0
+
+
+def test_dropped_scores_are_counted(spark, tmp_path):
+    scores = ["", " ", "4.5", "good", "5000", "999.99", "-1e3"]
+    lines = [line(f"2024-01-01 08:00:0{i}", "Ticket created", s) for i, s in enumerate(scores)]
+    (tmp_path / "scores.csv").write_text("\n".join([HEADER, *lines]) + "\n")
+    stats = load_exports(spark, str(tmp_path), EventStore(spark, scratch_dir(spark, "store"))).first()
+    assert (stats.rows_valid, stats.nulled_scores) == (7, 3)
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_of_copies_the_smallest_stays(spark, turned):
+    """NULL and an empty text give one key; the input's order must not choose between them."""
+    rows = [row("C", "2024-01-01 08:00", "Ticket created", resolver=r) for r in ("", None)]
+    log = spark.createDataFrame(rows[::-1] if turned else rows, LOG_SCHEMA).coalesce(1)
+    keyed = keyed_events(log)
+    for found in (dedupe_events(keyed), unique_in_case(keyed.repartition("case_id"))):
+        assert [r.resolver for r in found.collect()] == [None]
+
+
+def test_only_touched_months_are_read(spark):
+    store = EventStore(spark, scratch_dir(spark, "store"))
+    times = ("1970-01-01 00:00", "2024-01-01 08:00", "2024-03-01 08:00")
+    batch = keyed_events(spark.createDataFrame([row("C", t, "Ticket created") for t in times], LOG_SCHEMA))
+    assert store.append_new(batch) == 3
+    two = batch.where("ts <> TIMESTAMP '2024-01-01 08:00'")
+    assert store.append_new(two) == 0
+    months = {r[0] for r in store._touched([date(1970, 1, 1), date(2024, 3, 1)]).select("event_month").collect()}
+    assert months == {date(1970, 1, 1), date(2024, 3, 1)}
+
+
+def test_every_alias_maps_to_its_code(spark):
+    reference = ReferenceData.defaults(spark)
+    assert len(EVENT_ALIASES) == 22
+    log = [row("C", f"2024-01-01 08:{i:02}", label) for i, (label, _) in enumerate(EVENT_ALIASES)]
+    normalized = event_normalized(keyed_events(spark.createDataFrame(log, LOG_SCHEMA)), reference.event_alias)
+    assert {r.raw_event_name: r.event_code for r in normalized.collect()} == dict(EVENT_ALIASES)
+
+
+def test_verification_fails_on_an_unmapped_label(spark, log_of):
+    reference = ReferenceData.defaults(spark)
+
+    def verified(*labels):
+        log = log_of(*[row("C", f"2024-01-01 08:{i:02}", label) for i, label in enumerate(labels)])
+        return checks.verification(event_normalized(log, reference.event_alias), log, reference)
+
+    checks.require_verified(verified("Ticket created", "Ticket closed"))
+    with pytest.raises(ValueError, match="unmapped_events: 1"):
+        checks.require_verified(verified("Ticket created", "Completely new raw event"))
+
+
 def test_quoted_cells(spark, tmp_path):
     path = tmp_path / "q.csv"
     path.write_text('a;b\n"x;y";"say ""hi"""\n')

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketloom.reference import ReferenceData
+
 
 def unmapped_events(normalized: DataFrame) -> DataFrame:
     """Raw labels without a canonical code and how often they occur; empty when all are mapped."""
@@ -64,5 +66,32 @@ def log_constraints(keyed: DataFrame) -> DataFrame:
     )
 
 
+def verification(normalized: DataFrame, keyed: DataFrame, reference: ReferenceData) -> DataFrame:
+    """All checks as rows (check, violations, passed)."""
+    dims = {
+        "event_alias": reference.event_alias,
+        "event_catalog": reference.event_catalog,
+        "sla_policy": reference.sla_policy,
+    }
+    found = {
+        "unmapped_events": unmapped_events(normalized).agg(F.coalesce(F.sum("events"), F.lit(0))),
+        "unseeded_dimensions": reference_counts(dims).agg(F.count_if(F.col("row_count") == 0)),
+        "unknown_alias_codes": alias_integrity(reference.event_alias, reference.event_catalog).agg(F.count(F.lit(1))),
+        "broken_policies": policy_integrity(reference.sla_policy).agg(F.count(F.lit(1))),
+        "log_constraints": log_constraints(keyed).selectExpr(
+            "coalesce(missing_case_id + missing_ts + missing_event + surplus_rows, 0)"
+        ),
+    }
+    rows = [df.toDF("violations").select(F.lit(name).alias("check"), "violations") for name, df in found.items()]
+    return reduce(DataFrame.unionByName, rows).withColumn("passed", F.col("violations") == 0)
+
+
+def require_verified(verified: DataFrame) -> None:
+    """Raises a ValueError that names the failed checks, if any failed."""
+    failed = [f"{r['check']}: {r['violations']}" for r in verified.where("NOT passed").orderBy("check").collect()]
+    if failed:
+        raise ValueError(f"verification failed, violations by check: {', '.join(failed)}")
+
+
 def load_range(cases: DataFrame) -> DataFrame:
     return cases.agg(F.min("created_at").alias("min_created"), F.max("closed_at").alias("max_closed"))

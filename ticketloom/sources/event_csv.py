@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ticketloom.functions.text import blank_to_null, stripped
 from ticketloom.functions.times import parse_timestamp
@@ -46,7 +47,8 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def csv_options(delimiter: str = DELIMITER, multiline: bool = False) -> dict[str, str]:
     """Quotes are doubled inside quoted cells. Line breaks in cells need multiline, whose files
-    are read whole by one task each; without it a file of any size is read in splits."""
+    are read whole by one task each; without it a file of any size is read in splits, and a record
+    with an open quote would be cut (`read_exports` finds the files that need it)."""
     return {
         "sep": delimiter,
         "header": "true",
@@ -59,10 +61,49 @@ def csv_options(delimiter: str = DELIMITER, multiline: bool = False) -> dict[str
 def read_event_csv(
     spark: SparkSession, path: str, delimiter: str = DELIMITER, multiline: bool = False
 ) -> DataFrame:
-    """All columns as strings; an empty cell is NULL."""
+    """All columns of files with one header as strings; an empty cell is NULL."""
     return spark.read.options(**csv_options(delimiter, multiline)).csv(path)
 
 
+def file_lines(lines: DataFrame) -> DataFrame:
+    """The lines of a text source with the file and the split that each comes from."""
+    return lines.select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
+
+
+def file_layouts(lines: DataFrame) -> DataFrame:
+    """One row per file: its header line, and whether a quoted cell reaches over a line's end.
+
+    One pass over the text (see `file_lines`). A line with an odd number of quotes begins or ends such a cell.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    numbered = lines.withColumn("line", F.monotonically_increasing_id())
+    return numbered.groupBy("file").agg(
+        F.min_by("value", F.struct("block", "line")).alias("header"), F.max(quotes % 2 == 1).alias("multiline")
+    )
+
+
+def read_layouts(spark: SparkSession, layouts: DataFrame, delimiter: str = DELIMITER) -> DataFrame:
+    """The eleven log columns, as text, of files whose headers may differ in names and order.
+
+    Files with one header are read together. Only files with a line break inside a cell are read whole,
+    by one task each; all others in splits. The driver holds the names of the files.
+    """
+    groups = layouts.groupBy("header", "multiline").agg(F.collect_list("file").alias("files")).collect()
+    empty = spark.createDataFrame([], T.StructType([T.StructField(t, T.StringType()) for t in TARGET_COLUMNS]))
+    found = empty
+    for group in sorted(groups, key=lambda g: (g["header"], g["multiline"])):
+        options = csv_options(delimiter, group["multiline"]) | {"enforceSchema": "false"}
+        found = found.unionByName(target_columns(spark.read.options(**options).csv(sorted(group["files"]))))
+    return found
+
+
+def read_exports(spark: SparkSession, path: str, delimiter: str = DELIMITER) -> DataFrame:
+    """The eleven log columns, as text, of all files of a folder; without any file, no rows."""
+    return read_layouts(spark, file_layouts(file_lines(spark.read.text(path))), delimiter)
+
+
 def normalize_header(name: str) -> str:
     """Lower-case words joined by single underscores."""
     return "_".join(re.findall("[a-z0-9]+", name.lower()))
@@ -109,9 +150,11 @@ def parse_csat(c: Column) -> Column:
     return number.try_cast(CSAT_TYPE)
 
 
-def cleaned(columns: DataFrame, iso_day_first: bool = False) -> DataFrame:
+def cleaned(columns: DataFrame, iso_day_first: bool = False, marks: bool = False) -> DataFrame:
     """Stripped text with blanks as NULL, timestamps in UTC, decimal scores.
 
+    With marks a column score_dropped tells where a written score is no number or out of range.
+
     The columns come out of inline, so that a filter on them is not pushed below and each cell is
     cleaned and parsed once instead of once per use.
     """
@@ -126,7 +169,10 @@ def cleaned(columns: DataFrame, iso_day_first: bool = False) -> DataFrame:
             c = blank_to_null(c)
         return c.alias(name)
 
-    return columns.select(F.inline(F.array(F.struct(*[clean(c) for c in TARGET_COLUMNS]))))
+    score = F.col("customer_satisfaction")
+    dropped = (blank_to_null(score).isNotNull() & parse_csat(score).isNull()).alias("score_dropped")
+    made = [clean(c) for c in TARGET_COLUMNS] + [dropped] * marks
+    return columns.select(F.inline(F.array(F.struct(*made))))
 
 
 def drop_invalid(clean: DataFrame) -> DataFrame:
@@ -134,6 +180,11 @@ def drop_invalid(clean: DataFrame) -> DataFrame:
     return clean.na.drop(subset=REQUIRED_COLUMNS)
 
 
+def events_from_columns(columns: DataFrame, iso_day_first: bool = False) -> DataFrame:
+    """Valid, keyed events of the log columns as text, copies included."""
+    return keyed_events(drop_invalid(cleaned(columns, iso_day_first)))
+
+
 def events_from_raw(raw: DataFrame, iso_day_first: bool = False) -> DataFrame:
     """Valid, keyed events of an export, copies included."""
-    return keyed_events(drop_invalid(cleaned(target_columns(raw), iso_day_first)))
+    return events_from_columns(target_columns(raw), iso_day_first)

@@ -8,7 +8,8 @@ from pyspark.sql.types import DateType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from ticketloom.functions.keys import event_key
-from ticketloom.schema import EVENT_COLUMNS, EVENT_SCHEMA, TARGET_COLUMNS
+from ticketloom.schema import EVENT_COLUMNS, EVENT_SCHEMA, REQUIRED_COLUMNS, TARGET_COLUMNS
+from ticketloom.session import stored
 
 MONTH = "event_month"
 TOP_EVENTS = 5
@@ -19,11 +20,13 @@ def keyed_events(log: DataFrame) -> DataFrame:
 
 
 def dedupe_events(keyed: DataFrame) -> DataFrame:
-    """One row per event_key. Equal keys mean equal content, so which copy stays does not matter.
+    """One row per event_key, the smallest of its copies.
 
-    Copies are dropped on the map side first, however many there are of one event.
+    Copies of a key differ at most in NULL against an empty text, and NULL is smaller, so the result does
+    not depend on the order of the input. Copies are dropped on the map side first, however many there are.
     """
-    return keyed.dropDuplicates(["event_key"])
+    smallest = keyed.groupBy("event_key").agg(F.min(F.struct(*TARGET_COLUMNS)).alias("event_row"))
+    return smallest.select("event_key", "event_row.*")
 
 
 def unique_in_case(keyed: DataFrame) -> DataFrame:
@@ -32,7 +35,8 @@ def unique_in_case(keyed: DataFrame) -> DataFrame:
     A key covers case and timestamp, so copies are neighbours in the order that the sequence of a
     case needs anyway; that sort is shared and no further shuffle is needed.
     """
-    in_case = Window.partitionBy("case_id").orderBy("ts", "event_key")
+    rest = [c for c in TARGET_COLUMNS if c not in ("case_id", "ts")]
+    in_case = Window.partitionBy("case_id").orderBy("ts", "event_key", *rest)
     return (
         keyed.withColumn("previous_key", F.lag("event_key").over(in_case))
         .filter(~F.col("event_key").eqNullSafe(F.col("previous_key")))
@@ -64,25 +68,34 @@ class EventStore:
         schema = StructType([*EVENT_SCHEMA.fields, StructField(MONTH, DateType())])
         try:
             return self.spark.read.schema(schema).parquet(self.path)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], schema)
 
-    def append_new(self, batch: DataFrame) -> None:
-        """Append the unseen events of a keyed batch; a repeated load appends nothing.
+    def append_new(self, batch: DataFrame) -> int:
+        """Append the unseen events of a keyed batch; the number of events appended.
 
-        The key covers the timestamp, so only the stored months that the batch touches can hold a
-        copy. The first and the last of them limit the part of the store that is scanned.
+        A repeated load appends nothing. The key covers the timestamp, so only the stored months that the
+        batch touches can hold a copy, and only those are read. The batch is evaluated once, into the shared
+        folder. The number is a difference of row counts, which Parquet keeps with each file.
         """
-        month = _month(F.col("ts"))
-        first, last = batch.agg(F.min(month), F.max(month)).first()
-        if first is None:
-            return
-        touched = self._months().filter(F.col(MONTH).between(first, last))
-        self._write(unseen_events(batch, touched), "append")
-
-    def replace(self, batch: DataFrame) -> None:
-        """Drop the stored events and load the batch."""
+        batch = stored(batch.withColumn(MONTH, _month(F.col("ts"))), "batch")
+        # One row per month of the log's span.
+        months = [r[MONTH] for r in batch.select(MONTH).distinct().collect()]
+        if not months:
+            return 0
+        before = self._touched(months).count()
+        self._write(unseen_events(batch.drop(MONTH), self._touched(months)), "append")
+        return self._touched(months).count() - before
+
+    def _touched(self, months: list) -> DataFrame:
+        return self._months().filter(F.col(MONTH).isin(months))
+
+    def replace(self, batch: DataFrame) -> int:
+        """Drop the stored events and load the batch; the number of events loaded."""
         self._write(dedupe_events(batch), "overwrite")
+        return self._months().count()
 
     def _write(self, events: DataFrame, mode: str) -> None:
         # rebalance writes few files per month and still splits a month that holds much of the log
@@ -95,27 +108,31 @@ class EventStore:
         )
 
 
-def load_stats(cleaned: DataFrame, valid: DataFrame, inserted: DataFrame | None = None) -> DataFrame:
-    """One row of counts for a load: `cleaned` before and `valid` after the required-column check.
+def load_stats(cleaned: DataFrame, inserted: DataFrame | int | None = None) -> DataFrame:
+    """One row of counts for a load, in one pass over the cleaned rows (with marks).
 
-    Without `inserted` the load is a validation: every valid row counts as insertable.
+    `inserted` is the frame of inserted events, or their number. Without it the load is a validation: every
+    valid row counts as insertable.
     """
-    stats = valid.agg(
-        F.count(F.lit(1)).alias("rows_valid"),
-        F.count_distinct("case_id").alias("distinct_cases"),
-        F.count_distinct("event").alias("distinct_events"),
-        F.min("ts").alias("min_ts"),
-        F.max("ts").alias("max_ts"),
+    valid = F.lit(True)
+    for c in REQUIRED_COLUMNS:
+        valid = valid & F.col(c).isNotNull()
+    one = cleaned.withColumn("valid", valid).agg(
+        F.count(F.lit(1)).alias("rows_input"),
+        F.count_if("valid").alias("rows_valid"),
+        F.count_if("score_dropped").alias("nulled_scores"),
+        F.count_distinct(F.when(F.col("valid"), F.col("case_id"))).alias("distinct_cases"),
+        F.count_distinct(F.when(F.col("valid"), F.col("event"))).alias("distinct_events"),
+        F.min(F.when(F.col("valid"), F.col("ts"))).alias("min_ts"),
+        F.max(F.when(F.col("valid"), F.col("ts"))).alias("max_ts"),
     )
-    parts = [cleaned.agg(F.count(F.lit(1)).alias("rows_input")), stats]
-    if inserted is not None:
-        parts.append(inserted.agg(F.count(F.lit(1)).alias("rows_inserted")))
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part, allowMissingColumns=True)
-    one = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
     if inserted is None:
         one = one.withColumn("rows_inserted", F.col("rows_valid"))
+    elif isinstance(inserted, int):
+        one = one.withColumn("rows_inserted", F.lit(inserted).cast("bigint"))
+    else:
+        stacked = one.unionByName(inserted.agg(F.count(F.lit(1)).alias("rows_inserted")), allowMissingColumns=True)
+        one = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
     return one.withColumns(
         {
             "rows_dropped": F.col("rows_input") - F.col("rows_valid"),

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from ticketloom.session import require_utc
-from ticketloom.sources.event_csv import DELIMITER, csv_options, events_from_raw, read_event_csv
+from ticketloom.sources.event_csv import DELIMITER, events_from_columns, file_layouts, file_lines, read_layouts
 from ticketloom.sources.event_store import EventStore
 
 
@@ -17,28 +16,26 @@ def ingest_new_files(
     checkpoint: str,
     delimiter: str = DELIMITER,
     files_per_batch: int = 1000,
-) -> None:
-    """Load every file that has not been loaded yet, then stop.
+) -> int:
+    """Load every file that has not been loaded yet, then stop; the number of events appended.
 
-    The stream's checkpoint remembers the files. A batch that is repeated after a failure appends
-    nothing twice, because the store is asked for the keys first; no keys are held as state.
+    The stream reads lines, which tell the header of each new file and whether its cells hold line breaks;
+    the files are then read by their own headers. The stream's checkpoint remembers the files. A batch that
+    is repeated after a failure appends nothing twice, because the store is asked for the keys first.
     """
     require_utc(spark)
-    headers = read_event_csv(spark, folder, delimiter).columns
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in headers])
-    files = (
-        spark.readStream.schema(schema)
-        .options(**csv_options(delimiter), maxFilesPerTrigger=str(files_per_batch))
-        .csv(folder)
-    )
+    lines = file_lines(spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder))
+    appended = [0]
 
     def load(batch: DataFrame, _: int) -> None:
-        store.append_new(events_from_raw(batch))
+        columns = read_layouts(batch.sparkSession, file_layouts(batch), delimiter)
+        appended[0] += store.append_new(events_from_columns(columns))
 
     query = (
-        files.writeStream.foreachBatch(load)
+        lines.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    return appended[0]
