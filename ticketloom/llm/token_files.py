@@ -1,6 +1,6 @@
 """Operator 10: token ids in Arrow files of fixed-size lists.
 
-Documents in ascending doc_id order are encoded, an end id follows each, and the ids of a file are cut
+Documents in ascending doc_id order are encoded (as the library does, see word_bpe), an end id follows each, and the ids of a file are cut
 into sequences of one length. A file is in Arrow's random-access format: batches of equally many rows (the
 last one may be shorter) with two fixed-size-list columns, `ids` and `mask`; the mask is false on the
 padding that fills the last sequence. So sequence i lies in batch i // rows at row i % rows, and a mapped
@@ -30,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketloom.llm.batches import Memo, slices, text_column
+from ticketloom.llm.batches import slices, text_column
 from ticketloom.llm.shared_files import create, mapped
-from ticketloom.llm.word_splits import Vocabulary
+from ticketloom.llm.word_bpe import Encoder, vocabulary
 from ticketloom.session import scratch_dir
 
 MANIFEST = "file STRING, part INT, n_docs LONG, n_ids LONG"
@@ -47,27 +47,11 @@ class Layout:
     end_id: int = 1
 
 
-class LibraryEncoder:
-    """The library's own encoding, memoised by word where words are independent (see word_splits)."""
-
-    def __init__(self, tokenizer_file: str):
-        self.vocabulary = Vocabulary(tokenizer_file)
-        self.type = np.dtype("<u2" if self.vocabulary.size <= 1 << 16 else "<u4")
-        self.words = Memo(self._whole)
-
-    def _whole(self, text: str) -> bytes:
-        ids = self.vocabulary.library.encode(text, add_special_tokens=False).ids
-        return np.array(ids, self.type).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if self.vocabulary.is_plain(text):
-            return b"".join(map(self.words.__getitem__, text.split()))
-        return self._whole(text)
-
-
 @lru_cache(maxsize=2)
-def library_encoder(tokenizer_file: str) -> LibraryEncoder:
-    return LibraryEncoder(tokenizer_file)
+def packed_encoder(tokenizer_file: str) -> Encoder:
+    """One per Python worker, kept between its tasks; ids have 16 bits if the vocabulary fits."""
+    known = vocabulary(tokenizer_file)
+    return Encoder(known, code="H" if known.size <= 1 << 16 else "I")
 
 
 class SequenceWriter:
@@ -122,20 +106,21 @@ def write_token_files(documents: DataFrame, tokenizer_file: str, folder: str, la
     )
 
     def write(batches):
-        encode = library_encoder(tokenizer_file)
-        end = np.array([layout.end_id], encode.type).tobytes()
+        encoder = packed_encoder(tokenizer_file)
+        id_type = np.dtype(f"<{encoder.code}")
+        end = np.array([layout.end_id], id_type).tobytes()
         name = f"{folder}/{uuid.uuid4().hex}"
         ids = index = stream = None
         n_docs = n_ids = 0
         for batch in slices(batches):
-            packed = [encode.encode(t) + end for t in batch.column("text").to_pylist()]
-            sizes = np.array([len(p) // encode.type.itemsize for p in packed], np.int64)
+            packed = [encoder.encode(t) + end for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(p) // id_type.itemsize for p in packed], np.int64)
             starts = n_ids + np.cumsum(sizes) - sizes
             part = pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(starts), pa.array(sizes)], names=["doc_id", "first", "size"]
             )
             if ids is None:
-                ids = SequenceWriter(f"{name}.arrow", encode.type, layout)
+                ids = SequenceWriter(f"{name}.arrow", id_type, layout)
                 stream = create(f"{name}.index.arrow")
                 index = pa.ipc.new_file(stream, part.schema)
             for p in packed:

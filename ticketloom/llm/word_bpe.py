@@ -15,6 +15,7 @@ row; an empty table gives an empty result; other columns of the table are not re
 from __future__ import annotations
 
 import heapq
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +33,12 @@ from ticketloom.session import scratch_dir
 
 LEXICON_WORDS = 50_000
 
+# Words, and pre-tokens, that a worker remembers: about 80 MB each.
+MEMO = 400_000
+
+# Ids that are decoded at once.
+DECODED = 500_000
+
 # Beyond this many symbols a heap finds the next merge.
 SCANNED = 64
 
@@ -41,9 +48,10 @@ class Merger:
 
     def __init__(self, vocabulary: Vocabulary):
         self.ids, self.word_end = vocabulary.ids, vocabulary.word_end
-        self.merges = {}
+        self.merged = [self.ids[a + b] for a, b in vocabulary.merges]
+        self.ranks = {}
         for rank, (a, b) in enumerate(vocabulary.merges):
-            self.merges.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+            self.ranks.setdefault((self.ids[a], self.ids[b]), rank)
 
     def encode(self, token: str) -> list[int]:
         if not token:
@@ -53,20 +61,21 @@ class Merger:
         return self._scanned(ids) if len(ids) <= SCANNED else self._by_heap(ids)
 
     def _scanned(self, ids: list[int]) -> list[int]:
-        none = (len(self.merges), -1)
-        merge = self.merges.get
-        pairs = [merge(pair, none) for pair in zip(ids, ids[1:])]
-        while pairs:
-            best = min(pairs)
-            if best[1] < 0:
+        none = len(self.merged)
+        rank = self.ranks.get
+        ranks = [rank(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            i = pairs.index(best)
-            ids[i : i + 2] = [best[1]]
-            del pairs[i]
+            i = ranks.index(best)
+            merged = self.merged[best]
+            ids[i : i + 2] = [merged]
+            del ranks[i]
             if i:
-                pairs[i - 1] = merge((ids[i - 1], ids[i]), none)
-            if i < len(pairs):
-                pairs[i] = merge((ids[i], ids[i + 1]), none)
+                ranks[i - 1] = rank((ids[i - 1], merged), none)
+            if i < len(ranks):
+                ranks[i] = rank((merged, ids[i + 1]), none)
         return ids
 
     def _by_heap(self, ids: list[int]) -> list[int]:
@@ -75,17 +84,17 @@ class Merger:
         heap = []
 
         def offer(i):
-            if i >= 0 and after[i] < n and (found := self.merges.get((ids[i], ids[after[i]]))):
-                heapq.heappush(heap, (found[0], i, ids[i], ids[after[i]]))
+            if i >= 0 and after[i] < n and (rank := self.ranks.get((ids[i], ids[after[i]]))) is not None:
+                heapq.heappush(heap, (rank, i, ids[i], ids[after[i]]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
             if j >= n or ids[i] != left or ids[j] != right:
                 continue  # one of the two has merged since
-            ids[i], ids[j] = self.merges[left, right][1], -1
+            ids[i], ids[j] = self.merged[rank], -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
@@ -95,32 +104,43 @@ class Merger:
 
 
 class Encoder:
-    """Encodes texts to packed 32-bit ids: memo, then lexicon, then merges."""
+    """Encodes texts to packed little-endian ids: memo, then lexicon, then merges.
+
+    `code` is the number format of an id: "i" for 32 bits with sign, "I" or "H" for 32 or 16 without.
+    """
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
-        self.vocabulary, self.lexicon = vocabulary, lexicon
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, code: str = "i"):
+        self.vocabulary, self.lexicon, self.code = vocabulary, lexicon, code
         self.merger = Merger(vocabulary)
-        self.tokens, self.words = Memo(self._token), Memo(self._word)
+        self.tokens, self.words = Memo(self._token, MEMO), Memo(self._word, MEMO)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _token(self, token: str) -> bytes:
         ids = self.lexicon.get(token) if self.lexicon else None
-        return np.array(self.merger.encode(token) if ids is None else ids, "<i4").tobytes()
+        return self._packed(self.merger.encode(token) if ids is None else ids)
 
     def _word(self, word: str) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, self.vocabulary.tokens_of_word(word)))
+        return b"".join([self.tokens[t] for t in self.vocabulary.tokens_of_word(word)])
 
     def encode(self, text: str) -> bytes:
         if self.vocabulary.is_plain(text):
             return b"".join(map(self.words.__getitem__, text.split()))
         parts = self.vocabulary.tokens_of_text(text)
-        return b"".join(self.tokens[p] if isinstance(p, str) else np.array([p], "<i4").tobytes() for p in parts)
+        return b"".join(self.tokens[p] if isinstance(p, str) else self._packed([p]) for p in parts)
+
+
+@lru_cache(maxsize=2)
+def vocabulary(tokenizer_file: str) -> Vocabulary:
+    return Vocabulary(tokenizer_file)
 
 
 @lru_cache(maxsize=2)
 def encoder(tokenizer_file: str, lexicon_uri: str | None = None) -> Encoder:
     """One encoder per Python worker, kept between its tasks; all of a machine map the same lexicon file."""
     lexicon = Lexicon(mapped(lexicon_uri).read_buffer()) if lexicon_uri else None
-    return Encoder(Vocabulary(tokenizer_file), lexicon)
+    return Encoder(vocabulary(tokenizer_file), lexicon)
 
 
 def frequent_words(documents: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
@@ -161,27 +181,38 @@ def encoded(documents: DataFrame, tokenizer_file: str, lexicon_uri: str | None =
     return annotate(documents, ["doc_id"], "ids ARRAY<INT>", prepare)
 
 
+def _parts(batch: pa.RecordBatch):
+    """The batch in parts of at most DECODED ids; a longer encoding is alone."""
+    start, size = 0, 0
+    for i, length in enumerate(pc.list_value_length(batch.column("ids")).to_pylist()):
+        if i > start and size + length > DECODED:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += length
+    if batch.num_rows > start:
+        yield batch.slice(start)
+
+
 def decoded(encodings: DataFrame, tokenizer_file: str) -> DataFrame:
     """The encodings with their decoded text: for a file without a decoder, the tokens with spaces between."""
     columns = encodings.columns
 
     def decode(batches):
-        vocabulary = encoder(tokenizer_file).vocabulary
-        if vocabulary.has_decoder:
+        known = vocabulary(tokenizer_file)
+        if known.has_decoder:
             raise ValueError("only vocabulary files without a decoder are supported")
-        tokens = [""] * vocabulary.size
-        for token, i in [*vocabulary.ids.items(), *vocabulary.special.items()]:
+        tokens = [""] * known.size
+        for token, i in [*known.ids.items(), *known.special.items()]:
             tokens[i] = token
-        table = pa.array(tokens)
+        spelled = pa.array(tokens)
         for batch in batches:
-            ids = batch.column("ids")
-            lists = pa.ListArray.from_arrays(
-                pc.subtract(ids.offsets, ids.offsets[0]), table.take(ids.flatten())
-            )
-            texts = pc.binary_join(lists, " ")
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in columns), texts], names=[*columns, "decoded"]
-            )
+            for part in _parts(batch):
+                ids = part.column("ids")
+                offsets = pc.subtract(ids.offsets, ids.offsets[0])
+                texts = pc.binary_join(pa.ListArray.from_arrays(offsets, spelled.take(ids.flatten())), " ")
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in columns), texts], names=[*columns, "decoded"]
+                )
 
     schema = T.StructType([*encodings.schema.fields, T.StructField("decoded", T.StringType())])
     return encodings.mapInArrow(decode, schema)

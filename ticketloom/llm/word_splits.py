@@ -19,6 +19,13 @@ from tokenizers import Tokenizer
 PLAIN = re.compile(r"[\t-\r -~¡-įı-ſ]*")
 
 
+# Fixed value: the split pattern that `tokens_of_word` follows.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# Marks that end many words; the split pattern makes each a pre-token of its own after letters.
+STOPS = ".,;:!?"
+
+
 class Vocabulary:
     """The parts of a tokenizer file: ids, merges, special strings, split pattern."""
 
@@ -34,6 +41,7 @@ class Vocabulary:
             or [s["type"] for s in splits] != ["Split", "ByteLevel"]
             or model["type"] != "BPE"
             or any(model[k] for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix"))
+            or splits[0]["pattern"]["Regex"] != PATTERN
             or any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in parsed["added_tokens"])
         ):
             raise ValueError(f"{path} is not a word-wise byte-pair vocabulary of the supported kind")
@@ -51,8 +59,17 @@ class Vocabulary:
         return PLAIN.fullmatch(text) is not None and not (self.special and self._special.search(text))
 
     def tokens_of_word(self, word: str) -> list[str]:
-        """The pre-tokens of a white-space separated word of a plain text."""
-        return [t.encode().decode("latin-1").translate(self._mapped) for t in self._token.findall(word.lower())]
+        """The pre-tokens of a white-space separated word of a plain text; its ASCII letters stand for themselves."""
+        if word.isalpha():
+            found = [word.lower()]
+        elif word[:-1].isalpha() and word[-1] in STOPS:
+            found = [word[:-1].lower(), word[-1]]
+        else:
+            found = self._token.findall(word.lower())
+        return [
+            t if t.isascii() else t.encode().decode("latin-1").translate(self._mapped)
+            for t in found
+        ]
 
     def tokens_of_text(self, text: str) -> list[str | int]:
         """The pre-tokens of any text, with the ids of special strings in their places."""
