@@ -73,19 +73,24 @@ def annotate(
     `prepare` runs once per task and returns a function from texts (null as empty) to the new columns.
     One pass, no shuffle; only the kept columns and the text are read.
     """
-    read = documents.select(*named(keep if "text" in keep else [*keep, "text"]))
-    fields = T.StructType.fromDDL(new).fields
-    schema = T.StructType([*[read.schema[c] for c in keep], *fields])
+    # Under numbers inside, since a name may hold dots.
+    columns = keep if "text" in keep else [*keep, "text"]
+    inner = ["text" if c == "text" else f"c{i}" for i, c in enumerate(columns)]
+    read = documents.select(*[c.alias(n) for c, n in zip(named(columns), inner)])
+    added = T.StructType.fromDDL(new).fields
+    schema = T.StructType(
+        [*read.schema.fields[: len(keep)], *[T.StructField(f"n{i}", f.dataType) for i, f in enumerate(added)]]
+    )
 
     def run(batches):
         compute = prepare()
         for batch in slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            arrays = [batch.column(c) for c in keep]
+            arrays = [batch.column(c) for c in inner[: len(keep)]]
             arrays += [a if isinstance(a, pa.Array) else pa.array(a) for a in compute(texts)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(run, schema).toDF(*keep, *[f.name for f in added])
 
 
 def kept_rows(documents: DataFrame, prepare: Callable[[], Callable[[list[str]], list]]) -> DataFrame:

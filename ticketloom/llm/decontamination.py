@@ -120,8 +120,10 @@ def _windows(documents: DataFrame, items: DataFrame) -> DataFrame:
                 .join(anchors, "shingle")
                 .select("doc_id", "text_hash", "length", start.alias("start"))
                 .distinct()
-                .join(docs, ["doc_id", "text_hash"])
+                .withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
             )
+            same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
+            hits = hits.join(docs, same)
         windows = hits.select(
             "doc_id",
             "text_hash",

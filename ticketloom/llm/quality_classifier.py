@@ -79,14 +79,15 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.diff(ends, prepend=0)
     text_of = np.repeat(np.arange(len(texts)), lengths)
     last = np.cumsum(np.isin(np.arange(len(data)), starts, assume_unique=True)) - 1
-    of_word = word_passage[np.maximum(last, 0)] if len(starts) else np.zeros(len(data), np.int64)
+    of_word = np.where(last >= 0, word_passage[np.maximum(last, 0)], 0) if len(starts) else np.zeros_like(last)
     passage = np.maximum(of_word, first_passage[text_of])
 
     sizes = np.maximum(np.bincount(passage, minlength=count), 1)[:, None]
     single = np.bincount(passage * 128 + np.where(data < 128, data, 127), minlength=count * 128)
     kinds = CLASSES[data]
+    same = text_of[1:] == text_of[:-1]
     pairs = np.bincount(
-        passage[1:] * KINDS * KINDS + kinds[:-1] * KINDS + kinds[1:], minlength=count * KINDS * KINDS
+        (passage[1:] * KINDS * KINDS + kinds[:-1] * KINDS + kinds[1:])[same], minlength=count * KINDS * KINDS
     )
     n_words = np.maximum(np.bincount(word_passage, minlength=count), 1)
     inside = np.arange(len(data)) - starts[np.maximum(last, 0)] if len(starts) else np.zeros(len(data), np.int64)

@@ -9,7 +9,7 @@ calibrated on labelled documents that took no part in the training, gives the sc
 
 The training text of the toxic dictionary: of a toxic document most words are ordinary, so it gives only
 the words that recur in the toxic documents of the sample far more than in the ordinary ones, counted by
-different neighbours (copies and shared passages count once). The sample is bounded: at most PER_LABEL
+different neighbours on either side (copies and shared passages count once). The sample is bounded: at most PER_LABEL
 documents of each label, each of at most LONGEST bytes; a quarter of it calibrates. All of it is fitted on
 the driver; scoring takes whole texts in one pass without a shuffle.
 
@@ -116,15 +116,16 @@ def toxic_words(toxic: list[str], ordinary: list[str]) -> set[bytes]:
     """Words that recur beside different neighbours in toxic documents far more than in ordinary ones."""
 
     def contexts(texts):
-        found = defaultdict(set)
+        found = defaultdict(lambda: (set(), set()))
         for text in texts:
             words = [b"", *words_of(text), b""]
             first = {}
             for before, word, after in zip(words, words[1:], words[2:]):
                 first.setdefault(word, (before, after))
-            for word, neighbours in first.items():
-                found[word].add(neighbours)
-        return {word: len(beside) for word, beside in found.items()}
+            for word, (before, after) in first.items():
+                found[word][0].add(before)
+                found[word][1].add(after)
+        return {word: min(len(before), len(after)) for word, (before, after) in found.items()}
 
     here, there = contexts(toxic), contexts(ordinary)
     least = max(LEAST_CONTEXTS, LEAST_SHARE * len(toxic))
