@@ -14,6 +14,7 @@ from ticketloom.operators.percentiles import distributed_percentiles, summarize
 from ticketloom.plans.skew import split_log
 from ticketloom.reference import EVENT_ALIASES
 from ticketloom.schema import LOG_SCHEMA
+from ticketloom.session import scratch_dir
 from ticketloom.sources.event_store import keyed_events
 from ticketloom.sources.order_log import order_log_parts
 
@@ -168,3 +169,17 @@ def test_summaries_agree_in_task_and_distributed(spark):
         assert r["n"] == b[k]["n"]
         assert r["p"] == b[k]["p"]
     assert a.keys() == b.keys()
+
+
+def test_a_stored_model_opens_without_the_raw_log(spark, raw):
+    path = scratch_dir(spark, "derived")
+    m = model(raw, 20)
+    m.materialize(path)
+    opened = EventLogModel.open(spark.newSession(), path)
+    assert rows_of(opened.sequence) == rows_of(m.sequence)
+    assert rows_of(opened.closed.select(*m.closed.columns)) == rows_of(m.closed)
+    # Without the mean, whose last bits depend on the order of the sum.
+    found, wanted = (events.transition_summary(x.sequence).drop("avg_delta_hours") for x in (opened, m))
+    assert rows_of(found) == rows_of(wanted)
+    with pytest.raises(ValueError):
+        opened.log

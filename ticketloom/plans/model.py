@@ -37,6 +37,8 @@ class EventLogModel:
 
     @cached_property
     def log(self) -> DataFrame:
+        if self.parts is None:
+            raise ValueError("a model that was opened has no raw log")
         return self.parts.whole
 
     @cached_property
@@ -102,11 +104,20 @@ class EventLogModel:
         """
         _write_by_time(self.sequence, "ts", f"{path}/event_seq")
         _write_by_time(self.closed, "created_at", f"{path}/closed_cases")
-        return self.over_stored(self.parts.normal.sparkSession, path)
+        return self.open(self.parts.normal.sparkSession, path, self.reference, self.in_task)
 
-    def over_stored(self, spark: SparkSession, path: str) -> "EventLogModel":
-        """A model that reads the relations written by `materialize`."""
-        model = EventLogModel(self.parts, self.reference, self.in_task)
+    @classmethod
+    def open(
+        cls, spark: SparkSession, path: str, reference: ReferenceData | None = None, in_task: bool = False
+    ) -> "EventLogModel":
+        """A model over the relations that `materialize` wrote, in any session; the raw log is not needed.
+
+        It has `sequence` and `closed` and all that is made of them, but neither log nor open cases.
+        """
+        require_utc(spark)
+        model = cls.__new__(cls)
+        model.parts, model.in_task = None, in_task
+        model.reference = reference or ReferenceData.defaults(spark)
         model._sequences = [spark.read.parquet(f"{path}/event_seq")]
         model._closed = [spark.read.parquet(f"{path}/closed_cases")]
         return model
