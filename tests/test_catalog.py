@@ -41,8 +41,23 @@ def test_the_events_of_a_case_query_are_shuffled_once(spark):
     """Without broadcasts: one shuffle of each table by case, and one of the pre-aggregated groups."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = QUERIES["variant_summary"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        plan = QUERIES["fcr_summary"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning(case_id") == 2
     assert plan.count("Exchange hashpartitioning") == 3
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_counted_values_are_shuffled_once(spark):
+    """All steps of the percentiles read one shuffle: beside it the input is evaluated for the measures alone."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        query = QUERIES["variant_summary"](spark, FOLDER)
+        query.collect()
+        plan = query._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    final = plan[: plan.index("== Initial Plan ==")]
+    assert "ReusedExchange" in final
+    assert final.count("Scan parquet") <= 4
