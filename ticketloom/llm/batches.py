@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Text handled at once inside a batch, so that what is derived from it stays small: bytes, and rows.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 SLICE_ROWS = 512
 
 
