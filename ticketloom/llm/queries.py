@@ -42,8 +42,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def workers_import(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it, as --py-files would."""
+    """Lets Python workers import this package from where the driver has it, and keeps their batches small."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    # Texts that stand in memory at once on either side of a worker.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def _query(function):
@@ -129,7 +131,7 @@ def round_trip(documents: DataFrame) -> DataFrame:
     """The digests of encoding and decoding every document with a lexicon of its own words."""
     file = tokenizer_file("word_bpe_49k.json")
     lexicon = word_bpe.build_lexicon(documents, file)
-    return digests(word_bpe.decoded(word_bpe.encoded(documents, file, lexicon), file))
+    return digests(word_bpe.round_trip(documents, file, lexicon))
 
 
 @_query

@@ -33,8 +33,8 @@ from ticketloom.session import scratch_dir
 
 LEXICON_WORDS = 50_000
 
-# Words, and pre-tokens, that a worker remembers: about 80 MB each.
-MEMO = 400_000
+# Words, and pre-tokens, that a worker remembers: about 60 MB each.
+MEMO = 300_000
 
 # Ids that are decoded at once.
 DECODED = 500_000
@@ -164,21 +164,51 @@ def build_lexicon(documents: DataFrame, tokenizer_file: str, most: int = LEXICON
     return uri
 
 
+def _lists(found: Encoder, texts: list[str]) -> pa.ListArray:
+    """The ids of each text."""
+    packed = [found.encode(t) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
 def encoded(documents: DataFrame, tokenizer_file: str, lexicon_uri: str | None = None) -> DataFrame:
     """doc_id and ids, an array of int: the encoding of each whole text."""
+    found = lambda: encoder(tokenizer_file, lexicon_uri)
+    return annotate(
+        documents, ["doc_id"], "ids ARRAY<INT>", lambda: lambda texts, e=found(): [_lists(e, texts)]
+    )
+
+
+def round_trip(documents: DataFrame, tokenizer_file: str, lexicon_uri: str | None = None) -> DataFrame:
+    """doc_id, ids and decoded: each whole text encoded, and its ids decoded again, by one worker."""
 
     def prepare():
-        found = encoder(tokenizer_file, lexicon_uri)
+        found, spell = encoder(tokenizer_file, lexicon_uri), decoder(tokenizer_file)
 
         def compute(texts):
-            packed = [found.encode(t) for t in texts]
-            offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
-            values = np.frombuffer(b"".join(packed), "<i4")
-            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
+            ids = _lists(found, texts)
+            return [ids, spell(ids)]
 
         return compute
 
-    return annotate(documents, ["doc_id"], "ids ARRAY<INT>", prepare)
+    return annotate(documents, ["doc_id"], "ids ARRAY<INT>, decoded STRING", prepare)
+
+
+def decoder(tokenizer_file: str):
+    """A function from lists of ids to texts: for a file without a decoder, the tokens with spaces between."""
+    known = vocabulary(tokenizer_file)
+    if known.has_decoder:
+        raise ValueError("only vocabulary files without a decoder are supported")
+    tokens = [""] * known.size
+    for token, i in [*known.ids.items(), *known.special.items()]:
+        tokens[i] = token
+    spelled = pa.array(tokens)
+
+    def spell(ids: pa.ListArray) -> pa.Array:
+        offsets = pc.subtract(ids.offsets, ids.offsets[0])
+        return pc.binary_join(pa.ListArray.from_arrays(offsets, spelled.take(ids.flatten())), " ")
+
+    return spell
 
 
 def _parts(batch: pa.RecordBatch):
@@ -194,25 +224,15 @@ def _parts(batch: pa.RecordBatch):
 
 
 def decoded(encodings: DataFrame, tokenizer_file: str) -> DataFrame:
-    """The encodings with their decoded text: for a file without a decoder, the tokens with spaces between."""
+    """The encodings with their decoded text."""
     columns = encodings.columns
 
     def decode(batches):
-        known = vocabulary(tokenizer_file)
-        if known.has_decoder:
-            raise ValueError("only vocabulary files without a decoder are supported")
-        tokens = [""] * known.size
-        for token, i in [*known.ids.items(), *known.special.items()]:
-            tokens[i] = token
-        spelled = pa.array(tokens)
+        spell = decoder(tokenizer_file)
         for batch in batches:
             for part in _parts(batch):
-                ids = part.column("ids")
-                offsets = pc.subtract(ids.offsets, ids.offsets[0])
-                texts = pc.binary_join(pa.ListArray.from_arrays(offsets, spelled.take(ids.flatten())), " ")
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in columns), texts], names=[*columns, "decoded"]
-                )
+                arrays = [part.column(c) for c in columns]
+                yield pa.RecordBatch.from_arrays([*arrays, spell(part.column("ids"))], names=[*columns, "decoded"])
 
     schema = T.StructType([*encodings.schema.fields, T.StructField("decoded", T.StringType())])
     return encodings.mapInArrow(decode, schema)
