@@ -1,7 +1,5 @@
 import os
 import sys
-from datetime import datetime, timezone
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import SparkSession
@@ -11,7 +9,7 @@ for folder in (ROOT, os.path.join(ROOT, "tools")):
     sys.path.insert(0, folder)
 
 from ticketloom import EventLogModel  # noqa: E402
-from ticketloom.schema import LOG_SCHEMA, TARGET_COLUMNS  # noqa: E402
+from ticketloom.schema import LOG_SCHEMA  # noqa: E402
 from ticketloom.sources.event_store import dedupe_events, keyed_events  # noqa: E402
 
 
@@ -32,27 +30,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def row(case_id, ts, event, **values):
-    """A log row; anything not given has a plain default."""
-    base = {
-        "case_id": case_id,
-        "variant": "Standard",
-        "priority": "High",
-        "reporter": "Ava",
-        "ts": datetime.fromisoformat(ts).replace(tzinfo=timezone.utc),
-        "event": event,
-        "issue_type": "Access",
-        "resolver": "L1",
-        "report_channel": "Portal",
-        "short_description": "Password reset",
-        "customer_satisfaction": None,
-    }
-    base.update(values)
-    if base["customer_satisfaction"] is not None:
-        base["customer_satisfaction"] = Decimal(str(base["customer_satisfaction"]))
-    return tuple(base[c] for c in TARGET_COLUMNS)
-
-
 @pytest.fixture(scope="session")
 def log_of(spark):
     return lambda *rows: dedupe_events(keyed_events(spark.createDataFrame(list(rows), LOG_SCHEMA)))
@@ -61,7 +38,3 @@ def log_of(spark):
 @pytest.fixture(scope="session")
 def model_of(log_of):
     return lambda *rows, **kwargs: EventLogModel.over(log_of(*rows), **kwargs)
-
-
-def by_case(df):
-    return {r["case_id"]: r for r in df.collect()}

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import by_case, row
+from event_rows import by_case, row
 from ticketloom.operators import cases, checks, events, outcomes, summaries
 
 CREATED, CLOSED = "Ticket created", "Ticket closed"

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import row
+from event_rows import row
 from ticketloom import EventLogModel
 from ticketloom.operators import events, summaries
 from ticketloom.operators.percentiles import distributed_percentiles, summarize

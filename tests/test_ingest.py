@@ -6,7 +6,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import row
+from event_rows import row
 from ticketloom import EventLogModel, ReferenceData
 from ticketloom.functions.text import WHITE_SPACE, stripped
 from ticketloom.functions.times import parse_timestamp

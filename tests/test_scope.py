@@ -4,7 +4,7 @@ from datetime import date
 
 import pytest
 
-from conftest import by_case, row
+from event_rows import by_case, row
 from ticketloom import Scope
 from ticketloom.functions.text import UNSPECIFIED
 from ticketloom.operators import outcomes, scope as scoping
