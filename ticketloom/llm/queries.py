@@ -14,6 +14,7 @@ from ticketloom.llm import (
     quality_classifier,
     quality_rules,
     sharding,
+    substring_dedup,
     token_counts,
     token_files,
     toxicity,
@@ -164,3 +165,9 @@ def op7_decontamination(spark, sf_dir):
 @_query
 def op2_near_duplicates(spark, sf_dir):
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_substring_dedup(spark, sf_dir):
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
