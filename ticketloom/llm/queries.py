@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ticketloom.llm import (
     decontamination,
     near_duplicates,
+    pivot_clusters,
     quality_classifier,
     quality_rules,
     sharding,
@@ -19,6 +20,7 @@ from ticketloom.llm import (
     token_files,
     toxicity,
     url_filters,
+    whitening,
     word_bpe,
 )
 
@@ -171,3 +173,15 @@ def op2_near_duplicates(spark, sf_dir):
 def op12_substring_dedup(spark, sf_dir):
     found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op11_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op13_pivot_clusters(spark, sf_dir):
+    found = pivot_clusters.clusters(table(spark, sf_dir, "embeddings"))
+    joined = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return found.withColumn("centroid_sha256", F.sha2(joined, 256)).drop("centroid")
