@@ -69,13 +69,15 @@ def _named(window: int):
                 parts.append((found.name, unit, found.start - words.first[found.text]))
             name, unit, place = _joined(parts, [np.uint64, np.int64, np.int64])
             order = np.argsort(name, kind="stable")
-            name, unit, place = name[order], unit[order], place[order]
             again = np.zeros(len(name), bool)
-            again[1:] = name[1:] == name[:-1]
-            shared = again.copy()
-            shared[:-1] |= again[1:]
+            again[1:] = name[order[1:]] == name[order[:-1]]
+            in_order = again.copy()
+            in_order[:-1] |= again[1:]
+            # Rows stay in the order of the texts, in which they are small when compressed.
+            shared = np.empty(len(name), bool)
+            shared[order] = in_order
             # One row tells other batches of the name; the places are known to be shared.
-            told = name[shared & ~again]
+            told = name[order[in_order & ~again]]
             random = mixed(unit.view(np.uint64) ^ mixed(place.astype(np.uint64), 51), 52)
             names = np.concatenate([np.where(shared, random, name), told]).view(np.int64)
             none = np.ones(len(told), bool)
@@ -122,34 +124,28 @@ def _windows(window: int):
                 unit = _numbers(part.column("unit"))[text]
                 parts.append((high, low, known, doc_id, at - words.first[text], unit))
             kinds = [np.int64, np.int64, bool, np.int64, np.int64, np.int64]
-            high, low, known, doc_id, start, unit = columns = _joined(parts, kinds)
+            high, low, known, doc_id, start, unit = _joined(parts, kinds)
             order = np.lexsort((unit, start, doc_id, known, low, high))
-            high, low, known, doc_id, start, unit = (c[order] for c in columns)
 
             def same(*keys):
-                equal = np.zeros(len(high), bool)
-                equal[1:] = np.all([k[1:] == k[:-1] for k in keys], axis=0)
+                equal = np.zeros(len(order), bool)
+                equal[1:] = np.all([k[order[1:]] == k[order[:-1]] for k in keys], axis=0)
                 return equal
 
             # Rows of one document and place say the same; the place of the first of a window is no repeat.
-            copies = same(high, low, known, doc_id, start, unit)
-            group = np.cumsum(~same(high, low)) - 1
-            heads = np.flatnonzero(~same(high, low))[group]
-            repeat = (known != known[heads]) | (doc_id != doc_id[heads]) | (start != start[heads])
+            kept, repeat = np.empty(len(order), bool), np.empty(len(order), bool)
+            kept[order] = ~same(high, low, known, doc_id, start, unit)
+            heads = np.flatnonzero(~same(high, low))
+            first = order[heads][np.cumsum(~same(high, low)) - 1]
+            repeat[order] = np.any([k[order] != k[first] for k in (known, doc_id, start)], axis=0)
             random = mixed(unit.view(np.uint64) ^ mixed(start.astype(np.uint64), 53), 54).view(np.int64)
             high = np.where(repeat, random, high)
-            kept = ~copies
+            # A repeat has its place below zero, so that the rows are narrow.
+            start = np.where(repeat, ~start, start)
             ids = pa.array(doc_id[kept], mask=~known[kept])
+            columns = [high[kept], low[kept], ids, start[kept].astype(np.int32), unit[kept]]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(high[kept]),
-                    pa.array(low[kept]),
-                    ids,
-                    pa.array(start[kept].astype(np.int32)),
-                    pa.array(unit[kept]),
-                    pa.array(repeat[kept]),
-                ],
-                names=["high", "low", "doc_id", "start", "unit", "repeat"],
+                [pa.array(c) for c in columns], names=["high", "low", "doc_id", "start", "unit"]
             )
 
     return run
@@ -157,12 +153,13 @@ def _windows(window: int):
 
 def repeated_windows(units: DataFrame, places: DataFrame, window: int) -> DataFrame:
     """doc_id, unit and the first words of its windows that also start earlier."""
-    schema = "high LONG, low LONG, doc_id LONG, start INT, unit LONG, repeat BOOLEAN"
+    schema = "high LONG, low LONG, doc_id LONG, start INT, unit LONG"
     rows = units.join(places, "unit", "left").select("doc_id", "unit", "text", "places")
     rows = rows.mapInArrow(_windows(window), schema)
     in_window = Window.partitionBy("high", "low").orderBy("doc_id", "start")
     # Equal places share the first rank, so that only windows behind the first have a later one.
-    found = rows.withColumn("rank", F.rank().over(in_window)).where("repeat OR rank > 1")
+    found = rows.withColumn("rank", F.rank().over(in_window)).where("start < 0 OR rank > 1")
+    found = found.withColumn("start", F.expr("IF(start < 0, ~start, start)"))
     return found.groupBy("doc_id", "unit").agg(F.collect_list("start").alias("starts"))
 
 
