@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketloom.functions.text import blank_to_null, stripped
 from ticketloom.functions.times import parse_timestamp
 from ticketloom.schema import CSAT_TYPE, REQUIRED_COLUMNS, TARGET_COLUMNS
+from ticketloom.session import stored
 from ticketloom.sources.event_store import keyed_events
 
 # Header names accepted for each column besides its own, in order of preference.
@@ -46,9 +48,9 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def csv_options(delimiter: str = DELIMITER, multiline: bool = False) -> dict[str, str]:
-    """Quotes are doubled inside quoted cells. Line breaks in cells need multiline, whose files
-    are read whole by one task each; without it a file of any size is read in splits, and a record
-    with an open quote would be cut (`read_exports` finds the files that need it)."""
+    """Quotes are doubled inside quoted cells. With multiline files are read whole by one task each; without
+    it in splits, and a record with a line break in a cell would be cut (`read_exports` finds the files that
+    have such records, and reads them in splits too)."""
     return {
         "sep": delimiter,
         "header": "true",
@@ -73,9 +75,9 @@ def file_lines(lines: DataFrame) -> DataFrame:
 
 
 def file_layouts(lines: DataFrame) -> DataFrame:
-    """One row per file: its header line, and whether a quoted cell reaches over a line's end.
+    """One row per file: its header line, and whether a quoted cell may reach over a line's end.
 
-    One pass over the text (see `file_lines`). A line with an odd number of quotes begins or ends such a cell.
+    One pass over the text (see `file_lines`). A line with an odd number of quotes may begin or end such a cell.
     """
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     numbered = lines.withColumn("line", F.monotonically_increasing_id())
@@ -87,23 +89,124 @@ def file_layouts(lines: DataFrame) -> DataFrame:
 def read_layouts(spark: SparkSession, layouts: DataFrame, delimiter: str = DELIMITER) -> DataFrame:
     """The eleven log columns, as text, of files whose headers may differ in names and order.
 
-    Files with one header are read together. Only files with a line break inside a cell are read whole,
-    by one task each; all others in splits. The driver holds the names of the files.
+    Files with one header are read together, in splits; where a cell may hold a line break, `record_lines` puts
+    the records together. The driver holds the names of the files.
     """
     groups = layouts.groupBy("header", "multiline").agg(F.collect_list("file").alias("files")).collect()
     empty = spark.createDataFrame([], T.StructType([T.StructField(t, T.StringType()) for t in TARGET_COLUMNS]))
     found = empty
     for group in sorted(groups, key=lambda g: (g["header"], g["multiline"])):
-        options = csv_options(delimiter, group["multiline"]) | {"enforceSchema": "false"}
-        found = found.unionByName(target_columns(spark.read.options(**options).csv(sorted(group["files"]))))
+        files = sorted(group["files"])
+        if group["multiline"]:
+            lines = file_lines(spark.read.option("lineSep", "\n").text(files))
+            raw = _cells(record_lines(lines, delimiter), header_cells(group["header"].rstrip("\r"), delimiter), delimiter)
+        else:
+            raw = spark.read.options(**csv_options(delimiter), enforceSchema="false").csv(files)
+        found = found.unionByName(target_columns(raw))
     return found
 
 
+def _cells(records: DataFrame, header: list[str], delimiter: str) -> DataFrame:
+    """The cells of each record as columns under the names of the header, all but the header's own record."""
+    numbered = ", ".join(f"c{i} STRING" for i in range(len(header)))
+    options = {k: v for k, v in csv_options(delimiter).items() if k not in ("header", "multiLine")}
+    parsed = records.where("number > 1").select(F.from_csv("record", numbered, options).alias("cells"))
+    return parsed.select("cells.*").toDF(*header)
+
+
+def _ends_inside(delimiter: str, inside: bool) -> str:
+    """A pattern of the lines after which a quoted cell is still open, when one is, or is not, before them.
+
+    A cell is quoted when a quote is its first character; a quote inside is doubled. What follows the closing
+    quote up to the delimiter belongs to the cell, and quotes inside a plain cell mean nothing.
+    """
+    d = re.escape(delimiter)
+    content, rest = r'[^"]*+(?:""[^"]*+)*+', f"[^{d}]*+"
+    cell = f'(?:"{content}"{rest}|[^"{d}]{rest}|)'
+    opened = f'(?:{cell}{d})*+"{content}$'
+    return f'(?s)^(?:{content}$|{content}"{rest}{d}{opened})' if inside else f"(?s)^{opened}"
+
+
+def record_lines(lines: DataFrame, delimiter: str = DELIMITER) -> DataFrame:
+    """Records of delimited files, whose cells may hold line breaks: file, number from 1, record.
+
+    A line maps the state before it, inside a quoted cell or not, to the state behind it. Within a split
+    running sums give the state before each line for either state at the split's beginning; the splits of a
+    file, a row each, are put together in the same way. So no task reads more than a split. Only the lines
+    of records of several lines are shuffled once more, by record.
+    """
+    from_outside, from_inside = (
+        F.col("value").rlike(_ends_inside(delimiter, inside)).cast("int") for inside in (False, True)
+    )
+    numbered = lines.withColumn("line", F.monotonically_increasing_id())
+    numbered = numbered.withColumns({"from_0": from_outside, "from_1": from_inside})
+    split = ["file", "block"]
+    states = _states(numbered, split, "line")
+    in_split = Window.partitionBy(*split).orderBy("line")
+    # Lines that begin a record, so far in the split.
+    begun = {f"begun_{s}": F.sum((F.col(f"before_{s}") == 0).cast("int")).over(in_split) for s in (0, 1)}
+    # One evaluation: the splits' own rows and all lines come from it.
+    told = stored(states.withColumns(begun).withColumn("last", F.lead("line").over(in_split).isNull()), "lines")
+
+    ends = told.where("last").select(
+        *split,
+        *[F.when(F.col(f"before_{s}") == 0, F.col("from_0")).otherwise(F.col("from_1")).alias(f"to_{s}") for s in (0, 1)],
+        "begun_0",
+        "begun_1",
+    )
+    ends = _states(ends.withColumnsRenamed({"to_0": "from_0", "to_1": "from_1"}), ["file"], "block")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    begun_here = F.when(F.col("before_0") == 0, F.col("begun_0")).otherwise(F.col("begun_1"))
+    ends = ends.select(
+        *split,
+        F.col("before_0").alias("state"),
+        F.coalesce(F.sum(begun_here).over(before), F.lit(0)).alias("records_before"),
+    )
+    placed = told.join(ends, split)
+    outside = F.col("state") == 0
+    state = F.when(outside, F.col("before_0")).otherwise(F.col("before_1"))
+    number = F.when(outside, F.col("begun_0")).otherwise(F.col("begun_1")) + F.col("records_before")
+    placed = placed.select("file", "block", "line", "value", state.alias("state"), number.alias("number"), "from_0")
+    whole = (F.col("state") == 0) & (F.col("from_0") == 0)
+    alone = placed.where(whole).select("file", "number", F.col("value").alias("record"))
+    in_order = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
+    longer = placed.where(~whole).groupBy("file", "number").agg(in_order.alias("lines"))
+    longer = longer.select("file", "number", F.array_join("lines.value", "\n").alias("record"))
+    both = alone.unionByName(longer)
+    return both.withColumn("record", F.regexp_replace("record", "\r$", "")).where("record <> ''")
+
+
+def _states(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """before_0 and before_1: the state before each row, if it is 0 or 1 before the first row of the keys.
+
+    A row that maps both states to one forgets what was before; one that maps each to the other turns it.
+    """
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    until = Window.partitionBy(*keys).orderBy(order)
+    forgets = F.col("from_0") == F.col("from_1")
+    rows = rows.withColumn("_turns", F.sum(F.when(F.col("from_0") > F.col("from_1"), 1).otherwise(0)).over(until))
+    known = F.last(F.when(forgets, F.struct(F.col("from_0").alias("s"), "_turns")), ignorenulls=True).over(before)
+    turns = F.coalesce(F.max("_turns").over(before), F.lit(0))
+    rows = rows.withColumns({"_known": known, "_turned": turns})
+    since = F.col("_turned") - F.col("_known._turns")
+
+    def from_state(s: int) -> Column:
+        return F.coalesce(F.col("_known.s") + since, F.lit(s) + F.col("_turned")) % 2
+
+    rows = rows.withColumns({f"before_{s}": from_state(s) for s in (0, 1)})
+    return rows.drop("_turns", "_known", "_turned")
+
+
 def read_exports(spark: SparkSession, path: str, delimiter: str = DELIMITER) -> DataFrame:
     """The eleven log columns, as text, of all files of a folder; without any file, no rows."""
     return read_layouts(spark, file_layouts(file_lines(spark.read.text(path))), delimiter)
 
 
+def header_cells(line: str, delimiter: str = DELIMITER) -> list[str]:
+    """The names in a header line."""
+    return next(csv.reader([line], delimiter=delimiter, quotechar='"'), [])
+
+
 def normalize_header(name: str) -> str:
     """Lower-case words joined by single underscores."""
     return "_".join(re.findall("[a-z0-9]+", name.lower()))
