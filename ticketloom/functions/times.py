@@ -5,25 +5,101 @@ from pyspark.sql import functions as F
 
 MICROS_PER_HOUR = 3.6e9
 
-# A time with AM or PM, a time of 24 hours, or none; then an optional offset.
-_TIME = "['T'][ ][h:mm[:ss] a][H:mm[:ss[.SSSSSS]]][ ][XXX]"
+# Two-digit years from here on are of the last century, as in POSIX.
+FIRST_YEAR_OF_1900S = 69
+
+# What a written time is made of. Names of months count by their first three letters.
+_MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_MONTH = (
+    "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?"
+    "|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+)
+_WEEKDAY = "(?:(?:mon|tues?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?[.,]?[ ]+)?"
+_YEAR, _DAY = r"(\d{4}|\d{2})", r"(\d{1,2})(?:st|nd|rd|th)?"
+_DATES = [
+    r"(\d{4})(\d{2})(\d{2})",  # 1 to 3: year, month, day without separators
+    r"(\d{4})([-/. ])(\d{1,2})\5(\d{1,2})",  # 4 to 7: year first
+    rf"(\d{{1,2}})([-/. ])(\d{{1,2}})\9{_YEAR}",  # 8 to 11: day or month first
+    rf"{_DAY}[-/. ]*({_MONTH})[-/., ]*{_YEAR}",  # 12 to 14
+    rf"({_MONTH})[-/. ]*{_DAY}(?:,[ ]*|[-/. ]+){_YEAR}",  # 15 to 17
+    rf"(\d{{4}})[-/. ]*({_MONTH})[-/. ]*{_DAY}",  # 18 to 20
+]
+# 21 to 25: hour, minute, second, fraction, and the letter of AM or PM.
+_CLOCK = r"(?:[T, ]+(\d{1,2})(?::?([0-5]\d)(?::?([0-5]?\d)(?:[.,](\d{1,6})\d*)?)?)?[ ]*(?:([ap])\.?m\.?)?)?"
+# 26 to 28: sign, hours and minutes of the offset; UTC by name has none.
+_OFFSET = r"[ ]*(?:z|utc|gmt|([+-])(\d{2}):?([0-5]\d)?)?"
+_GRAMMAR = rf"(?i)^{_WEEKDAY}(?:{'|'.join(_DATES)}){_CLOCK}{_OFFSET}$"
+
+# Groups that say the same in different notations stand side by side: at most one of them is not empty.
+_PARTS = {
+    "year": "$1$4$11$14$17$18",
+    "month": "$2$6",
+    "day": "$3$7$12$16$20",
+    "first": "$8",
+    "second": "$10",
+    "name": "$13$15$19",
+    "hour": "$21",
+    "minute": "$22",
+    "second_of_minute": "$23",
+    "fraction": "$24",
+    "half": "$25",
+    "sign": "$26",
+    "offset_hours": "$27",
+    "offset_minutes": "$28",
+    "separator": "$5",
+}
 
 
 def hours_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(MICROS_PER_HOUR)
 
 
+def _timestamp(parts: Column, iso_day_first: bool) -> Column:
+    """The time that the parts of the grammar describe; NULL where they are none."""
+    at = {name: F.get(parts, F.lit(i)) for i, name in enumerate(_PARTS)}
+
+    def number(name: str) -> Column:
+        return at[name].try_cast("int")
+
+    def or_zero(name: str) -> Column:
+        return F.coalesce(number(name), F.lit(0))
+
+    year = number("year")
+    full = F.when(F.length(at["year"]) == 4, year).otherwise(
+        year + F.when(year < FIRST_YEAR_OF_1900S, 2000).otherwise(1900)
+    )
+    first, second, month, day = number("first"), number("second"), number("month"), number("day")
+    named = F.when(at["name"] != "", (F.position(F.lower(F.substring(at["name"], 1, 3)), F.lit(_MONTHS)) + 2) / 3)
+    # Day first where that is a date, else month first.
+    day_first = second <= 12
+    swapped = (at["separator"] != "") & (day <= 12) if iso_day_first else F.lit(False)
+    found_month = F.coalesce(
+        named.cast("int"), F.when(swapped, day).otherwise(month), F.when(day_first, second).otherwise(first)
+    )
+    found_day = F.coalesce(F.when(swapped, month).otherwise(day), F.when(day_first, first).otherwise(second))
+    hour = or_zero("hour")
+    half = F.lower(at["half"])
+    hour = F.when(half == "", hour).when(hour <= 12, hour % 12 + F.when(half == "p", 12).otherwise(0))
+    fraction = F.when(at["fraction"] != "", F.rpad(at["fraction"], 6, "0")).otherwise("0").try_cast("int")
+    offset = (or_zero("offset_hours") * 60 + or_zero("offset_minutes")) * F.when(at["sign"] == "-", -1).otherwise(1)
+    seconds = (or_zero("second_of_minute") + fraction / F.lit(1_000_000)).cast("decimal(8,6)")
+    time = F.try_make_timestamp(full, found_month, found_day, hour, or_zero("minute"), seconds, F.lit("UTC"))
+    return F.timestamp_add("MINUTE", -offset, time)
+
+
 def parse_timestamp(c: Column, iso_day_first: bool = False) -> Column:
     """Stripped text as day-first, then ISO, then month-first; NULL where nothing fits.
 
-    Each value is read on its own. An ISO date reads as year-month-day unless iso_day_first asks
-    for year-day-month.
+    One regular expression takes a value apart, whatever its notation: numbers with `/`, `-`, `.` or blanks
+    between them, the year first or last and of two or four digits; months by name, before or behind the day;
+    eight digits; a weekday before. A clock of 24 hours or with AM and PM and an offset, with or without colon,
+    may follow. Each value is read on its own. A date that begins with a year of four digits reads as
+    year-month-day unless iso_day_first asks for year-day-month.
     """
-    slashed = F.regexp_replace(c, r"^(\d{1,2})[-.](\d{1,2})[-.]", "$1/$2/")
-    day_first = F.try_to_timestamp(slashed, F.lit(f"d/M/yyyy{_TIME}"))
-    month_first = F.try_to_timestamp(slashed, F.lit(f"M/d/yyyy{_TIME}"))
-    iso = c.try_cast("timestamp")
-    if iso_day_first:
-        iso = F.coalesce(F.try_to_timestamp(c, F.lit(f"yyyy-d-M{_TIME}")), iso)
-    # The shape picks the notation first, since a failed attempt costs more than a parsed value.
-    return F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), iso).otherwise(F.coalesce(day_first, month_first))
+    template = "|".join(_PARTS.values())
+    parts = F.split(F.regexp_replace(c, F.lit(_GRAMMAR), F.lit(template)), r"\|")
+    # A lambda's argument is evaluated once, and not once per use.
+    found = F.get(F.transform(F.array(parts), lambda p: _timestamp(p, iso_day_first)), F.lit(0))
+    # Only what the grammar does not know, such as a zone by its region, is tried as an ISO literal.
+    iso = F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), c.try_cast("timestamp"))
+    return F.coalesce(found, iso)
