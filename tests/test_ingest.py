@@ -1,7 +1,7 @@
 """Reading, cleaning and storing exports."""
 
 import hashlib
-from datetime import date, datetime
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -137,6 +137,35 @@ TIMES = [
     ("12/31/2024 10:15", datetime(2024, 12, 31, 10, 15)),
     ("2024-01-02 08:00:00", datetime(2024, 1, 2, 8)),
     ("2024-01-02T08:00:00.5+02:00", datetime(2024, 1, 2, 6, 0, 0, 500000)),
+    ("05/03/24 10:00", datetime(2024, 3, 5, 10)),
+    ("5 Mar 2024 10:00", datetime(2024, 3, 5, 10)),
+    ("05-Mar-2024", datetime(2024, 3, 5)),
+    ("March 5, 2024 10:00 AM", datetime(2024, 3, 5, 10)),
+    ("05/03/2024 10:00:00+0100", datetime(2024, 3, 5, 9)),
+    ("2024/03/05 10:00", datetime(2024, 3, 5, 10)),
+    ("20240305", datetime(2024, 3, 5)),
+    ("20240305T101500Z", datetime(2024, 3, 5, 10, 15)),
+    ("Tue, 5 Mar 2024 10:00:09 -0330", datetime(2024, 3, 5, 13, 30, 9)),
+    ("Tuesday 5th September 2023", datetime(2023, 9, 5)),
+    ("Sept. 5th, 2023 at 10:00", None),
+    ("sep 5 99 12:05 a.m.", datetime(1999, 9, 5, 0, 5)),
+    ("2024-Mar-05 12:05 PM", datetime(2024, 3, 5, 12, 5)),
+    ("31.12.68", datetime(2068, 12, 31)),
+    ("31.12.69", datetime(1969, 12, 31)),
+    ("5 3 2024 7", datetime(2024, 3, 5, 7)),
+    ("29/02/2024 23:59:59.9999999", datetime(2024, 2, 29, 23, 59, 59, 999999)),
+    ("01/02/2024 08:30 UTC", datetime(2024, 2, 1, 8, 30)),
+    ("2024-01-02 08:00:00 Europe/Berlin", datetime(2024, 1, 2, 7)),
+    ("01/02/2024 13:30 PM", None),
+    ("01/02/2024 24:00", None),
+    ("01/02/2024 10:60", None),
+    ("29/02/2023", None),
+    ("1/2-2024", None),
+    ("5 Mai 2024", None),
+    ("2024-13-05", None),
+    ("|||||||||||||", None),
+    ("0", None),
+    ("2024", None),
     ("13/13/2024", None),
     ("2024-02-30", None),
     ("10:30", None),
@@ -151,7 +180,10 @@ def test_times(spark):
     swapped = parse_timestamp(F.col("t"), iso_day_first=True).cast("timestamp_ntz")
     found = df.select("t", plain.alias("v"), swapped.alias("w")).collect()
     assert {r.t: r.v for r in found} == dict(TIMES)
-    assert {r.t: r.w for r in found}["2024-01-02 08:00:00"] == datetime(2024, 2, 1, 8)
+    swapped = {r.t: r.w for r in found}
+    assert swapped["2024-01-02 08:00:00"] == datetime(2024, 2, 1, 8)
+    assert swapped["2024/03/05 10:00"] == datetime(2024, 5, 3, 10)
+    assert swapped["20240305"] == datetime(2024, 3, 5)
 
 
 @pytest.mark.parametrize(
@@ -274,7 +306,8 @@ def test_each_file_is_read_by_its_own_header(spark, layouts):
 def test_the_stream_reads_each_file_by_its_own_header(spark, layouts):
     store = EventStore(spark, scratch_dir(spark, "store"))
     state = scratch_dir(spark, "stream")
-    assert [ingest_new_files(spark, layouts, store, state, files_per_batch=2) for _ in range(2)] == [7, 0]
+    reports = [ingest_new_files(spark, layouts, store, state, files_per_batch=2) for _ in range(2)]
+    assert [r.stats().first().rows_inserted for r in reports] == [7, 0]
     check_layouts(store)
 
 
@@ -284,7 +317,9 @@ def test_an_empty_folder_loads_nothing(spark, tmp_path):
     folder.mkdir()
     stats = load_exports(spark, str(folder), store).first()
     assert (stats.rows_input, stats.rows_inserted) == (0, 0)
-    assert ingest_new_files(spark, str(folder), store, scratch_dir(spark, "stream")) == 0
+    report = ingest_new_files(spark, str(folder), store, scratch_dir(spark, "stream"))
+    assert (report.stats().first().rows_input, report.stats().first().rows_inserted) == (0, 0)
+    assert report.mappings().count() == report.top_events().count() == 0
 
 
 def test_dropped_scores_are_counted(spark, tmp_path):
@@ -312,8 +347,9 @@ def test_only_touched_months_are_read(spark):
     assert store.append_new(batch) == 3
     two = batch.where("ts <> TIMESTAMP '2024-01-01 08:00'")
     assert store.append_new(two) == 0
-    months = {r[0] for r in store._touched([date(1970, 1, 1), date(2024, 3, 1)]).select("event_month").collect()}
-    assert months == {date(1970, 1, 1), date(2024, 3, 1)}
+    base = store.log.latest()
+    with store._bucketed(base) as table:
+        assert store._stored_keys(table, base, ["1970-01-01", "2024-03-01"]).count() == 2
 
 
 def test_every_alias_maps_to_its_code(spark):

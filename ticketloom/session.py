@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +39,36 @@ def require_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+# The folders that the innermost scope owns; None outside any scope.
+_OWNED: ContextVar[list[str] | None] = ContextVar("scratch folders", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Drops the scratch folders made inside, when it is left.
+
+    Frames made inside are lazy and read these folders, so the scope is to enclose the write of the result.
+    Until then every folder stays where all executors read it, so lost tasks are computed again. An inner scope
+    drops its own folders only. Without a scope nothing is dropped.
+    """
+    token = _OWNED.set([])
+    try:
+        yield
+    finally:
+        owned = _OWNED.get()
+        _OWNED.reset(token)
+        path_of = spark._jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in owned:
+            path = path_of(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the folder that the cluster shares through spark.checkpoint.dir.
 
-    Only a local session without that setting falls back to a temporary folder of its machine.
+    Only a local session without that setting falls back to a temporary folder of its machine. Inside a
+    `scratch_scope` the folder is dropped at its end.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
@@ -48,7 +76,11 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="ticketloom-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    owned = _OWNED.get()
+    if owned is not None:
+        owned.append(folder)
+    return folder
 
 
 def broadcast_up_to(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:

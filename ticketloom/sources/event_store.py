@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import time
+import uuid
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
-from pyspark.sql.utils import AnalysisException
 
 from ticketloom.functions.keys import event_key
 from ticketloom.schema import EVENT_COLUMNS, EVENT_SCHEMA, REQUIRED_COLUMNS, TARGET_COLUMNS
 from ticketloom.session import stored
+from ticketloom.sources.version_log import Load, SharedFiles, Version, VersionLog, VersionTaken
 
 MONTH = "event_month"
 TOP_EVENTS = 5
 
+# Buckets of a new store. A bucket of a month is at least one file of each load that touches it; a large log
+# wants as many as make files of a few hundred megabytes.
+BUCKETS = 8
+PARTITIONS_AT_ONCE = 500
+
 
 def keyed_events(log: DataFrame) -> DataFrame:
     return log.select(event_key().alias("event_key"), *TARGET_COLUMNS)
@@ -55,74 +64,195 @@ def _month(ts: Column) -> Column:
 
 
 class EventStore:
-    """A Parquet event log in one folder, partitioned by the UTC month of the event."""
+    """A Parquet event log whose loads are transactions.
+
+    Each load writes a folder of its own, partitioned by the UTC month of the event and bucketed by the
+    hash of event_key, and then publishes a version that names it. Readers hold on to the folders of one
+    version, so they see a load whole or not at all; a load that fails leaves the latest version as it was.
+    A writer whose version has been taken by another one starts again from that one's version.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
-        self.path = path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.data = f"{self.path}/data"
+        self.files = SharedFiles(spark)
+        self.log = VersionLog(self.files, f"{self.path}/versions")
+        self._new_buckets = buckets
 
-    def read(self) -> DataFrame:
-        return self._months().select(*EVENT_COLUMNS)
+    def version(self) -> int:
+        """The number of the latest version; 0 before the first load."""
+        return self.log.latest().number
 
-    def _months(self) -> DataFrame:
+    def read(self, version: int | None = None) -> DataFrame:
+        """The events of the latest version, or of an earlier one, whatever is loaded meanwhile."""
+        return self._months(self.log.latest() if version is None else self.log.at(version)).select(*EVENT_COLUMNS)
+
+    def _months(self, version: Version) -> DataFrame:
         schema = StructType([*EVENT_SCHEMA.fields, StructField(MONTH, DateType())])
-        try:
-            return self.spark.read.schema(schema).parquet(self.path)
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+        folders = [f"{self.data}/load={load.name}" for load in version.loads]
+        if not folders:
             return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", self.data).parquet(*folders)
 
-    def append_new(self, batch: DataFrame) -> int:
+    def append_new(self, batch: DataFrame, origin: tuple[str, int] | None = None) -> int:
         """Append the unseen events of a keyed batch; the number of events appended.
 
         A repeated load appends nothing. The key covers the timestamp, so only the stored months that the
         batch touches can hold a copy, and only those are read. The batch is evaluated once, into the shared
-        folder. The number is a difference of row counts, which Parquet keeps with each file.
+        folder, and shuffled into the store's buckets; stored keys are not shuffled.
+
+        `origin` names a stream and the number of its batch. The version remembers the last one of each
+        stream, so a batch that comes again gives the number that it gave first.
         """
-        batch = stored(batch.withColumn(MONTH, _month(F.col("ts"))), "batch")
+        if origin and (known := self.log.latest().streams.get(origin[0])) and known[0] == origin[1]:
+            return known[1]
+        batch = stored(dedupe_events(batch).withColumn(MONTH, _month(F.col("ts"))), "batch")
         # One row per month of the log's span.
-        months = [r[MONTH] for r in batch.select(MONTH).distinct().collect()]
-        if not months:
-            return 0
-        before = self._touched(months).count()
-        self._write(unseen_events(batch.drop(MONTH), self._touched(months)), "append")
-        return self._touched(months).count() - before
-
-    def _touched(self, months: list) -> DataFrame:
-        return self._months().filter(F.col(MONTH).isin(months))
+        months = sorted(str(r[MONTH]) for r in batch.select(MONTH).distinct().collect())
+        while True:
+            base = self.log.latest()
+            load = self._write(base, batch, months, unseen=True) if months else None
+            if not load and not origin:
+                return 0
+            try:
+                self._publish(base, base.loads + ((load,) if load else ()), origin, load.rows if load else 0)
+                return load.rows if load else 0
+            except VersionTaken:
+                # What the other writer stored may hold some of these events.
+                self._discard(load)
 
     def replace(self, batch: DataFrame) -> int:
-        """Drop the stored events and load the batch; the number of events loaded."""
-        self._write(dedupe_events(batch), "overwrite")
-        return self._months().count()
-
-    def _write(self, events: DataFrame, mode: str) -> None:
-        # rebalance writes few files per month and still splits a month that holds much of the log
-        (
-            events.select(*EVENT_COLUMNS, _month(F.col("ts")).alias(MONTH))
-            .hint("rebalance", MONTH)
-            .write.partitionBy(MONTH)
-            .mode(mode)
-            .parquet(self.path)
+        """Drop the stored events and load the batch; the number of events loaded.
+
+        Until the batch is written whole, readers see what was stored before.
+        """
+        batch = dedupe_events(batch).withColumn(MONTH, _month(F.col("ts")))
+        load = self._write(self.log.latest(), batch, [], unseen=False)
+        return self._publish_over_others(lambda base: (load,) if load else (), load)
+
+    def compact(self) -> int:
+        """Put the loads of the latest version into one, so that few large files hold the log; its rows."""
+        base = self.log.latest()
+        load = self._write(base, self._months(base), [], unseen=False)
+
+        def loads(now: Version) -> tuple[Load, ...]:
+            if not set(base.loads) <= set(now.loads):
+                raise RuntimeError("the loads that were compacted have been replaced meanwhile")
+            return tuple([load] if load else []) + tuple(x for x in now.loads if x not in base.loads)
+
+        return self._publish_over_others(loads, load)
+
+    def vacuum(self, versions: int = 1, hours: float = 24) -> list[str]:
+        """Delete all but the latest versions, and the loads that none of those names; their folders' names.
+
+        Folders changed within the last hours may belong to a load that goes on, and stay.
+        """
+        numbers = self.log.numbers()
+        kept = numbers[-versions:] if versions else []
+        named = {f"load={load.name}" for n in kept for load in self.log.at(n).loads}
+        for number in numbers[: len(numbers) - len(kept)]:
+            self.log.forget(number)
+        latest = (time.time() - hours * 3600) * 1000
+        there = {n: t for n, t in self.files.names(self.data).items() if n.startswith("load=")}
+        dropped = [n for n, changed in there.items() if n not in named and changed <= latest]
+        for name in dropped:
+            self.files.delete(f"{self.data}/{name}")
+        return sorted(dropped)
+
+    def _publish(self, base: Version, loads: tuple[Load, ...], origin=None, rows: int = 0) -> None:
+        streams = base.streams | ({origin[0]: (origin[1], rows)} if origin else {})
+        self.log.publish(Version(base.number + 1, base.buckets or self._new_buckets, loads, streams))
+
+    def _publish_over_others(self, loads, load: Load | None) -> int:
+        """Publishes what does not depend on the stored events, after all that others published meanwhile."""
+        while True:
+            base = self.log.latest()
+            try:
+                self._publish(base, loads(base))
+                return load.rows if load else 0
+            except VersionTaken:
+                continue
+            except BaseException:
+                self._discard(load)
+                raise
+
+    def _discard(self, load: Load | None) -> None:
+        if load:
+            self.files.delete(f"{self.data}/load={load.name}")
+
+    @contextmanager
+    def _bucketed(self, version: Version):
+        """The version's folders as a table that knows its buckets, for the time of one load."""
+        name = f"event_store_{uuid.uuid4().hex}"
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in EVENT_SCHEMA.fields)
+        location = self.data.replace("'", "\\'")
+        self.spark.sql(
+            f"""CREATE TABLE {name} ({columns}, load STRING, {MONTH} DATE) USING parquet
+            PARTITIONED BY (load, {MONTH})
+            CLUSTERED BY (event_key) SORTED BY (event_key) INTO {version.buckets or self._new_buckets} BUCKETS
+            LOCATION '{location}'"""
         )
+        try:
+            yield name
+        finally:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def _stored_keys(self, table: str, version: Version, months: list[str]) -> DataFrame:
+        """Stored keys of the months, already in their buckets."""
+        parts = [(load.name, m) for load in version.loads for m in load.months if m in set(months)]
+        for at in range(0, len(parts), PARTITIONS_AT_ONCE):
+            listed = " ".join(
+                f"PARTITION (load='{name}', {MONTH}='{m}')" for name, m in parts[at : at + PARTITIONS_AT_ONCE]
+            )
+            self.spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {listed}")
+        return self.spark.table(table).select("event_key")
 
+    def _unseen(self, table: str, version: Version, batch: DataFrame, months: list[str]) -> DataFrame:
+        """Events of the batch, in the store's buckets, whose keys are not stored; stored keys stay where they are."""
+        dealt = batch.repartition(version.buckets or self._new_buckets, "event_key")
+        return dealt.join(self._stored_keys(table, version, months), "event_key", "left_anti")
 
-def load_stats(cleaned: DataFrame, inserted: DataFrame | int | None = None) -> DataFrame:
+    def _write(self, base: Version, batch: DataFrame, months: list[str], unseen: bool) -> Load | None:
+        """A new folder with the events; None, and no folder, without any."""
+        name = uuid.uuid4().hex
+        written = Observation()
+        try:
+            with self._bucketed(base) as table:
+                if unseen and base.loads:
+                    events = self._unseen(table, base, batch, months)
+                else:
+                    events = batch.repartition(base.buckets or self._new_buckets, "event_key")
+                events = events.select(*EVENT_COLUMNS, F.lit(name).alias("load"), MONTH)
+                events.observe(written, F.count(F.lit(1)).alias("rows")).write.insertInto(table)
+            rows = written.get["rows"]
+            prefix = f"{MONTH}="
+            found = self.files.names(f"{self.data}/load={name}") if rows else ()
+            return Load(name, rows, tuple(sorted(n[len(prefix) :] for n in found if n.startswith(prefix)))) if rows else None
+        except BaseException:
+            self.files.delete(f"{self.data}/load={name}")
+            raise
+
+
+def load_stats(
+    cleaned: DataFrame, inserted: DataFrame | int | None = None, distinct: bool = True
+) -> DataFrame:
     """One row of counts for a load, in one pass over the cleaned rows (with marks).
 
     `inserted` is the frame of inserted events, or their number. Without it the load is a validation: every
-    valid row counts as insertable.
+    valid row counts as insertable. Without `distinct` the numbers of different cases and labels are left out.
     """
     valid = F.lit(True)
     for c in REQUIRED_COLUMNS:
         valid = valid & F.col(c).isNotNull()
+    different = [
+        F.count_distinct(F.when(F.col("valid"), F.col("case_id"))).alias("distinct_cases"),
+        F.count_distinct(F.when(F.col("valid"), F.col("event"))).alias("distinct_events"),
+    ]
     one = cleaned.withColumn("valid", valid).agg(
         F.count(F.lit(1)).alias("rows_input"),
         F.count_if("valid").alias("rows_valid"),
         F.count_if("score_dropped").alias("nulled_scores"),
-        F.count_distinct(F.when(F.col("valid"), F.col("case_id"))).alias("distinct_cases"),
-        F.count_distinct(F.when(F.col("valid"), F.col("event"))).alias("distinct_events"),
+        *(different if distinct else []),
         F.min(F.when(F.col("valid"), F.col("ts"))).alias("min_ts"),
         F.max(F.when(F.col("valid"), F.col("ts"))).alias("max_ts"),
     )
