@@ -1,5 +1,6 @@
 """Plans for logs of any size give the same rows as the plans for small ones."""
 
+import math
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from event_rows import row
 from ticketloom import EventLogModel
 from ticketloom.operators import events, summaries
-from ticketloom.operators.percentiles import distributed_percentiles, summarize
+from ticketloom.functions import measures as m
+from ticketloom.operators.percentiles import CELL_UNIT, CELLS_PER_OCTAVE, distributed_percentiles, summarize
 from ticketloom.plans.skew import split_log
 from ticketloom.reference import EVENT_ALIASES
 from ticketloom.schema import LOG_SCHEMA
@@ -86,10 +88,17 @@ def test_events_of_large_cases_are_never_shuffled_by_case_alone(spark):
     assert "hashpartitioning(case_id" not in plan and "hashpartitioning(event_key" in plan
 
 
-def test_values_close_together_are_ranked_over_parts_of_a_cell(spark):
-    """All waits within a second of one day: one cell of the grid, which its parts divide."""
+@pytest.mark.parametrize("hours, micros", [(24, 57_000), (8766, 21_000_000)])
+def test_a_cell_holds_a_bounded_number_of_microseconds(hours, micros):
+    """The width of a cell around a day and a year, as the grid defines it."""
+    assert hours * CELL_UNIT * math.log(2) / CELLS_PER_OCTAVE <= micros
+
+
+@pytest.mark.parametrize("hours", [24, 8766])
+def test_values_close_together_are_ranked_inside_a_cell(spark, hours):
+    """All waits within a second of one day, or of one year: few cells of the grid."""
     rng = random.Random(3)
-    values = [24 + rng.randrange(-500_000, 500_000) / 3.6e9 for _ in range(3_000)]
+    values = [hours + rng.randrange(-500_000, 500_000) / 3.6e9 for _ in range(3_000)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     found = distributed_percentiles(df, [], "v", {"p50": 0.5, "p90": 0.9}).first()
     wanted = df.agg(F.percentile("v", 0.5), F.percentile("v", 0.9)).first()
@@ -160,14 +169,14 @@ def test_percentiles_agree_with_numpy(spark, keys):
 def test_summaries_agree_in_task_and_distributed(spark):
     rows = [(k, v) for k, values in NUMBERS.items() for v in values] + [("empty", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    measures = [F.count(F.lit(1)).alias("n")]
+    measures = [m.cases("n"), m.mean("v", "mean"), m.least("v", "low"), m.greatest("v", "high")]
     a, b = (
         {r["k"]: r for r in summarize(df, ["k"], measures, "v", {"p": 0.9}, t).collect()}
         for t in (True, False)
     )
     for k, r in a.items():
-        assert r["n"] == b[k]["n"]
-        assert r["p"] == b[k]["p"]
+        assert [r[c] for c in ("n", "low", "high", "p")] == [b[k][c] for c in ("n", "low", "high", "p")]
+        assert r["mean"] == b[k]["mean"] or r["mean"] == pytest.approx(b[k]["mean"], rel=1e-12)
     assert a.keys() == b.keys()
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketloom.functions import measures as m
 from ticketloom.functions.times import hours_between
 from ticketloom.operators.percentiles import summarize
 from ticketloom.reference import LEVEL_CODES
@@ -155,7 +156,7 @@ def transition_summary(sequence: DataFrame, in_task: bool = False) -> DataFrame:
     return summarize(
         _steps(sequence),
         ["from_event", "to_event"],
-        [F.count(F.lit(1)).alias("transition_count"), F.avg("delta_hours").alias("avg_delta_hours")],
+        [m.cases("transition_count"), m.mean("delta_hours", "avg_delta_hours")],
         "delta_hours",
         {"median_delta_hours": 0.5, "p90_delta_hours": 0.9},
         in_task,
@@ -167,7 +168,7 @@ def dwell_by_event(sequence: DataFrame, in_task: bool = False) -> DataFrame:
     return summarize(
         _steps(sequence).withColumnRenamed("from_event", "event"),
         ["event"],
-        [F.count(F.lit(1)).alias("occurrences"), F.avg("delta_hours").alias("avg_dwell_hours")],
+        [m.cases("occurrences"), m.mean("delta_hours", "avg_dwell_hours")],
         "delta_hours",
         {"median_dwell_hours": 0.5, "p90_dwell_hours": 0.9},
         in_task,

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Cells per doubling of the value; bounds a group to about 64 * CELLS_PER_OCTAVE cells. Each cell has PARTS
-# parts: one of a wait of a day spans 60 milliseconds, which holds at most 57,000 different microseconds.
-CELLS_PER_OCTAVE = 256
-PARTS = 4096
+from ticketloom.functions.measures import Measure, columns
+
+# Cells per doubling of the value. A cell of waits of a day spans 57,000 different microseconds, one of waits
+# of a year 21 million; and a group with waits from a microsecond to a year has 47 million cells at most. A
+# task puts either in order, and no more, as narrow rows that it can sort on disk.
+CELLS_PER_OCTAVE = 1 << 20
 # Values are counted in steps of one microsecond when given in hours.
 CELL_UNIT = 3.6e9
 
@@ -16,22 +18,26 @@ CELL_UNIT = 3.6e9
 def summarize(
     df: DataFrame,
     keys: list[str],
-    measures: list[Column],
+    measures: list[Measure],
     value: str,
     percentiles: dict[str, float],
     in_task: bool = False,
 ) -> DataFrame:
     """Measures and percentiles of `value` per group, the same values by either plan.
 
-    By default the percentiles come from `distributed_percentiles`, for groups of any size. A caller who
-    knows that no group has more different values than a task holds can ask for Spark's own aggregate.
+    The input is evaluated once: rows of one value of a group are combined on the map side into their
+    number and the parts of the measures, and one shuffle of these gives both measures and ranks, for groups of
+    any size. A caller who knows that no group has more different values than a task holds can ask for
+    Spark's own aggregate.
     """
     if in_task:
         exact = [F.percentile(value, p).alias(name) for name, p in percentiles.items()]
-        return df.groupBy(*keys).agg(*measures, *exact)
+        return df.groupBy(*keys).agg(*columns(*measures), *exact)
 
-    base = df.groupBy(*keys).agg(*measures)
-    ranked = distributed_percentiles(df, keys, value, percentiles)
+    counted = _counted(df, keys, value, measures)
+    cells = _cells(counted, keys, measures)
+    base = cells.groupBy(*keys).agg(*[m.merged() for m in measures])
+    ranked = _ranked(counted, cells, keys, value, percentiles)
     if not keys:
         # Two frames of one row each: stack them and fold, rather than pair them.
         stacked = base.unionByName(ranked, allowMissingColumns=True)
@@ -42,22 +48,35 @@ def summarize(
 def distributed_percentiles(
     df: DataFrame, keys: list[str], value: str, percentiles: dict[str, float]
 ) -> DataFrame:
-    """Exact percentiles without gathering a group in one task.
-
-    Different values are counted once, with a map-side combine; everything else reads these counts, whose
-    shuffle is shared. Running sums over the cells of a fixed, value-ordered grid, of which a group has a
-    bounded number, show the cells that hold the wanted ranks; the same over the parts of those cells; and
-    only the values of the parts that are left are put in order.
-    """
+    """Exact percentiles without gathering a group in one task."""
     rows = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    size = F.log2(F.abs(value) * F.lit(CELL_UNIT) + 1.0) * F.lit(CELLS_PER_OCTAVE)
+    counted = _counted(rows, keys, value, [])
+    return _ranked(counted, _cells(counted, keys, []), keys, value, percentiles)
+
+
+def _counted(df: DataFrame, keys: list[str], value: str, measures: list[Measure]) -> DataFrame:
+    """A row per group and different value, NULL included: rows with a value, and the parts of the measures."""
+    size = F.log2(F.abs(value) * F.lit(CELL_UNIT) + 1.0) * F.lit(float(CELLS_PER_OCTAVE))
     cell = (F.signum(value) * F.floor(size)).cast("bigint")
-    part = F.floor(F.signum(value) * (size - F.floor(size)) * PARTS).cast("bigint")
-    counted = (
-        rows.withColumns({"cell": cell, "part": part})
-        .groupBy(*keys, "cell", "part", value)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    parts = {name: part.alias(name) for m in measures for name, (part, _) in m.parts().items()}
+    return df.withColumn("cell", cell).groupBy(*keys, "cell", value).agg(F.count(value).alias("n"), *parts.values())
+
+
+def _cells(counted: DataFrame, keys: list[str], measures: list[Measure]) -> DataFrame:
+    """The same per cell of a fixed grid that keeps the order of the values."""
+    parts = {name: together for m in measures for name, (_, together) in m.parts().items()}
+    merged = [getattr(F, together)(name).alias(name) for name, together in parts.items()]
+    return counted.groupBy(*keys, "cell").agg(F.sum("n").alias("n"), *merged)
+
+
+def _ranked(
+    counted: DataFrame, cells: DataFrame, keys: list[str], value: str, percentiles: dict[str, float]
+) -> DataFrame:
+    """The values of the wanted ranks.
+
+    Running sums over the cells of a group show the cells that hold these ranks, a few per group; only the
+    values of those cells are put in order.
+    """
     wanted = {name: (p, f"{name}_low", f"{name}_high") for name, p in percentiles.items()}
 
     def rank(p: float, rounding) -> Column:
@@ -66,30 +85,27 @@ def distributed_percentiles(
     def holds(r: Column) -> Column:
         return (r >= F.col("before")) & (r < F.col("before") + F.col("n"))
 
-    def running(frame: DataFrame, within: list[str], order: str) -> DataFrame:
-        """The rows with `before` moved on by what stands in front of each of them."""
-        ahead = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-        ahead = ahead.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return frame.withColumn("before", F.col("before") + F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+    def ahead(within: list[str], order: str) -> Column:
+        window = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+        before = window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(before), F.lit(0))
 
     any_rank = F.lit(False)
     for p, _, _ in wanted.values():
         any_rank = any_rank | holds(rank(p, F.floor)) | holds(rank(p, F.ceil))
 
     in_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    cells = counted.groupBy(*keys, "cell").agg(F.sum("n").alias("n"))
-    cells = cells.withColumns({"total": F.sum("n").over(in_group), "before": F.lit(0).cast("bigint")})
-    cells = running(cells, keys, "cell").filter(any_rank).drop("n")
-
-    parts = _join_on(counted, cells, [*keys, "cell"]).groupBy(*keys, "cell", "part", "total", "before")
-    parts = running(parts.agg(F.sum("n").alias("n")), [*keys, "cell"], "part").filter(any_rank).drop("n")
+    filled = cells.filter("cell IS NOT NULL").select(*keys, "cell", "n")
+    placed = filled.withColumns({"total": F.sum("n").over(in_group), "before": ahead(keys, "cell")})
+    targets = placed.filter(any_rank).drop("n")
 
-    placed = running(_join_on(counted, parts, [*keys, "cell", "part"]), [*keys, "cell", "part"], value)
+    values = _join_on(_all_columns(counted), targets, [*keys, "cell"])
+    values = values.withColumn("before", F.col("before") + ahead([*keys, "cell"], value))
     ends = []
     for p, low, high in wanted.values():
         ends.append(F.max(F.when(holds(rank(p, F.floor)), F.col(value))).alias(low))
         ends.append(F.max(F.when(holds(rank(p, F.ceil)), F.col(value))).alias(high))
-    read = placed.groupBy(*keys).agg(F.max("total").alias("total"), *ends)
+    read = values.groupBy(*keys).agg(F.max("total").alias("total"), *ends)
 
     def interpolated(p: float, low: str, high: str) -> Column:
         """As Spark's percentile does it, so that both plans give the same bits."""
@@ -100,6 +116,16 @@ def distributed_percentiles(
     return read.select(*keys, *[interpolated(*w).alias(name) for name, w in wanted.items()])
 
 
+def _all_columns(counted: DataFrame) -> DataFrame:
+    """The rows with values, by a condition that reads every column.
+
+    Without it the optimizer would drop the parts that ranks do not need, and evaluate the input a second time
+    for a shuffle that differs by them.
+    """
+    every = F.xxhash64(*counted.columns)
+    return counted.filter(F.col("cell").isNotNull() & (every.bitwiseAND(F.lit(1)) >= 0))
+
+
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on keys that may be NULL; the key columns of the left side remain."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})

@@ -27,9 +27,9 @@ def handoff_summary(closed: DataFrame, in_task: bool = False) -> DataFrame:
     measures = [
         *m.core(),
         *m.handoff_means(),
-        m.share(changes >= 1).alias("handoff_rate"),
-        m.share(changes >= 3).alias("high_handoff_rate"),
-        m.share(F.col("pingpong_transitions") > 0).alias("pingpong_rate"),
+        m.share(changes >= 1, "handoff_rate"),
+        m.share(changes >= 3, "high_handoff_rate"),
+        m.share(F.col("pingpong_transitions") > 0, "pingpong_rate"),
     ]
     return _with_p90(closed, ["variant", "issue_type"], measures, in_task)
 
@@ -49,7 +49,7 @@ def cx_summary(closed: DataFrame, in_task: bool = False) -> DataFrame:
 
 
 def cx_breakdown(closed: DataFrame) -> DataFrame:
-    return closed.groupBy("issue_type", "priority").agg(*m.core(), *_closure_rates())
+    return closed.groupBy("issue_type", "priority").agg(*m.columns(*m.core(), *_closure_rates()))
 
 
 def problem_candidates(closed: DataFrame, in_task: bool = False) -> DataFrame:
@@ -60,8 +60,8 @@ def problem_candidates(closed: DataFrame, in_task: bool = False) -> DataFrame:
         [
             *m.core(),
             *m.outcome_rates(),
-            F.min("short_description_raw").alias("example_description"),
-            F.max("closed_at").alias("last_seen_ts"),
+            m.least("short_description_raw", "example_description"),
+            m.greatest("closed_at", "last_seen_ts"),
         ],
         in_task,
     )
@@ -77,7 +77,7 @@ def _channel_measures():
         *m.outcome_rates(),
         *m.handoff_means(),
         m.rate("has_feedback", "feedback_rate"),
-        (1.0 - m.share(F.col("has_feedback"))).alias("missing_feedback_rate"),
+        m.rest_of(m.rate("has_feedback", "missing_feedback_rate")),
     ]
 
 
@@ -90,25 +90,27 @@ def channel_issue_summary(closed: DataFrame, in_task: bool = False) -> DataFrame
 
 
 def fcr_summary(closed: DataFrame) -> DataFrame:
-    return closed.groupBy("issue_type").agg(
+    measures = [
         *m.core(),
         m.rate("fcr", "fcr_rate"),
         m.rate("reopened", "reopen_rate"),
         m.rate("escalated_to_l2", "l2_escalation_rate"),
         m.rate("escalated_to_l3", "l3_escalation_rate"),
-    )
+    ]
+    return closed.groupBy("issue_type").agg(*m.columns(*measures))
 
 
 def kb_enablement_candidates(closed: DataFrame) -> DataFrame:
     level = F.col("resolution_level")
-    cohorts = closed.groupBy("issue_type").agg(
+    measures = [
         m.cases(),
-        m.share(level == "L1").alias("l1_solved_rate"),
-        m.share(level.isin("L2", "L3")).alias("l2_or_l3_rate"),
+        m.share(level == "L1", "l1_solved_rate"),
+        m.share(level.isin("L2", "L3"), "l2_or_l3_rate"),
         m.rate("escalated_to_l2", "escalation_to_l2_rate"),
         m.rate("reopened", "reopen_rate"),
         m.avg_cycle(),
         m.avg_csat(),
-    )
+    ]
+    cohorts = closed.groupBy("issue_type").agg(*m.columns(*measures))
     burden = F.col("l2_or_l3_rate") + F.col("escalation_to_l2_rate")
     return cohorts.withColumn("enablement_score", F.col("cases") * burden * (F.col("avg_cycle_hours") / 10.0))

@@ -34,8 +34,8 @@ def scope_kpis(scoped: DataFrame, in_task: bool = False) -> DataFrame:
         m.cases(),
         m.met_sla_rate(),
         m.avg_cycle(),
-        m.known_share(F.col("has_reopen")).alias("reopen_rate"),
-        (1.0 - m.known_share(F.col("has_feedback"))).alias("feedback_gap"),
+        m.known_share(F.col("has_reopen"), "reopen_rate"),
+        m.rest_of(m.known_share(F.col("has_feedback"), "feedback_gap")),
     ]
     return summarize(scoped, [], measures, "cycle_hours", {"p90_cycle_hours": 0.9}, in_task)
 
@@ -52,15 +52,15 @@ def _scored(cohorts: DataFrame) -> DataFrame:
 
 def variant_rollup(scoped: DataFrame) -> DataFrame:
     """Cohorts by variant, the heaviest combination of volume, delay and rework first."""
-    cohorts = _cohorts(scoped, "variant").agg(*m.core(), *m.outcome_rates(), *m.handoff_means())
+    cohorts = _cohorts(scoped, "variant").agg(*m.columns(*m.core(), *m.outcome_rates(), *m.handoff_means()))
     return _scored(cohorts).orderBy(F.desc("opportunity_score"), F.desc("cases"), "variant")
 
 
 def group_rollup(scoped: DataFrame, dimension: str) -> DataFrame:
     """Cohorts by any dimension, the largest first."""
-    feedback = m.known_share(F.col("has_feedback")).alias("feedback_rate")
+    feedback = m.known_share(F.col("has_feedback"), "feedback_rate")
     cohorts = _cohorts(scoped, dimension).agg(
-        *m.core(), *m.outcome_rates(), feedback, *m.handoff_means()
+        *m.columns(*m.core(), *m.outcome_rates(), feedback, *m.handoff_means())
     )
     return cohorts.orderBy(F.desc("cases"), dimension)
 
@@ -90,9 +90,7 @@ def action_chart(scoped: DataFrame, rows: int = ACTION_CHART_ROWS) -> DataFrame:
 def leader_briefing(scoped: DataFrame) -> DataFrame:
     """The values behind the briefing, folded from one row per variant."""
     cohorts = _cohorts(scoped, "variant").agg(
-        m.cases(),
-        m.avg_cycle(),
-        *m.outcome_rates(),
+        *m.columns(m.cases(), m.avg_cycle(), *m.outcome_rates()),
         F.sum("cycle_hours").alias("cycle_sum"),
         F.count("cycle_hours").alias("cycle_count"),
         F.sum(F.col("has_feedback").cast("double")).alias("feedback_sum"),

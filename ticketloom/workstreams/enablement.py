@@ -15,17 +15,14 @@ WORKLIST_ROWS = 200
 
 
 def _level_share(level: str):
-    return m.share(F.col("resolution_level") == level).alias(f"{level.lower()}_rate")
+    return m.share(F.col("resolution_level") == level, f"{level.lower()}_rate")
 
 
 def enablement_by_issue(scoped: DataFrame) -> DataFrame:
     """Cohorts by issue type, ranked by slow volume that first contact does not resolve."""
+    levels = [_level_share(level) for level in ("L1", "L2", "L3")]
     cohorts = fill_dimensions(scoped, "issue_type").groupBy("issue_type").agg(
-        *m.core(),
-        m.rate("fcr", "fcr_rate"),
-        _level_share("L1"),
-        _level_share("L2"),
-        _level_share("L3"),
+        *m.columns(*m.core(), m.rate("fcr", "fcr_rate"), *levels)
     )
     load = F.col("cases") * F.coalesce("avg_cycle_hours", F.lit(0.0))
     unresolved = 1.0 - F.coalesce("fcr_rate", F.lit(0.0))
@@ -40,14 +37,14 @@ def prevention_backlog(closed: DataFrame, scope: Scope, rows: int = BACKLOG_ROWS
         "issue_type", "short_description_norm"
     )
     return (
-        themes.agg(m.cases(), m.avg_cycle())
+        themes.agg(*m.columns(m.cases(), m.avg_cycle()))
         .orderBy(F.desc("cases"), F.desc("avg_cycle_hours"), "issue_type", "short_description_norm")
         .limit(rows)
     )
 
 
 def enablement_kpis(scoped: DataFrame) -> DataFrame:
-    return scoped.agg(m.rate("fcr", "fcr_rate"), _level_share("L1"), m.avg_cycle(), m.avg_csat())
+    return scoped.agg(*m.columns(m.rate("fcr", "fcr_rate"), _level_share("L1"), m.avg_cycle(), m.avg_csat()))
 
 
 def low_fcr_worklist(scoped: DataFrame, rows: int = WORKLIST_ROWS) -> DataFrame:

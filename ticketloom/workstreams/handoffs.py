@@ -32,13 +32,14 @@ def _swapped() -> Column:
 def handoff_rollup(scoped: DataFrame) -> DataFrame:
     """Cohorts by issue type; here a high handoff starts at two changes."""
     changes = F.col("resolver_changes")
-    cohorts = fill_dimensions(scoped, "issue_type").groupBy("issue_type").agg(
+    measures = [
         *m.core(),
         *m.handoff_means(),
-        m.share(changes > 0).alias("handoff_rate"),
-        m.share(changes >= 2).alias("high_handoff_rate"),
-        m.share(_swapped()).alias("pingpong_rate"),
-    )
+        m.share(changes > 0, "handoff_rate"),
+        m.share(changes >= 2, "high_handoff_rate"),
+        m.share(_swapped(), "pingpong_rate"),
+    ]
+    cohorts = fill_dimensions(scoped, "issue_type").groupBy("issue_type").agg(*m.columns(*measures))
     return cohorts.orderBy(F.desc("pingpong_rate"), "issue_type")
 
 
@@ -52,8 +53,7 @@ def handoff_table(scoped: DataFrame, rows: int = TABLE_ROWS) -> DataFrame:
 
 def handoff_kpis(scoped: DataFrame) -> DataFrame:
     return scoped.agg(
-        *m.handoff_means(),
-        m.share(_swapped()).alias("pingpong_rate"),
+        *m.columns(*m.handoff_means(), m.share(_swapped(), "pingpong_rate")),
         F.avg(F.when(_swapped(), F.col("cycle_hours"))).alias("pingpong_avg_cycle_hours"),
     )
 

@@ -20,8 +20,8 @@ def intake_channels(scoped: DataFrame) -> DataFrame:
 
 def _channel_issue(scoped: DataFrame) -> DataFrame:
     pairs = fill_dimensions(scoped, "report_channel", "issue_type").groupBy("report_channel", "issue_type")
-    reopen = m.known_share(F.col("has_reopen")).alias("reopen_rate")
-    return pairs.agg(m.cases(), m.avg_cycle(), m.met_sla_rate(), reopen)
+    reopen = m.known_share(F.col("has_reopen"), "reopen_rate")
+    return pairs.agg(*m.columns(m.cases(), m.avg_cycle(), m.met_sla_rate(), reopen))
 
 
 def intake_channel_issue(scoped: DataFrame) -> DataFrame:
@@ -37,9 +37,7 @@ def intake_issue_mix(scoped: DataFrame, rows: int = ISSUE_MIX_ROWS) -> DataFrame
 def intake_kpis(scoped: DataFrame) -> DataFrame:
     return scoped.agg(
         F.count_distinct("report_channel").alias("channels"),
-        m.avg_cycle(),
-        m.met_sla_rate(),
-        (1.0 - m.known_share(F.col("has_feedback"))).alias("missing_feedback_rate"),
+        *m.columns(m.avg_cycle(), m.met_sla_rate(), m.rest_of(m.known_share(F.col("has_feedback"), "missing_feedback_rate"))),
     )
 
 

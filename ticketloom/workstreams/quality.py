@@ -27,20 +27,20 @@ def _reject():
 
 def quality_by_issue(scoped: DataFrame) -> DataFrame:
     cohorts = fill_dimensions(scoped, "issue_type").groupBy("issue_type")
-    return cohorts.agg(*m.core(), _no_feedback(), _fast_reopen(), _reject()).orderBy(
+    return cohorts.agg(*m.columns(*m.core(), _no_feedback(), _fast_reopen(), _reject())).orderBy(
         F.desc("closed_without_feedback_rate"), "issue_type"
     )
 
 
 def quality_by_priority(scoped: DataFrame) -> DataFrame:
     cohorts = fill_dimensions(scoped, "priority").groupBy("priority")
-    return cohorts.agg(m.cases(), _fast_reopen(), _reject(), m.avg_cycle()).orderBy(
+    return cohorts.agg(*m.columns(m.cases(), _fast_reopen(), _reject(), m.avg_cycle())).orderBy(
         F.desc("reopened_within_24h_rate"), "priority"
     )
 
 
 def quality_kpis(scoped: DataFrame) -> DataFrame:
-    return scoped.agg(m.avg_csat(), m.met_sla_rate(), _no_feedback(), _fast_reopen(), _reject())
+    return scoped.agg(*m.columns(m.avg_csat(), m.met_sla_rate(), _no_feedback(), _fast_reopen(), _reject()))
 
 
 def quality_worklist(scoped: DataFrame, rows: int = WORKLIST_ROWS) -> DataFrame:
