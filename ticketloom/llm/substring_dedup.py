@@ -35,6 +35,9 @@ from ticketloom.session import stored
 
 WINDOW = 20
 
+# Spark's setting for dropping the shuffle files of a query when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def _units(documents: DataFrame) -> DataFrame:
     """doc_id, text, and a digest that tells texts of one doc_id apart."""
@@ -42,6 +45,17 @@ def _units(documents: DataFrame) -> DataFrame:
     return documents.select(doc_id, text_column().alias("text"), F.xxhash64("doc_id", "text").alias("unit"))
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The frame stored, and the shuffle files it took dropped at once and not when the driver's memory is cleared."""
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP, None)
+    conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.unset(SHUFFLE_CLEANUP) if before is None else conf.set(SHUFFLE_CLEANUP, before)
+
+
 def _numbers(array: pa.Array) -> np.ndarray:
     return array.to_numpy(zero_copy_only=False)
 
@@ -185,8 +199,8 @@ def without_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < 1:
         raise ValueError("a window has at least one word")
     units = _units(documents)
-    places = stored(shared_symbols(units, window), "shared-symbols")
-    repeats = stored(repeated_windows(units, places, window), "repeated-windows")
+    places = _written(shared_symbols(units, window), "shared-symbols")
+    repeats = _written(repeated_windows(units, places, window), "repeated-windows")
     left, right = units.alias("l"), repeats.alias("r")
     same = F.col("l.unit").eqNullSafe(F.col("r.unit")) & F.col("l.doc_id").eqNullSafe(F.col("r.doc_id"))
     rows = left.join(right, same, "left").select("l.doc_id", "l.text", "r.starts")
