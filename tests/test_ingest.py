@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from event_rows import row
 from ticketloom import EventLogModel, ReferenceData
 from ticketloom.functions.text import WHITE_SPACE, stripped
-from ticketloom.functions.times import parse_timestamp
+from ticketloom.functions.times import parse_timestamp, with_timestamp
 from ticketloom.operators import cases, checks
 from ticketloom.operators.events import event_normalized
 from ticketloom.reference import EVENT_ALIASES
@@ -180,6 +180,8 @@ def test_times(spark):
     swapped = parse_timestamp(F.col("t"), iso_day_first=True).cast("timestamp_ntz")
     found = df.select("t", plain.alias("v"), swapped.alias("w")).collect()
     assert {r.t: r.v for r in found} == dict(TIMES)
+    staged = with_timestamp(df.withColumn("ts", F.col("t")), "ts").select("t", F.col("ts").cast("timestamp_ntz"))
+    assert {r.t: r.ts for r in staged.collect()} == dict(TIMES)
     swapped = {r.t: r.w for r in found}
     assert swapped["2024-01-02 08:00:00"] == datetime(2024, 2, 1, 8)
     assert swapped["2024/03/05 10:00"] == datetime(2024, 5, 3, 10)

@@ -1,6 +1,6 @@
 """Time expressions; the session time zone is UTC."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MICROS_PER_HOUR = 3.6e9
@@ -30,6 +30,10 @@ _CLOCK = r"(?:[T, ]+(\d{1,2})(?::?([0-5]\d)(?::?([0-5]?\d)(?:[.,](\d{1,6})\d*)?)
 _OFFSET = r"[ ]*(?:z|utc|gmt|([+-])(\d{2}):?([0-5]\d)?)?"
 _GRAMMAR = rf"(?i)^{_WEEKDAY}(?:{'|'.join(_DATES)}){_CLOCK}{_OFFSET}$"
 
+# Day, month and year with a clock of 24 hours or none; and what begins like an ISO literal.
+_PLAIN = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?:[T ](\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,6})?)?))?$"
+_ISO = r"^\d{4}-\d{1,2}-\d{1,2}"
+
 # Groups that say the same in different notations stand side by side: at most one of them is not empty.
 _PARTS = {
     "year": "$1$4$11$14$17$18",
@@ -54,12 +58,13 @@ def hours_between(start: Column, end: Column) -> Column:
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(MICROS_PER_HOUR)
 
 
-def _timestamp(parts: Column, iso_day_first: bool) -> Column:
+def timestamp_of_parts(parts: Column, iso_day_first: bool) -> Column:
     """The time that the parts of the grammar describe; NULL where they are none."""
     at = {name: F.get(parts, F.lit(i)) for i, name in enumerate(_PARTS)}
 
     def number(name: str) -> Column:
-        return at[name].try_cast("int")
+        # A failed cast costs far more than a test for an empty text.
+        return F.when(at[name] != "", at[name].try_cast("int"))
 
     def or_zero(name: str) -> Column:
         return F.coalesce(number(name), F.lit(0))
@@ -80,11 +85,12 @@ def _timestamp(parts: Column, iso_day_first: bool) -> Column:
     hour = or_zero("hour")
     half = F.lower(at["half"])
     hour = F.when(half == "", hour).when(hour <= 12, hour % 12 + F.when(half == "p", 12).otherwise(0))
-    fraction = F.when(at["fraction"] != "", F.rpad(at["fraction"], 6, "0")).otherwise("0").try_cast("int")
+    fraction = F.coalesce(F.when(at["fraction"] != "", F.rpad(at["fraction"], 6, "0").try_cast("int")), F.lit(0))
     offset = (or_zero("offset_hours") * 60 + or_zero("offset_minutes")) * F.when(at["sign"] == "-", -1).otherwise(1)
     seconds = (or_zero("second_of_minute") + fraction / F.lit(1_000_000)).cast("decimal(8,6)")
     time = F.try_make_timestamp(full, found_month, found_day, hour, or_zero("minute"), seconds, F.lit("UTC"))
-    return F.timestamp_add("MINUTE", -offset, time)
+    # Most values are written without an offset, and moving a time costs as much as reading it.
+    return F.when(at["sign"] == "", time).otherwise(F.timestamp_add("MINUTE", -offset, time))
 
 
 def parse_timestamp(c: Column, iso_day_first: bool = False) -> Column:
@@ -96,10 +102,39 @@ def parse_timestamp(c: Column, iso_day_first: bool = False) -> Column:
     may follow. Each value is read on its own. A date that begins with a year of four digits reads as
     year-month-day unless iso_day_first asks for year-day-month.
     """
-    template = "|".join(_PARTS.values())
-    parts = F.split(F.regexp_replace(c, F.lit(_GRAMMAR), F.lit(template)), r"\|")
+    usual = usual_timestamp(c, iso_day_first)
     # A lambda's argument is evaluated once, and not once per use.
-    found = F.get(F.transform(F.array(parts), lambda p: _timestamp(p, iso_day_first)), F.lit(0))
-    # Only what the grammar does not know, such as a zone by its region, is tried as an ISO literal.
-    iso = F.when(c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), c.try_cast("timestamp"))
-    return F.coalesce(found, iso)
+    parts = F.array(time_parts(c))
+    found = F.get(F.transform(parts, lambda p: timestamp_of_parts(p, iso_day_first)), F.lit(0))
+    # A zone by the name of its region is read in ISO literals alone.
+    return F.coalesce(usual, found, region_timestamp(c) if iso_day_first else F.lit(None))
+
+
+def with_timestamp(rows: DataFrame, text: str, iso_day_first: bool = False) -> DataFrame:
+    """The rows with the time that a column of stripped text describes in place of that text.
+
+    As `parse_timestamp`, but each step is a column of its own, which later steps read, so that all of it is
+    compiled and only values in unusual notations are taken apart.
+    """
+    c = F.col(text)
+    rows = rows.withColumn("_usual", usual_timestamp(c, iso_day_first))
+    rows = rows.withColumn("_parts", F.when(F.col("_usual").isNull() & (F.length(c) > 0), time_parts(c)))
+    last = region_timestamp(c) if iso_day_first else F.lit(None)
+    time = F.coalesce("_usual", timestamp_of_parts(F.col("_parts"), iso_day_first), last)
+    return rows.withColumn(text, time).drop("_usual", "_parts")
+
+
+def usual_timestamp(c: Column, iso_day_first: bool = False) -> Column:
+    """Values in the two most usual notations, which only change their places and become literals, else NULL."""
+    swapped = [F.regexp_replace(c, F.lit(_PLAIN), F.lit(t)) for t in ("$4-$3-$1 $5", "$4-$1-$3 $5")]
+    plain = F.when(c.rlike(_PLAIN), F.coalesce(*[s.try_cast("timestamp") for s in swapped]))
+    return plain if iso_day_first else F.when(c.rlike(_ISO), c.try_cast("timestamp")).otherwise(plain)
+
+
+def region_timestamp(c: Column) -> Column:
+    return F.when(c.rlike(_ISO), c.try_cast("timestamp"))
+
+
+def time_parts(c: Column) -> Column:
+    """The parts of a written time by the grammar; of a text that is none, the text."""
+    return F.split(F.regexp_replace(c, F.lit(_GRAMMAR), F.lit("|".join(_PARTS.values()))), r"\|")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketloom.functions.text import blank_to_null, stripped
-from ticketloom.functions.times import parse_timestamp
-from ticketloom.schema import CSAT_TYPE, REQUIRED_COLUMNS, TARGET_COLUMNS
+from ticketloom.functions.times import with_timestamp
+from ticketloom.schema import CSAT_TYPE, REQUIRED_COLUMNS, TARGET_COLUMNS, TEXT_COLUMNS
 from ticketloom.session import stored
 from ticketloom.sources.event_store import keyed_events
 
@@ -258,24 +258,19 @@ def cleaned(columns: DataFrame, iso_day_first: bool = False, marks: bool = False
 
     With marks a column score_dropped tells where a written score is no number or out of range.
 
-    The columns come out of inline, so that a filter on them is not pushed below and each cell is
-    cleaned and parsed once instead of once per use.
+    Every column is made in a projection, which is compiled. The columns then come out of inline, so that a filter
+    on them is not pushed below and each cell is cleaned and parsed once instead of once per use.
     """
-
-    def clean(name: str) -> Column:
-        c = F.col(name)
-        if name == "ts":
-            c = parse_timestamp(stripped(c), iso_day_first)
-        elif name == "customer_satisfaction":
-            c = parse_csat(c)
-        else:
-            c = blank_to_null(c)
-        return c.alias(name)
-
     score = F.col("customer_satisfaction")
     dropped = (blank_to_null(score).isNotNull() & parse_csat(score).isNull()).alias("score_dropped")
-    made = [clean(c) for c in TARGET_COLUMNS] + [dropped] * marks
-    return columns.select(F.inline(F.array(F.struct(*made))))
+    made = {
+        **{c: blank_to_null(F.col(c)) for c in TEXT_COLUMNS},
+        "ts": stripped(F.col("ts")),
+        "customer_satisfaction": parse_csat(score),
+    }
+    rows = columns.select(*[made[c].alias(c) for c in TARGET_COLUMNS], *([dropped] if marks else []))
+    rows = with_timestamp(rows, "ts", iso_day_first)
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
 def drop_invalid(clean: DataFrame) -> DataFrame:
