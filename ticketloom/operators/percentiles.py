@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.functions.measures import Measure, columns
 
-# Cells per doubling of the value. A cell of waits of a day spans 57,000 different microseconds, one of waits
+# Cells per doubling of the value. A cell of waits of a day spans fewer than 58,000 different microseconds, one of waits
 # of a year 21 million; and a group with waits from a microsecond to a year has 47 million cells at most. A
 # task puts either in order, and no more, as narrow rows that it can sort on disk.
 CELLS_PER_OCTAVE = 1 << 20
@@ -36,7 +36,7 @@ def summarize(
 
     counted = _counted(df, keys, value, measures)
     cells = _cells(counted, keys, measures)
-    base = cells.groupBy(*keys).agg(*[m.merged() for m in measures])
+    base = _all_columns(cells).groupBy(*keys).agg(*[m.merged() for m in measures])
     ranked = _ranked(counted, cells, keys, value, percentiles)
     if not keys:
         # Two frames of one row each: stack them and fold, rather than pair them.
@@ -95,11 +95,13 @@ def _ranked(
         any_rank = any_rank | holds(rank(p, F.floor)) | holds(rank(p, F.ceil))
 
     in_group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    filled = cells.filter("cell IS NOT NULL").select(*keys, "cell", "n")
+    # Rows without a value have n = 0; a condition on their cell, which is NULL, would go below the aggregation,
+    # whose shuffle would no longer be the one that the measures read.
+    filled = _all_columns(cells).filter("n > 0").select(*keys, "cell", "n")
     placed = filled.withColumns({"total": F.sum("n").over(in_group), "before": ahead(keys, "cell")})
     targets = placed.filter(any_rank).drop("n")
 
-    values = _join_on(_all_columns(counted), targets, [*keys, "cell"])
+    values = _join_on(_all_columns(counted).filter("n > 0"), targets, [*keys, "cell"])
     values = values.withColumn("before", F.col("before") + ahead([*keys, "cell"], value))
     ends = []
     for p, low, high in wanted.values():
@@ -116,14 +118,13 @@ def _ranked(
     return read.select(*keys, *[interpolated(*w).alias(name) for name, w in wanted.items()])
 
 
-def _all_columns(counted: DataFrame) -> DataFrame:
-    """The rows with values, by a condition that reads every column.
+def _all_columns(combined: DataFrame) -> DataFrame:
+    """The same rows, through a condition that holds for each and reads every column.
 
-    Without it the optimizer would drop the parts that ranks do not need, and evaluate the input a second time
-    for a shuffle that differs by them.
+    Without it the optimizer would drop the parts that ranks do not need, and the number that measures do not
+    need, and evaluate the input again for each shuffle that differs by them.
     """
-    every = F.xxhash64(*counted.columns)
-    return counted.filter(F.col("cell").isNotNull() & (every.bitwiseAND(F.lit(1)) >= 0))
+    return combined.filter(F.xxhash64(*combined.columns).bitwiseAND(F.lit(1)) >= 0)
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
