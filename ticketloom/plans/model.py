@@ -114,12 +114,20 @@ class EventLogModel:
 
         It has `sequence` and `closed` and all that is made of them, but neither log nor open cases.
         """
+        stored = (spark.read.parquet(f"{path}/{name}") for name in ("event_seq", "closed_cases"))
+        return cls.of_relations(*stored, reference, in_task)
+
+    @classmethod
+    def of_relations(
+        cls, sequence: DataFrame, closed: DataFrame, reference: ReferenceData | None = None, in_task: bool = False
+    ) -> "EventLogModel":
+        """A model over its two relations, as they were computed before."""
+        spark = sequence.sparkSession
         require_utc(spark)
         model = cls.__new__(cls)
         model.parts, model.in_task = None, in_task
         model.reference = reference or ReferenceData.defaults(spark)
-        model._sequences = [spark.read.parquet(f"{path}/event_seq")]
-        model._closed = [spark.read.parquet(f"{path}/closed_cases")]
+        model._sequences, model._closed = [sequence], [closed]
         return model
 
 

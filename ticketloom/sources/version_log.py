@@ -97,10 +97,13 @@ class Version:
 
 
 class VersionLog:
-    """The versions of a store in one folder, numbered from 1; version 0 is empty."""
+    """The versions of a store in one folder, numbered from 1; version 0 is empty.
 
-    def __init__(self, files: SharedFiles, folder: str):
-        self.files, self.folder = files, folder
+    `kind` says what a version holds: it has a number and `json`, and `of` reads what that gave.
+    """
+
+    def __init__(self, files: SharedFiles, folder: str, kind=Version):
+        self.files, self.folder, self.kind = files, folder, kind
 
     def numbers(self) -> list[int]:
         found = map(_NAME.fullmatch, self.files.names(self.folder))
@@ -109,14 +112,14 @@ class VersionLog:
     def _file(self, number: int) -> str:
         return f"{self.folder}/{number:020d}.json"
 
-    def at(self, number: int) -> Version:
-        return Version.of(number, self.files.text(self._file(number))) if number else Version()
+    def at(self, number: int):
+        return self.kind.of(number, self.files.text(self._file(number))) if number else self.kind()
 
-    def latest(self) -> Version:
+    def latest(self):
         numbers = self.numbers()
         return self.at(numbers[-1] if numbers else 0)
 
-    def publish(self, version: Version) -> None:
+    def publish(self, version) -> None:
         """Makes the version the latest one; VersionTaken if another writer has taken its number."""
         try:
             self.files.publish(self._file(version.number), version.json())
