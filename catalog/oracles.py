@@ -321,6 +321,15 @@ ORACLES["resolve_columns"] = _with(
 )
 ORACLES["clean_text"] = _with(RAW, f"SELECT {', '.join(_TEXT)} FROM tidy", UNTIDY, TIDY)
 ORACLES["parse_ts"] = _with(RAW, "SELECT case_id, event, reporter, resolver, ts FROM tidy", UNTIDY, TIDY)
+ORACLES["parse_ts_notations"] = _with(
+    RAW,
+    """SELECT case_id, event, reporter, resolver,
+  CASE WHEN number % 11 IN (2, 6) THEN date_trunc('day', ts)
+       WHEN number % 11 = 4 THEN ts - INTERVAL 1 HOUR
+       WHEN number % 11 = 8 THEN ts + INTERVAL 210 MINUTE
+       ELSE ts END AS ts
+FROM raw""",
+)
 ORACLES["parse_csat"] = _with(RAW, f"SELECT case_id, event, {CSAT} FROM tidy", UNTIDY, TIDY)
 ORACLES["drop_invalid"] = _with(
     RAW, f"SELECT * REPLACE ({d('customer_satisfaction')}) FROM valid", UNTIDY, TIDY, VALID
@@ -337,6 +346,30 @@ complete AS (
   SELECT * FROM raw
   WHERE variant <> '' AND priority <> '' AND issue_type <> '' AND report_channel <> '')""",
 )
+_COMPLETE = """
+complete AS (
+  SELECT * FROM raw
+  WHERE variant <> '' AND priority <> '' AND issue_type <> '' AND report_channel <> '')"""
+ORACLES["incremental_report"] = _with(
+    RAW,
+    """SELECT (SELECT count(*) FROM raw) AS rows_input, count(*) AS rows_valid, 0::BIGINT AS nulled_scores,
+  (SELECT count(*) FROM raw) - count(*) AS rows_dropped, count(DISTINCT case_id) AS distinct_cases,
+  count(DISTINCT event) AS distinct_events, min(ts) AS min_ts, max(ts) AS max_ts,
+  (SELECT count(*) FROM (SELECT DISTINCT * FROM complete WHERE ts >= TIMESTAMP '1998-07-01')) AS rows_inserted,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM complete WHERE ts >= TIMESTAMP '1998-07-01'))
+    AS rows_duplicate
+FROM complete""",
+    _COMPLETE,
+)
+ORACLES["multiline_export"] = _with(
+    RAW,
+    f"""SELECT case_id, nullif(variant, '') AS variant, priority, reporter, {_ISO} AS ts, event, issue_type,
+  resolver, nullif(report_channel, '') AS report_channel,
+  '"' || short_description || '"' || chr(10) || event AS short_description,
+  CAST(customer_satisfaction AS VARCHAR) AS customer_satisfaction FROM raw""",
+)
+ORACLES["compact_store"] = ORACLES["dedupe_events"]
+ORACLES["earlier_version"] = ORACLES["dedupe_events"] + " WHERE ts < TIMESTAMP '1998-07-01'"
 _STATS = """(SELECT count(*) FROM tidy) AS rows_input, count(*) AS rows_valid,
   (SELECT count(*) FROM untidy WHERE trim(written_csat) <> '' AND score IS NULL) AS nulled_scores,
   (SELECT count(*) FROM tidy) - count(*) AS rows_dropped, count(DISTINCT case_id) AS distinct_cases,
@@ -786,3 +819,39 @@ ORACLES["projection_cases"] = over_closed(f"SELECT {SCOPE_CASE_COLUMNS} FROM clo
 ORACLES["projection_events"] = _with(
     SEQ, f"SELECT {DIMS}, ts, seq, event, next_event, {d('delta_hours')} FROM seq"
 )
+
+# Pages
+
+
+def _page(measures: str, **rollups: tuple) -> str:
+    """Every rollup of a page, one query each."""
+    dimensions = list(dict.fromkeys(d for by in rollups.values() for d in by))
+    parts = []
+    for name, by in rollups.items():
+        shown = [filled(x) if x in by else f"CAST(NULL AS VARCHAR) AS {x}" for x in dimensions]
+        parts.append(f"SELECT {', '.join([f"'{name}' AS rollup", *shown])}, {measures} FROM scoped GROUP BY ALL")
+    return over_scope("\nUNION ALL ".join(parts))
+
+
+_ISSUE, _CHANNEL = ("issue_type",), ("report_channel",)
+ORACLES["page_command"] = _page(f"{_GROUP}, {P90}", all=(), variant=("variant",), issue=_ISSUE, channel=_CHANNEL)
+ORACLES["page_handoffs"] = _page(
+    f"""{CORE}, {CHURN}, {share("distinct_resolvers >= 2", "handoff_rate")},
+  {share("distinct_resolvers >= 3", "high_handoff_rate")}, {share("swapped", "pingpong_rate")}""",
+    all=(),
+    issue=_ISSUE,
+)
+ORACLES["page_quality"] = _page(
+    f"{CORE}, {UNANSWERED}, {WITHIN_24H}, {REJECT}", all=(), issue=_ISSUE, priority=("priority",)
+)
+ORACLES["page_intake"] = _page(_GROUP, all=(), channel=_CHANNEL, channel_issue=_CHANNEL + _ISSUE)
+ORACLES["page_enablement"] = _page(
+    f"{CORE}, {share('fcr', 'fcr_rate')}, {_solved_at('L1')}, {_solved_at('L2')}, {_solved_at('L3')}",
+    all=(),
+    issue=_ISSUE,
+)
+
+# Relations kept up to date
+
+ORACLES["refreshed_sequence"] = ORACLES["event_seq"]
+ORACLES["refreshed_case_sla"] = ORACLES["case_sla"]

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from catalog import inputs
 from catalog.inputs import SCOPE, WIDE_SCOPE, portable
 from ticketloom import EventLogModel
+from ticketloom.functions.times import parse_timestamp
 from ticketloom.operators import cases, checks, events, outcomes, scope, summaries
+from ticketloom.plans.refresh import CaseStore
 from ticketloom.session import scratch_dir
 from ticketloom.sources import event_csv, event_store, export, load
 from ticketloom.streaming.incremental import ingest_new_files
-from ticketloom.workstreams import command, enablement, flow, handoffs, intake, quality
+from ticketloom.workstreams import command, enablement, flow, handoffs, intake, pages, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +69,13 @@ def parse_ts(spark, sf_dir):
     return _clean(spark, sf_dir).select("case_id", "event", "reporter", "resolver", "ts")
 
 
+@_query
+def parse_ts_notations(spark, sf_dir):
+    """The time of every event, written in one of many notations, read back."""
+    rows = inputs.written_times(spark, sf_dir)
+    return rows.select("case_id", "event", "reporter", "resolver", parse_timestamp(F.col("written")).alias("ts"))
+
+
 @_query
 def parse_csat(spark, sf_dir):
     return _clean(spark, sf_dir).select("case_id", "event", "customer_satisfaction")
@@ -146,6 +155,65 @@ def incremental_ingest(spark, sf_dir):
     return store.read()
 
 
+@_query
+def incremental_report(spark, sf_dir):
+    """The report of the second run of the stream, whose files repeat all that the first run stored."""
+    folder, state = scratch_dir(spark, "incoming"), scratch_dir(spark, "stream")
+    store = event_store.EventStore(spark, scratch_dir(spark, "events"))
+    rows = inputs.plain_export(spark, sf_dir)
+    for part in (rows.filter(F.col("timestamp") < inputs.FIRST_LOAD_ENDS), rows):
+        part.write.mode("append").options(header="true", sep=";", escape='"').csv(folder)
+        report = ingest_new_files(spark, folder, store, state)
+    return report.stats()
+
+
+@_query
+def multiline_export(spark, sf_dir):
+    """Every description holds a line break and quotes; files are read in splits, records put together."""
+    folder = scratch_dir(spark, "multiline")
+    rows = inputs.plain_export(spark, sf_dir)
+    told = F.concat_ws("\n", F.concat(F.lit('"'), "summary", F.lit('"')), "event_name")
+    rows.withColumn("summary", told).write.options(header="true", sep=";", escape='"').csv(folder)
+    return event_csv.read_exports(spark, folder)
+
+
+@_query
+def compact_store(spark, sf_dir):
+    """The store after three loads, compaction, and a fourth load that repeats all."""
+    store, batch = _two_loads(spark, sf_dir)
+    store.append_new(batch)
+    store.compact()
+    store.append_new(batch)
+    return store.read()
+
+
+@_query
+def earlier_version(spark, sf_dir):
+    """The store as it was before its second load."""
+    store, batch = _two_loads(spark, sf_dir)
+    store.append_new(batch)
+    return store.read(version=1)
+
+
+def _refreshed(spark, sf_dir):
+    """Relations kept up to date over three batches, of which the second repeats much of the first."""
+    batch = inputs.keyed(spark, sf_dir)
+    store = CaseStore(spark, scratch_dir(spark, "cases"))
+    for start, end in (("1990-01-01", "1996-01-01"), ("1994-01-01", "1998-07-01"), ("1998-07-01", "2010-01-01")):
+        store.refresh(batch.where(f"ts >= TIMESTAMP '{start}' AND ts < TIMESTAMP '{end}'"))
+    return store.model()
+
+
+@_query
+def refreshed_sequence(spark, sf_dir):
+    return _refreshed(spark, sf_dir).sequence
+
+
+@_query
+def refreshed_case_sla(spark, sf_dir):
+    return cases.case_sla(_refreshed(spark, sf_dir).closed)
+
+
 @_query
 def reference_data(spark, sf_dir):
     """The event catalog with the number of logged events of each code."""
@@ -353,6 +421,16 @@ _over_scope("enablement_kpis", enablement.enablement_kpis)
 _over_scope("low_fcr_worklist", enablement.low_fcr_worklist)
 _over_model("problem_worklist", lambda m: enablement.problem_worklist(m.closed, WIDE_SCOPE))
 
+# Pages: all rollups of a page in one pass
+
+
+def _page_query(name: str) -> None:
+    _over_model(f"page_{name}", lambda m: pages.roll_up(inputs.scoped(m), pages.pages()[name], m.in_task))
+
+
+for _name in ("command", "handoffs", "quality", "intake", "enablement"):
+    _page_query(_name)
+
 # Labels and column lists
 
 _over_scope("status_labels", lambda s: scope.status_labels(outcomes.closure_compliance(s)))
