@@ -97,7 +97,11 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
         .groupBy("host", "path")
         .agg(F.min(order).alias("won"))
     )
-    return judged.join(matched, ["host", "path"], "left").select(
+    # All urls without host and path meet one row at most, which is broadcast: their key may be a hot one.
+    nothing = "host = '' AND path = ''"
+    bare = judged.where(nothing).join(F.broadcast(matched.where(nothing)), ["host", "path"], "left")
+    both = judged.where(f"NOT ({nothing})").join(matched, ["host", "path"], "left").unionByName(bare)
+    return both.select(
         "page_id",
         "host",
         "path",
