@@ -69,6 +69,24 @@ def test_large_cases_give_the_same_sequence_and_facts(raw, in_task_rows):
     assert plain.log.count() == 900
 
 
+@pytest.mark.parametrize(
+    "rows, per_slice, tasks, slices",
+    [(4_700_000, 9, 200, 200), (900, 60, 200, 15), (10, 9, 200, 2), (900_000_000, 2_000_000, 200, 450)],
+)
+def test_slices_are_no_more_than_tasks_can_use(rows, per_slice, tasks, slices):
+    assert events.slices_for(rows, per_slice, tasks) == slices
+
+
+def test_small_slices_do_not_multiply_with_the_log(raw):
+    """A low limit marks many cases; their slices are as many as the session has tasks for."""
+    large = model(raw, 1)
+    assert large.parts.large_cases > 100
+    sequence = large._sequences[1]
+    found = [n for f in sequence.inputFiles() if (n := f.rpartition("/")[2]).startswith("part-")]
+    assert len(found) <= 8 and rows_of(sequence) == rows_of(model(raw, 10**6).sequence.join(
+        large.parts.large.select("case_id").distinct(), "case_id").select(*sequence.columns))
+
+
 def test_a_log_without_large_cases_needs_no_second_path(raw):
     m = model(raw, 700)
     assert m.parts.large is None and m.parts.large_cases == 0

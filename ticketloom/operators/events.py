@@ -15,6 +15,9 @@ from ticketloom.session import broadcast_up_to, stored
 
 NEXT_COLUMNS = ["ts", "event", "raw_event_name", "event_code", "event_level"]
 
+# Rows of a slice up to which a task orders it.
+SLICE_ROWS = 2_000_000
+
 
 _LEVEL = "CASE {} END".format(
     " ".join(f"WHEN event_code IN ({', '.join(map(repr, codes))}) THEN '{name}'" for name, codes in LEVEL_CODES.items())
@@ -60,7 +63,12 @@ def sequence_events(normalized: DataFrame) -> DataFrame:
     )
 
 
-def sequence_large_cases(normalized: DataFrame, rows_per_slice: int) -> DataFrame:
+def slices_for(rows: int, rows_per_slice: int, tasks: int) -> int:
+    """Slices of about rows_per_slice rows, but no more than tasks unless slices above SLICE_ROWS would need them."""
+    return max(2, min(math.ceil(rows / rows_per_slice), max(tasks, math.ceil(rows / SLICE_ROWS))))
+
+
+def sequence_large_cases(normalized: DataFrame, rows_per_slice: int, large_cases: int) -> DataFrame:
     """The same relation for cases that are too large for one task.
 
     The events are range-partitioned on (case_id, ts, event_key). That key is unique, so the
@@ -68,7 +76,8 @@ def sequence_large_cases(normalized: DataFrame, rows_per_slice: int) -> DataFram
     because they rest on sampling and both uses below must see the same ones. Each slice is then
     ordered on its own, and one row per slice carries the position and the successor across.
     """
-    slices = max(2, math.ceil(normalized.count() / rows_per_slice))
+    tasks = int(normalized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices_for(normalized.count(), rows_per_slice, tasks)
     ranged = stored(
         normalized.repartitionByRange(slices, "case_id", "ts", "event_key").withColumn(
             "slice", F.spark_partition_id()
@@ -100,9 +109,8 @@ def sequence_large_cases(normalized: DataFrame, rows_per_slice: int) -> DataFram
             F.lead("head").over(across).alias("next_head"),
         )
     )
-    # A row per slice, and one more for each case that begins inside one: at most two per slice, since
-    # every case here fills more than a slice.
-    joined = local.join(broadcast_up_to(edges, 2 * slices), ["case_id", "slice"], "left")
+    # A row per case, and one more for each end of a slice, which cuts one case at most.
+    joined = local.join(broadcast_up_to(edges, large_cases + slices), ["case_id", "slice"], "left")
     return _with_next(
         joined.select(
             *normalized.columns,

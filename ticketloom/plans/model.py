@@ -57,7 +57,7 @@ class EventLogModel:
         rows = events.sequence_events(self._normalized(self.parts.normal))
         found = [rows.select(*events.SEQUENCE_COLUMNS)]
         if self._large is not None:
-            large = events.sequence_large_cases(self._large, self.parts.in_task_rows)
+            large = events.sequence_large_cases(self._large, self.parts.in_task_rows, self.parts.large_cases)
             found.append(large.select(*events.SEQUENCE_COLUMNS))
         return found
 

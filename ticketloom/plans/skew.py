@@ -77,19 +77,12 @@ def _large_case_ids(rows: DataFrame, in_task_rows: int) -> DataFrame | None:
     """
     share = min(1.0, SAMPLED / in_task_rows)
     ids = rows.select("case_id")
-    sampled = ids if share == 1.0 else ids.sample(share, seed=11)
-    candidates = stored(
-        sampled.groupBy("case_id").count().filter(F.col("count") * 2 >= share * in_task_rows).select("case_id"),
-        "candidates",
-    )
-    if candidates.isEmpty():
-        return None
-    found = stored(
-        ids.join(broadcast_up_to(candidates, candidates.count()), "case_id", "left_semi")
-        .groupBy("case_id")
-        .count()
-        .filter(F.col("count") > in_task_rows)
-        .select("case_id"),
-        "large-cases",
-    )
+    if share < 1.0:
+        sampled = ids.sample(share, seed=11).groupBy("case_id").count()
+        candidates = stored(sampled.filter(F.col("count") * 2 >= share * in_task_rows).select("case_id"), "candidates")
+        if candidates.isEmpty():
+            return None
+        ids = ids.join(broadcast_up_to(candidates, candidates.count()), "case_id", "left_semi")
+    counted = ids.groupBy("case_id").count().filter(F.col("count") > in_task_rows)
+    found = stored(counted.select("case_id"), "large-cases")
     return None if found.isEmpty() else found
