@@ -5,6 +5,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from ticketloom.llm import near_duplicates as near
 from ticketloom.llm.bag_min_hash import bands, mixed, signatures
@@ -107,6 +108,20 @@ def test_classes_by_brute_force(spark, monkeypatch, paired, per_node, block):
     assert sorted(map(tuple, near.near_duplicates(documents).collect()), key=repr) == brute_force(rows)
 
 
+def test_a_pair_that_shares_one_crowded_bucket_alone_is_linked(spark, monkeypatch):
+    """Unrelated texts share a bucket; two similar ones share nothing but that bucket."""
+    monkeypatch.setattr(near, "PAIRS_PER_NODE", 0)
+    base = [f"w{i}" for i in range(60)]
+    passage = [f"p{i}" for i in range(20)]
+    texts = [base, [*base[:-1], "x"], *[[*passage, *(f"u{k}x{i}" for i in range(90))] for k in range(40)]]
+    texts = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "node LONG, text STRING")
+    buckets = texts.select(F.lit(7).cast("long").alias("bucket"), "node")
+    none = spark.createDataFrame([], "node LONG, component LONG")
+    opened = near._open_buckets(buckets, none, texts)
+    assert [tuple(r) for r in near._open_pairs(opened).select("a", "b").collect()] == [(1, 0)]
+    assert [r["n"] for r in opened.select("bucket", "n").distinct().collect() if r["n"] > 2] == []
+
+
 def test_query_by_brute_force(spark):
     table = pd.read_parquet(f"{FOLDER}/documents.parquet")
     rows = list(zip(table["doc_id"].tolist(), table["text"].tolist()))

@@ -13,10 +13,10 @@ doc_id in it.
    in its size.
 4. What is left are buckets that hold several components; there all nodes outside the largest component are
    compared with all nodes: in small buckets as pairs, in larger ones block by block, where a task multiplies
-   the 0/1 matrices of its shingles and returns only links that join components. A bucket with more than
-   PAIRS_PER_NODE open pairs per node is first split by further bands (two nodes then meet if they share
-   another band as well, which two texts at 0.8 do except with probability 1e-6; or a third one, 1e-5). So
-   nothing is capped: many unrelated texts that share one frequent passage separate, and links stay.
+   the 0/1 matrices of its shingles and returns only links that join components. The nodes of buckets with more
+   than PAIRS_PER_NODE open pairs per node are dealt anew, by the rarest of their shingles: of n shingles the
+   n - ceil(0.8 n) + 1 that are rarest among these nodes. Two texts at 0.8 share one of those, always. So nothing
+   is capped: many unrelated texts that share one frequent passage separate, and every link of theirs stays.
 5. Components are formed again over all verified links.
 
 No bucket is collected: pairs are made by joins on the bucket, and a block has a bounded size.
@@ -52,8 +52,8 @@ LEAST = (8, 10)
 PAIRED = 32
 # Nodes, and bytes of text, in a block.
 BLOCK_NODES, BLOCK_BYTES = 1_000, 4 << 20
-# Beyond this many open pairs per node a bucket is split by further bands, up to this many bands.
-PAIRS_PER_NODE, MOST_BANDS = 10_000, 3
+# Beyond this many open pairs per node the nodes of a bucket are dealt by their rarest shingles.
+PAIRS_PER_NODE = 10_000
 # Shingles whose counts are multiplied at once.
 COLUMNS = 2_048
 
@@ -150,44 +150,70 @@ def _starred(buckets: DataFrame) -> DataFrame:
     return buckets.join(centres, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def _open_buckets(buckets: DataFrame, component: DataFrame) -> DataFrame:
+def _opened(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, node, component) of buckets that hold several components, with n, crossing and largest."""
+    sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    shape = (
+        sizes.groupBy("bucket")
+        .agg(
+            F.sum("size").alias("n"),
+            F.sum(F.col("size") * F.col("size")).alias("inside"),
+            F.max(F.struct("size", "component")).alias("largest"),
+        )
+        .selectExpr("bucket", "n", "(n * n - inside) DIV 2 AS crossing", "largest.component AS largest")
+        .where("crossing > 0")
+    )
+    return rows.join(shape, "bucket")
+
+
+def _open_buckets(buckets: DataFrame, component: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows (bucket, node, component, n, largest) of buckets that hold several components; n is their size.
 
-    `largest` is the component with most nodes of the bucket. Crowded buckets are split by further bands.
+    `largest` is the component with most nodes of the bucket. Nodes of crowded buckets are in buckets of a rare
+    shingle instead.
     """
+    columns = ["bucket", "node", "component", "n", "largest"]
     rows = buckets.join(component, "node", "left").select(
-        "bucket", "last", "node", F.coalesce("component", "node").alias("component")
+        "bucket", "node", F.coalesce("component", "node").alias("component")
     )
-    found, hot = None, None
-    for used in range(1, MOST_BANDS + 1):
-        sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-        shape = (
-            sizes.groupBy("bucket")
-            .agg(
-                F.sum("size").alias("n"),
-                F.sum(F.col("size") * F.col("size")).alias("inside"),
-                F.max(F.struct("size", "component")).alias("largest"),
-            )
-            .selectExpr("bucket", "n", "(n * n - inside) DIV 2 AS crossing", "largest.component AS largest")
-            .where("crossing > 0")
-        )
-        opened = stored(rows.join(shape, "bucket"), "open")
-        crowded = F.col("crossing") > PAIRS_PER_NODE * F.col("n")
-        many = opened.where(crowded)
-        last = used == MOST_BANDS or many.isEmpty()
-        some = (opened if last else opened.where(~crowded)).select("bucket", "node", "component", "n", "largest")
-        found = some if found is None else found.union(some)
-        if last:
-            return found
-        if hot is None:
-            hot = many.select("node", F.col("bucket").alias("band"), F.col("last").alias("next"))
-        # Bands join a bucket's name in the order of their positions, so that each set of bands occurs once. A
-        # pair that also shares a band whose bucket is not crowded is taken there.
-        rows = (
-            many.join(hot, "node")
-            .where("next > last")
-            .select(F.xxhash64("bucket", "band").alias("bucket"), F.col("next").alias("last"), "node", "component")
-        )
+    opened = stored(_opened(rows), "open")
+    crowded = F.col("crossing") > PAIRS_PER_NODE * F.col("n")
+    many, some = opened.where(crowded), opened.where(~crowded).select(*columns)
+    if many.isEmpty():
+        return some
+    nodes = stored(many.select("node", "component").distinct(), "crowded")
+    rare = stored(_rare_shingles(nodes, texts), "rare")
+    # Many shingles of one passage have the same nodes: one of them is enough.
+    sets = rare.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("nodes"),
+        F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    )
+    chosen = sets.where("nodes > 1").groupBy("nodes", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+    return some.union(_opened(rare.join(chosen, "bucket")).select(*columns))
+
+
+def _rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (bucket, node, component): for each node the rarest shingles of its text, of which any similar text of
+    these nodes shares one. Equal shingles of a text count apart, so similarity is that of two sets."""
+
+    def run(batches):
+        for batch in slices(batches):
+            found = [elements_of(t) for t in batch.column("text").to_pylist()]
+            offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))
+            columns = [batch.column("node"), batch.column("component"), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "component", "shingles"])
+
+    read = texts.join(nodes, "node").select("node", "component", "text")
+    told = stored(read.mapInArrow(run, "node LONG, component LONG, shingles ARRAY<LONG>"), "shingles")
+    each = told.select("node", "component", F.explode("shingles").alias("bucket"))
+    often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))
+    in_order = F.sort_array(F.collect_list(F.struct("often", "bucket")))
+    enough = F.expr(f"int(size(found) - ceil(size(found) * {LEAST[0]} / {LEAST[1]}) + 1)")
+    ranked = each.join(often, "bucket").groupBy("node", "component").agg(in_order.alias("found"))
+    rare = ranked.select("node", "component", F.explode(F.slice("found", F.lit(1), enough)).alias("rare"))
+    return rare.where("rare.often > 1").select("rare.bucket", "node", "component")
 
 
 def _open_pairs(opened: DataFrame) -> DataFrame:
@@ -246,6 +272,14 @@ def _block_links(opened: DataFrame, texts: DataFrame) -> DataFrame:
     return all_side.union(rest_side).groupBy("bucket", "i", "j").applyInArrow(join_components, "a LONG, b LONG")
 
 
+def elements_of(text: str) -> np.ndarray:
+    """One code for each shingle of the text: the k-th of equal ones has a code of its own."""
+    codes, counts = bag_of(text)
+    levels = np.repeat(codes, counts)
+    rank = np.arange(len(levels)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return mixed(levels + rank.astype(np.uint64))
+
+
 def linked(texts: list[str], outside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (text outside, other text) that are similar, as two arrays of places.
 
@@ -253,13 +287,8 @@ def linked(texts: list[str], outside: np.ndarray) -> tuple[np.ndarray, np.ndarra
     two 0/1 rows; elements of one text alone cannot overlap and are left out. Shingles are compared by
     64-bit codes (see `bag_of`).
     """
-    elements, sizes = [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        codes, counts = bag_of(text)
-        levels = np.repeat(codes, counts)
-        rank = np.arange(len(levels)) - np.repeat(np.cumsum(counts) - counts, counts)
-        elements.append(mixed(levels + rank.astype(np.uint64)))
-        sizes[i] = len(levels)
+    elements = [elements_of(text) for text in texts]
+    sizes = np.array([len(found) for found in elements], np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes)
     _, column, often = np.unique(np.concatenate(elements), return_inverse=True, return_counts=True)
     shared = often[column] > 1
@@ -314,15 +343,15 @@ def classes(documents: DataFrame) -> DataFrame:
         "nodes",
     )
     banded = _banded(documents).dropDuplicates(["digest"]).join(nodes.select("digest", "node"), "digest")
-    spread = stored(banded.select("node", F.posexplode("bands").alias("last", "bucket")), "bands")
+    spread = stored(banded.select("node", F.explode("bands").alias("bucket")), "bands")
     shared = spread.groupBy("bucket").count().where("count > 1").select("bucket")
-    buckets = stored(spread.join(shared, "bucket").select("bucket", "last", "node"), "buckets")
+    buckets = stored(spread.join(shared, "bucket").select("bucket", "node"), "buckets")
 
     candidates = nodes.join(buckets.select("node").distinct(), "node")
     texts = stored(_first_rows(documents.select("doc_id", "text"), candidates, "node").select("node", "text"), "texts")
     near = stored(_verified(_starred(buckets), texts), "links")
     component = components(near)
-    opened = stored(_open_buckets(buckets, component), "open")
+    opened = stored(_open_buckets(buckets, component, texts), "open")
     more = stored(_verified(_open_pairs(opened), texts).union(_block_links(opened, texts)), "links")
     if not more.isEmpty():
         component = components(near.union(more))
