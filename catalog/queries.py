@@ -13,7 +13,7 @@ from ticketloom import EventLogModel
 from ticketloom.functions.times import parse_timestamp
 from ticketloom.operators import cases, checks, events, outcomes, scope, summaries
 from ticketloom.plans.refresh import CaseStore
-from ticketloom.session import scratch_dir
+from ticketloom.session import scratch_dir, stored
 from ticketloom.sources import event_csv, event_store, export, load
 from ticketloom.streaming.incremental import ingest_new_files
 from ticketloom.workstreams import command, enablement, flow, handoffs, intake, pages, quality
@@ -97,10 +97,10 @@ def dedupe_events(spark, sf_dir):
 
 
 def _two_loads(spark, sf_dir):
-    """A store that holds the events up to a day, and the whole log as the next batch."""
-    keyed = inputs.keyed(spark, sf_dir)
+    """A store that holds the events up to a day, and the whole log, derived once, as the next batch."""
+    keyed = stored(inputs.keyed(spark, sf_dir), "log")
     store = event_store.EventStore(spark, scratch_dir(spark, "events"))
-    store.replace(keyed.filter(F.col("ts") < F.lit(inputs.FIRST_LOAD_ENDS).cast("timestamp")))
+    store.replace(keyed.filter(F.col("ts") < F.lit(inputs.FIRST_LOAD_ENDS).cast("timestamp")), fixed=True)
     return store, keyed
 
 
@@ -108,15 +108,15 @@ def _two_loads(spark, sf_dir):
 def append_new_events(spark, sf_dir):
     """The whole store after the second load, and after a third that repeats it."""
     store, batch = _two_loads(spark, sf_dir)
-    store.append_new(batch)
-    store.append_new(batch)
+    store.append_new(batch, fixed=True)
+    store.append_new(batch, fixed=True)
     return store.read()
 
 
 @_query
 def replace_load(spark, sf_dir):
     store, batch = _two_loads(spark, sf_dir)
-    store.replace(batch.filter(F.col("ts") >= F.lit(inputs.FIRST_LOAD_ENDS).cast("timestamp")))
+    store.replace(batch.filter(F.col("ts") >= F.lit(inputs.FIRST_LOAD_ENDS).cast("timestamp")), fixed=True)
     return store.read()
 
 
@@ -124,7 +124,7 @@ def replace_load(spark, sf_dir):
 def load_stats(spark, sf_dir):
     """Statistics of a load of the untidy export into a store that holds part of it."""
     store = event_store.EventStore(spark, scratch_dir(spark, "events"))
-    columns = event_csv.target_columns(inputs.export_rows(spark, sf_dir))
+    columns = stored(event_csv.target_columns(inputs.export_rows(spark, sf_dir)), "export")
     earlier = event_csv.events_from_columns(columns)
     store.replace(earlier.filter(F.col("ts") < F.lit(inputs.FIRST_LOAD_ENDS).cast("timestamp")))
     return load.load_columns(store, columns)
@@ -146,7 +146,7 @@ def incremental_ingest(spark, sf_dir):
     """Two runs of the stream over a growing folder whose files have two layouts, then the store."""
     folder, state = scratch_dir(spark, "incoming"), scratch_dir(spark, "stream")
     store = event_store.EventStore(spark, scratch_dir(spark, "events"))
-    rows = inputs.plain_export(spark, sf_dir)
+    rows = stored(inputs.plain_export(spark, sf_dir), "export")
     early = F.col("timestamp") < inputs.FIRST_LOAD_ENDS
     renamed = rows.withColumnRenamed("severity", "Priority").withColumnRenamed("summary", "Short Description")
     for part in (rows.filter(early), renamed.select(*reversed(renamed.columns))):
@@ -160,7 +160,7 @@ def incremental_report(spark, sf_dir):
     """The report of the second run of the stream, whose files repeat all that the first run stored."""
     folder, state = scratch_dir(spark, "incoming"), scratch_dir(spark, "stream")
     store = event_store.EventStore(spark, scratch_dir(spark, "events"))
-    rows = inputs.plain_export(spark, sf_dir)
+    rows = stored(inputs.plain_export(spark, sf_dir), "export")
     for part in (rows.filter(F.col("timestamp") < inputs.FIRST_LOAD_ENDS), rows):
         part.write.mode("append").options(header="true", sep=";", escape='"').csv(folder)
         report = ingest_new_files(spark, folder, store, state)
@@ -181,9 +181,9 @@ def multiline_export(spark, sf_dir):
 def compact_store(spark, sf_dir):
     """The store after three loads, compaction, and a fourth load that repeats all."""
     store, batch = _two_loads(spark, sf_dir)
-    store.append_new(batch)
+    store.append_new(batch, fixed=True)
     store.compact()
-    store.append_new(batch)
+    store.append_new(batch, fixed=True)
     return store.read()
 
 
@@ -191,16 +191,16 @@ def compact_store(spark, sf_dir):
 def earlier_version(spark, sf_dir):
     """The store as it was before its second load."""
     store, batch = _two_loads(spark, sf_dir)
-    store.append_new(batch)
+    store.append_new(batch, fixed=True)
     return store.read(version=1)
 
 
 def _refreshed(spark, sf_dir):
     """Relations kept up to date over three batches, of which the second repeats much of the first."""
-    batch = inputs.keyed(spark, sf_dir)
+    batch = stored(inputs.keyed(spark, sf_dir), "log")
     store = CaseStore(spark, scratch_dir(spark, "cases"))
     for start, end in (("1990-01-01", "1996-01-01"), ("1994-01-01", "1998-07-01"), ("1998-07-01", "2010-01-01")):
-        store.refresh(batch.where(f"ts >= TIMESTAMP '{start}' AND ts < TIMESTAMP '{end}'"))
+        store.refresh(batch.where(f"ts >= TIMESTAMP '{start}' AND ts < TIMESTAMP '{end}'"), fixed=True)
     return store.model()
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from event_rows import row
 from ticketloom.schema import EVENT_COLUMNS, LOG_SCHEMA
 from ticketloom.session import scratch_dir, scratch_scope, stored
+from ticketloom.sources import event_store
 from ticketloom.sources.event_store import EventStore, keyed_events
 from ticketloom.sources.version_log import SharedFiles, Version, VersionLog, VersionTaken
 from ticketloom.streaming.incremental import ingest_new_files, stream_report
@@ -139,6 +140,58 @@ def test_stored_keys_are_not_shuffled(spark, store, batch_of):
     assert "Bucketed: true" in scan
 
 
+def test_a_repeated_load_shuffles_keys_alone(store, batch_of, monkeypatch):
+    """Whole rows are dealt only of months that hold unseen events."""
+    store.append_new(batch_of(*TIMES))
+    dealt, unseen = [], EventStore._unseen
+
+    def watched(self, table, version, batch, months, tasks=None):
+        dealt.append((sorted(batch.columns), months))
+        return unseen(self, table, version, batch, months, tasks)
+
+    monkeypatch.setattr(EventStore, "_unseen", watched)
+    assert store.append_new(batch_of(*TIMES)) == 0
+    assert [columns for columns, _ in dealt] == [["event_key", "event_month"]]
+    assert store.append_new(batch_of(*TIMES, "2024-02-28 08:00", "2024-07-01 08:00")) == 2
+    assert [months for columns, months in dealt if "case_id" in columns] == [["2024-02-01"]]
+    assert len(times_of(store.read())) == 32
+
+
+def test_buckets_fit_the_first_load(spark, batch_of, monkeypatch):
+    """And a replacement's; a load with more rows than its buckets' tasks take is dealt over several tasks a bucket."""
+    monkeypatch.setattr(event_store, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(event_store, "TASK_ROWS", 2)
+    store = EventStore(spark, scratch_dir(spark, "store"), buckets=2)
+    store.append_new(batch_of(*TIMES[:10]))
+    assert store.log.latest().buckets == 4
+    assert store.append_new(batch_of(*TIMES, *TIMES)) == 20 and store.log.latest().buckets == 4
+    assert store.append_new(batch_of(*TIMES)) == 0
+    assert store.compact() == 30 and store.append_new(batch_of(*TIMES)) == 0
+    store.replace(batch_of(*TIMES[:20]))
+    assert store.log.latest().buckets == 7 and store.append_new(batch_of(*TIMES)) == 10
+    assert len(times_of(store.read())) == 30
+
+
+def test_compaction_does_not_shuffle_and_keeps_events_without_a_time(spark, store, batch_of):
+    timeless = batch_of(TIMES[0], case="N").withColumns({"ts": F.lit(None).cast("timestamp"), "event_key": F.lit("none")})
+    store.append_new(batch_of(*TIMES[:10]).unionByName(timeless))
+    store.append_new(batch_of(*TIMES))
+    base = store.log.latest()
+    with store._bucketed(base) as table:
+        plan = event_store.dedupe_events(store._stored(table, base))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    assert store.compact() == 31 and store.read().where("ts IS NULL").count() == 1
+
+
+@pytest.mark.parametrize("load", [EventStore.append_new, EventStore.replace])
+def test_copies_of_one_event_are_dropped_before_they_are_dealt(store, batch_of, monkeypatch, load):
+    monkeypatch.setattr(event_store, "MANY_COPIES", 20)
+    monkeypatch.setattr(event_store, "SAMPLED_COPIES", 20)
+    assert load(store, batch_of(*TIMES[:3], *([TIMES[4]] * 40))) == 4
+    plan = event_store._few_copies(batch_of(*([TIMES[4]] * 40)))._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" in plan
+
+
 HEADER = (
     "incident_number;process_variant;severity;reported_by;timestamp;event_name;category;assigned_to;"
     "channel;summary;csat"

@@ -17,7 +17,7 @@ def load_columns(store: EventStore, columns: DataFrame, iso_day_first: bool = Fa
     require_utc(store.spark)
     rows = stored(cleaned(columns, iso_day_first, marks=True), "load")
     batch = keyed_events(drop_invalid(rows))
-    return load_stats(rows, store.replace(batch) if replace else store.append_new(batch))
+    return load_stats(rows, (store.replace if replace else store.append_new)(batch, fixed=True))
 
 
 def load_exports(

@@ -69,11 +69,13 @@ class SharedFiles:
 
 @dataclass(frozen=True)
 class Load:
-    """What one load added: its folder's name, the months in it, and its rows."""
+    """What one load added: its folder's name, the months in it, its rows, and the buckets it was written in, which
+    the version holds."""
 
     name: str
     rows: int
     months: tuple[str, ...]
+    buckets: int | None = field(default=None, compare=False)
 
 
 @dataclass(frozen=True)

@@ -101,7 +101,7 @@ def _load_batch(batch: DataFrame, number: int, store: EventStore, stream: str, f
         keep("files", _mapping_rows(spark, layouts, delimiter))
         rows = stored(cleaned(read_layouts(spark, layouts, delimiter), marks=True), "load")
         valid = drop_invalid(rows)
-        inserted = store.append_new(keyed_events(valid), (stream, number))
+        inserted = store.append_new(keyed_events(valid), (stream, number), fixed=True)
         keep("cases", valid.select("case_id").distinct())
         keep("events", valid.groupBy("event").agg(F.count(F.lit(1)).alias("events")))
         keep("counts", load_stats(rows, inserted, distinct=False).select(*T.StructType.fromDDL(COUNTS).fieldNames()))
