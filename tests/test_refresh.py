@@ -4,6 +4,7 @@ import pytest
 
 from event_rows import row
 from ticketloom import EventLogModel
+from ticketloom.plans import refresh
 from ticketloom.plans.refresh import CaseStore, Generations
 from ticketloom.schema import LOG_SCHEMA
 from ticketloom.session import scratch_dir
@@ -45,6 +46,25 @@ def test_three_batches_equal_a_full_rebuild(spark, keyed_of, in_task_rows):
     assert rows_of(store.model(1).closed) == rows_of(earlier.closed)
 
 
+def test_a_batch_is_shuffled_once_to_meet_the_stored_keys(spark, keyed_of, monkeypatch):
+    """The exchange that drops copies is the one that the join on the key needs."""
+    plans, keep = [], refresh.stored
+
+    def watched(df, name):
+        if name == "unseen":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(refresh, "stored", watched)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store = CaseStore(spark, scratch_dir(spark, "cases"), groups=5)
+        assert [store.refresh(keyed_of(rows)) for rows in (FIRST, THIRD)] == [12, 3]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans[-1].count("Exchange hashpartitioning(event_key") == 2
+
+
 def test_only_touched_groups_are_read_and_rewritten(spark, keyed_of):
     store = CaseStore(spark, scratch_dir(spark, "cases"), groups=8)
     store.refresh(keyed_of(FIRST))

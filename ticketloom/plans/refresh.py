@@ -75,18 +75,21 @@ class CaseStore:
         sequence, closed = (self._read(at, name, at.folders) for name in ("event_seq", "closed_cases"))
         return EventLogModel.of_relations(sequence, closed, self.reference, in_task)
 
-    def refresh(self, batch: DataFrame) -> int:
+    def refresh(self, batch: DataFrame, fixed: bool = False) -> int:
         """Take the unseen events of a keyed batch in; the number of cases computed anew.
 
-        Another writer in between makes it start again from that one's version.
+        Another writer in between makes it start again from that one's version. The batch is evaluated once,
+        into the shared folder, unless the caller says that its rows are fixed: read from files that stay as
+        they are. Its rows are shuffled once, by key, to drop copies and to meet the stored keys.
         """
+        batch = batch if fixed else stored(batch, "batch")
         while True:
             base = self.log.latest()
             groups = base.groups or self._new_groups
             in_group = F.pmod(F.xxhash64("case_id"), F.lit(groups)).cast("int")
-            new = stored(dedupe_events(batch).withColumn(GROUP, in_group), "batch")
-            named = [r[GROUP] for r in new.select(GROUP).distinct().collect()]
+            named = [r[GROUP] for r in batch.select(in_group.alias(GROUP)).distinct().collect()]
             old = self._read(base, "events", named)
+            new = dedupe_events(batch).withColumn(GROUP, in_group)
             unseen = stored(new.join(old.select("event_key"), "event_key", "left_anti"), "unseen")
             touched = [r[GROUP] for r in unseen.select(GROUP).distinct().collect()]
             if not touched:
