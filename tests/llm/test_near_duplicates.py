@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -138,3 +139,16 @@ def test_components_of_chains_and_stars(spark):
     want = {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 540)} | {8: 8, 9: 8}
     assert {r["node"]: r["component"] for r in found.collect()} == want
     assert components(spark.createDataFrame([], "a LONG, b LONG")).collect() == []
+
+
+def test_a_text_meets_the_rows_of_open_buckets_once(spark):
+    """The blocks are laid out by lengths alone: the text of a bucket's row is read and shuffled once, not per side."""
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(near.PAIRED + 10)]
+    texts = spark.createDataFrame(texts, "node LONG, text STRING")
+    buckets = texts.select(F.lit(7).cast("long").alias("bucket"), "node")
+    none = spark.createDataFrame([], "node LONG, component LONG")
+    opened = near._open_buckets(buckets, none, texts)
+    links = near._block_links(opened, texts)
+    assert links.collect() == []
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Join Inner, \(node#", plan)) == 1

@@ -151,7 +151,7 @@ def _starred(buckets: DataFrame) -> DataFrame:
 
 
 def _opened(rows: DataFrame) -> DataFrame:
-    """Rows (bucket, node, component) of buckets that hold several components, with n, crossing and largest."""
+    """Rows (bucket, node, component, bytes) of buckets that hold several components, with n, crossing and largest."""
     sizes = rows.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
     shape = (
         sizes.groupBy("bucket")
@@ -167,21 +167,23 @@ def _opened(rows: DataFrame) -> DataFrame:
 
 
 def _open_buckets(buckets: DataFrame, component: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (bucket, node, component, n, largest) of buckets that hold several components; n is their size.
+    """Rows (bucket, node, component, bytes, n, largest) of buckets that hold several components; n is their size.
 
-    `largest` is the component with most nodes of the bucket. Nodes of crowded buckets are in buckets of a rare
-    shingle instead.
+    `largest` is the component with most nodes of the bucket, `bytes` the length of the node's text. Nodes of
+    crowded buckets are in buckets of a rare shingle instead.
     """
-    columns = ["bucket", "node", "component", "n", "largest"]
-    rows = buckets.join(component, "node", "left").select(
-        "bucket", "node", F.coalesce("component", "node").alias("component")
+    columns = ["bucket", "node", "component", "bytes", "n", "largest"]
+    lengths = texts.select("node", F.octet_length("text").cast("long").alias("bytes"))
+    known = lengths.join(component, "node", "left")
+    rows = buckets.join(known, "node", "left").select(
+        "bucket", "node", F.coalesce("component", "node").alias("component"), "bytes"
     )
     opened = stored(_opened(rows), "open")
     crowded = F.col("crossing") > PAIRS_PER_NODE * F.col("n")
     many, some = opened.where(crowded), opened.where(~crowded).select(*columns)
     if many.isEmpty():
         return some
-    nodes = stored(many.select("node", "component").distinct(), "crowded")
+    nodes = stored(many.select("node", "component", "bytes").distinct(), "crowded")
     rare = stored(_rare_shingles(nodes, texts), "rare")
     # Many shingles of one passage have the same nodes: one of them is enough.
     sets = rare.groupBy("bucket").agg(
@@ -194,26 +196,27 @@ def _open_buckets(buckets: DataFrame, component: DataFrame, texts: DataFrame) ->
 
 
 def _rare_shingles(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (bucket, node, component): for each node the rarest shingles of its text, of which any similar text of
-    these nodes shares one. Equal shingles of a text count apart, so similarity is that of two sets."""
+    """Rows (bucket, node, component, bytes): for each node the rarest shingles of its text, of which any similar text
+    of these nodes shares one. Equal shingles of a text count apart, so similarity is that of two sets."""
 
     def run(batches):
         for batch in slices(batches):
             found = [elements_of(t) for t in batch.column("text").to_pylist()]
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))
-            columns = [batch.column("node"), batch.column("component"), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "component", "shingles"])
+            columns = [*(batch.column(c) for c in node), lists]
+            yield pa.RecordBatch.from_arrays(columns, [*node, "shingles"])
 
-    read = texts.join(nodes, "node").select("node", "component", "text")
-    told = stored(read.mapInArrow(run, "node LONG, component LONG, shingles ARRAY<LONG>"), "shingles")
-    each = told.select("node", "component", F.explode("shingles").alias("bucket"))
+    node = ["node", "component", "bytes"]
+    read = texts.join(nodes, "node").select(*node, "text")
+    told = stored(read.mapInArrow(run, "node LONG, component LONG, bytes LONG, shingles ARRAY<LONG>"), "shingles")
+    each = told.select(*node, F.explode("shingles").alias("bucket"))
     often = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("often"))
     in_order = F.sort_array(F.collect_list(F.struct("often", "bucket")))
     enough = F.expr(f"int(size(found) - ceil(size(found) * {LEAST[0]} / {LEAST[1]}) + 1)")
-    ranked = each.join(often, "bucket").groupBy("node", "component").agg(in_order.alias("found"))
-    rare = ranked.select("node", "component", F.explode(F.slice("found", F.lit(1), enough)).alias("rare"))
-    return rare.where("rare.often > 1").select("rare.bucket", "node", "component")
+    ranked = each.join(often, "bucket").groupBy(*node).agg(in_order.alias("found"))
+    rare = ranked.select(*node, F.explode(F.slice("found", F.lit(1), enough)).alias("rare"))
+    return rare.where("rare.often > 1").select("rare.bucket", *node)
 
 
 def _open_pairs(opened: DataFrame) -> DataFrame:
@@ -234,33 +237,32 @@ def _block_links(opened: DataFrame, texts: DataFrame) -> DataFrame:
 
     The nodes of a bucket are dealt into blocks. Every block of nodes outside the largest component meets
     every block of all nodes in a task of its own, which finds all similar pairs and returns the links that
-    join components it has not joined yet: fewer than it has nodes.
+    join components it has not joined yet: fewer than it has nodes. Blocks are laid out by lengths alone, so a
+    text meets its rows once, for both sides.
     """
-    rows = opened.where(F.col("n") > PAIRED).join(
-        texts.select("node", "text", F.octet_length("text").cast("long").alias("bytes")), "node"
-    )
+    rows = opened.where(F.col("n") > PAIRED)
+    rest = "CASE WHEN component <> largest THEN {} END"
     sizes = rows.groupBy("bucket").agg(
-        F.sum("bytes").alias("bytes"),
-        F.sum(F.when(F.col("component") != F.col("largest"), F.col("bytes"))).alias("rest_bytes"),
-        F.sum(F.when(F.col("component") != F.col("largest"), 1)).alias("rest"),
+        F.max("n").alias("n"),
+        F.sum("bytes").alias("total"),
+        F.expr(f"sum({rest.format('bytes')})").alias("rest_bytes"),
+        F.expr(f"sum({rest.format('1')})").alias("rest"),
     )
-    by_size = opened.where(F.col("n") > PAIRED).select("bucket", "n").distinct()
-    dealt = by_size.join(sizes, "bucket").selectExpr(
+    dealt = sizes.selectExpr(
         "bucket",
-        f"CAST(greatest(ceil(n / {BLOCK_NODES}), ceil(bytes / {BLOCK_BYTES})) AS INT) AS blocks",
+        f"CAST(greatest(ceil(n / {BLOCK_NODES}), ceil(total / {BLOCK_BYTES})) AS INT) AS blocks",
         f"CAST(greatest(ceil(rest / {BLOCK_NODES}), ceil(rest_bytes / {BLOCK_BYTES})) AS INT) AS rest_blocks",
     )
-    rows = rows.join(dealt, "bucket")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    own_rest = F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest_blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    every_rest = F.sequence(F.lit(0), F.col("rest_blocks") - 1)
-    all_side = rows.select(
-        "bucket", own.alias("i"), F.explode(every_rest).alias("j"), F.lit(False).alias("outside"), "node", "component", "text"
+    placed = rows.join(dealt, "bucket").selectExpr(
+        "*", "int(pmod(xxhash64(node), blocks)) AS own", "int(pmod(xxhash64(node, 1), rest_blocks)) AS own_rest"
     )
-    rest_side = rows.where("component <> largest").select(
-        "bucket", F.explode(every).alias("i"), own_rest.alias("j"), F.lit(True).alias("outside"), "node", "component", "text"
+    both_sides = F.expr(
+        """inline(concat(
+            transform(sequence(0, rest_blocks - 1), x -> struct(own AS i, x AS j, false AS outside)),
+            IF(component <> largest,
+                transform(sequence(0, blocks - 1), x -> struct(x AS i, own_rest AS j, true AS outside)), array())))"""
     )
+    sides = placed.join(texts.select("node", "text"), "node").select("bucket", "node", "component", "text", both_sides)
 
     def join_components(group):
         outside = np.array(group.column("outside").to_pylist(), bool)
@@ -269,7 +271,7 @@ def _block_links(opened: DataFrame, texts: DataFrame) -> DataFrame:
         a, b = joining(found, nodes, labels)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return all_side.union(rest_side).groupBy("bucket", "i", "j").applyInArrow(join_components, "a LONG, b LONG")
+    return sides.groupBy("bucket", "i", "j").applyInArrow(join_components, "a LONG, b LONG")
 
 
 def elements_of(text: str) -> np.ndarray:
