@@ -191,3 +191,13 @@ def test_sequences_have_one_length_and_masks_mark_padding(spark, tmp_path):
 def test_queries_cover_every_document(spark, name):
     ids = pd.read_parquet(f"{FOLDER}/documents.parquet")["doc_id"]
     assert sorted(r["doc_id"] for r in QUERIES[name](spark, FOLDER).collect()) == sorted(ids)
+
+
+def test_token_files_merge_by_the_library(monkeypatch, library):
+    """What the memo of words lacks is merged by the library, to the ids of its own call."""
+    monkeypatch.setattr(word_bpe.Merger, "encode", None)
+    token_files.packed_encoder.cache_clear()
+    encoder = token_files.packed_encoder(WORDS)
+    for text in ["", "Plain words, 12 of them.", "naïve Éclairs don't", "ab" * 300, *strange_texts(300)]:
+        ids = np.frombuffer(encoder.encode(text), f"<{encoder.code}").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids

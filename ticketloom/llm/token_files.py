@@ -49,9 +49,10 @@ class Layout:
 
 @lru_cache(maxsize=2)
 def packed_encoder(tokenizer_file: str) -> Encoder:
-    """One per Python worker, kept between its tasks; ids have 16 bits if the vocabulary fits."""
+    """One per Python worker, kept between its tasks; the library merges what the memo lacks. Ids have 16 bits if the
+    vocabulary fits."""
     known = vocabulary(tokenizer_file)
-    return Encoder(known, code="H" if known.size <= 1 << 16 else "I")
+    return Encoder(known, code="H" if known.size <= 1 << 16 else "I", merge=known.ids_of_token)
 
 
 class SequenceWriter:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 import struct
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -104,14 +105,21 @@ class Merger:
 
 
 class Encoder:
-    """Encodes texts to packed little-endian ids: memo, then lexicon, then merges.
+    """Encodes texts to packed little-endian ids: memo, then lexicon, then merges, by `merge` if given.
 
     `code` is the number format of an id: "i" for 32 bits with sign, "I" or "H" for 32 or 16 without.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None, code: str = "i"):
+    def __init__(
+        self,
+        vocabulary: Vocabulary,
+        lexicon: Lexicon | None = None,
+        code: str = "i",
+        merge: Callable[[str], list[int]] | None = None,
+    ):
         self.vocabulary, self.lexicon, self.code = vocabulary, lexicon, code
-        self.merger = Merger(vocabulary)
+        self.merger = None if merge else Merger(vocabulary)
+        self.merge = merge or self.merger.encode
         self.tokens, self.words = Memo(self._token, MEMO), Memo(self._word, MEMO)
 
     def _packed(self, ids: list[int]) -> bytes:
@@ -119,7 +127,7 @@ class Encoder:
 
     def _token(self, token: str) -> bytes:
         ids = self.lexicon.get(token) if self.lexicon else None
-        return self._packed(self.merger.encode(token) if ids is None else ids)
+        return self._packed(self.merge(token) if ids is None else ids)
 
     def _word(self, word: str) -> bytes:
         return b"".join([self.tokens[t] for t in self.vocabulary.tokens_of_word(word)])

@@ -54,6 +54,7 @@ class Vocabulary:
         self._token = regex.compile(splits[0]["pattern"]["Regex"])
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         self._mapped = byte_letters()
+        self._model = self.library.model
 
     def is_plain(self, text: str) -> bool:
         return PLAIN.fullmatch(text) is not None and not (self.special and self._special.search(text))
@@ -71,6 +72,10 @@ class Vocabulary:
             for t in found
         ]
 
+    def ids_of_token(self, token: str) -> list[int]:
+        """The ids of one pre-token, merged by the library."""
+        return [t.id for t in self._model.tokenize(token)]
+
     def tokens_of_text(self, text: str) -> list[str | int]:
         """The pre-tokens of any text, with the ids of special strings in their places."""
         found, at = [], 0
