@@ -380,12 +380,7 @@ _over_steps("flow_hotspots", flow.flow_hotspots)
 _over_steps("flow_top_paths", flow.flow_top_paths)
 
 
-@_query
-def flow_kpis(spark, sf_dir):
-    m = inputs.model(spark, sf_dir)
-    return flow.flow_kpis(inputs.scoped(m), flow.scoped_steps(m, SCOPE))
-
-
+_over_model("flow_kpis", lambda m: flow.scoped_flow_kpis(m, SCOPE))
 _over_model("flow_worklist", lambda m: flow.flow_worklist(m, SCOPE))
 
 # Handoffs

@@ -188,3 +188,28 @@ def test_stored_model_answers_the_same(model_of, tmp_path):
         columns = sorted(build(m).columns)
         a, b = (sorted(map(str, build(x).select(*columns).collect())) for x in (m, stored))
         assert a == b
+
+
+def _leaves(df):
+    return df._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+
+
+def test_flow_kpis_evaluate_the_model_once(model_of):
+    """Cases without scoped events count for the variants alone; events and cases are derived once each."""
+    m = model_of(
+        *case_rows("C", hours=2, events=["Ticket rejected"]),
+        row("M", "2024-01-10 08:00", CREATED),
+        row("M", "2024-01-10 09:00", "Ticket rejected", variant="Other"),
+        row("M", "2024-01-10 10:00", CLOSED),
+        row("N", "2024-01-31 23:00", CREATED, variant="Other"),
+        row("N", "2024-02-01 01:00", CLOSED),
+        row("N", "2024-02-01 02:00", CLOSED),
+    )
+    for scope in (YEAR, Scope(date(2024, 1, 1), date(2024, 1, 31), variant=["Standard"]), Scope(date(1990, 1, 1), date(1990, 1, 2))):
+        steps = flow.scoped_steps(m, scope)
+        once = flow.scoped_flow_kpis(m, scope)
+        assert once.collect() == flow.flow_kpis(scoping.scope_cases(m.closed, scope), steps).collect()
+        assert _leaves(once) <= _leaves(flow.flow_transitions(steps))
+    january = Scope(date(2024, 1, 1), date(2024, 1, 31), variant=["Standard"])
+    found = flow.scoped_flow_kpis(m, january).first()
+    assert (found.variants, found.avg_steps, found.transitions) == (1, 2.5, 2)

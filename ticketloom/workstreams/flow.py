@@ -63,24 +63,50 @@ def flow_dwell_chart(steps: DataFrame, rows: int = DWELL_CHART_ROWS) -> DataFram
     return flow_dwell(steps).limit(rows).orderBy("avg_dwell_hours", "event")
 
 
-def flow_kpis(scoped: DataFrame, steps: DataFrame) -> DataFrame:
-    """Four numbers from three aggregations of one row each, stacked and folded."""
-    variants = scoped.agg(F.count_distinct("variant").alias("variants"))
-    per_case = steps.groupBy("case_id").agg(_count().alias("n"))
-    avg_steps = per_case.agg(F.avg("n").alias("avg_steps"))
-    edges = steps.groupBy("event", "next_event").agg(
-        F.sum("delta_hours").alias("hours"), F.count("delta_hours").alias("waits")
+def _case_edges(steps: DataFrame) -> DataFrame:
+    """Uses and waiting of each edge in each case, in the partitioning that the events have by case."""
+    return steps.groupBy("case_id", "event", "next_event").agg(
+        _count().alias("n"), F.sum("delta_hours").alias("hours"), F.count("delta_hours").alias("waits")
     )
-    per_event = edges.groupBy("event").agg(
-        F.count("next_event").alias("targets"), (F.sum("hours") / F.nullif(F.sum("waits"), F.lit(0))).alias("dwell")
+
+
+def flow_kpis(scoped: DataFrame, steps: DataFrame) -> DataFrame:
+    """Four numbers of scoped cases and their steps; `scoped_flow_kpis` evaluates a model once for both."""
+    return _kpis(scoped.select("variant").unionByName(_case_edges(steps), allowMissingColumns=True))
+
+
+def scoped_flow_kpis(model: EventLogModel, scope: Scope) -> DataFrame:
+    """The same of a model's scope: cases, also those without steps, meet their edges, and nothing is evaluated twice."""
+
+    def of_part(sequence: DataFrame, closed: DataFrame) -> DataFrame:
+        edges = _case_edges(scope_rows(sequence.select(*SCOPE_EVENT_COLUMNS), scope, "ts"))
+        return scope_cases(closed, scope).select("case_id", "variant").distinct().join(edges, "case_id", "left")
+
+    return _kpis(model.events_with_cases(of_part))
+
+
+def _kpis(rows: DataFrame) -> DataFrame:
+    """From edges within cases, and cases without any: one shuffle, grouped by variant, by case and by edge at once."""
+    sets = rows.groupingSets(
+        [["variant"], ["case_id"], ["event", "next_event"]], "variant", "case_id", "event", "next_event"
+    ).agg(
+        F.grouping_id().alias("by"), F.sum("n").alias("n"), F.sum("hours").alias("hours"), F.sum("waits").alias("waits")
     )
-    graph = per_event.agg(
-        F.coalesce(F.sum("targets"), F.lit(0)).alias("transitions"), F.max("dwell").alias("slowest_dwell_hours")
+    # Each bit is a column that a row is not grouped by.
+    variant, case, edge = (F.col("by") == F.lit(by) for by in (0b0111, 0b1011, 0b1100))
+    per_event = sets.groupBy("by", "event").agg(
+        F.count("variant").alias("variants"),
+        F.sum("n").alias("steps"),
+        F.count("n").alias("cases"),
+        F.count("next_event").alias("targets"),
+        (F.sum("hours") / F.nullif(F.sum("waits"), F.lit(0))).alias("dwell"),
     )
-    stacked = variants.unionByName(avg_steps, allowMissingColumns=True).unionByName(
-        graph, allowMissingColumns=True
+    return per_event.agg(
+        F.coalesce(F.sum(F.when(variant, F.col("variants"))), F.lit(0)).alias("variants"),
+        F.max(F.when(case, F.col("steps") / F.nullif(F.col("cases"), F.lit(0)))).alias("avg_steps"),
+        F.coalesce(F.sum(F.when(edge, F.col("targets"))), F.lit(0)).alias("transitions"),
+        F.max(F.when(edge, F.col("dwell"))).alias("slowest_dwell_hours"),
     )
-    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def flow_hotspots(steps: DataFrame, rows: int = HOTSPOT_ROWS) -> DataFrame:
