@@ -213,3 +213,8 @@ def test_flow_kpis_evaluate_the_model_once(model_of):
     january = Scope(date(2024, 1, 1), date(2024, 1, 31), variant=["Standard"])
     found = flow.scoped_flow_kpis(m, january).first()
     assert (found.variants, found.avg_steps, found.transitions) == (1, 2.5, 2)
+
+
+def test_top_paths_evaluate_the_steps_once(model_of):
+    paths = flow.flow_top_paths(flow.scoped_steps(model_of(*case_rows("C", hours=8)), YEAR))
+    assert "avg(" not in paths._jdf.queryExecution().optimizedPlan().toString()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ticketloom.operators.scope import SCOPE_EVENT_COLUMNS, Scope, scope_cases, scope_detail, scope_rows
 from ticketloom.plans.model import EventLogModel
+from ticketloom.session import stored
 
 # Lengths of the ranked lists.
 DWELL_CHART_ROWS = 10
@@ -144,7 +145,8 @@ def flow_top_paths(steps: DataFrame, rows: int = TOP_PATHS) -> DataFrame:
         .orderBy(F.desc("transition_count"), "from_event", "to_event")
         .limit(rows)
     )
-    # At most `rows` rows from here on.
+    # At most `rows` rows from here on, written because they are read for the edges, sources and targets.
+    ranked = stored(ranked, "paths")
     by_use = Window.orderBy(F.desc("transition_count"), "from_event", "to_event")
     edges = ranked.withColumn("position", F.row_number().over(by_use))
     appearances = F.array(
