@@ -201,3 +201,19 @@ def test_token_files_merge_by_the_library(monkeypatch, library):
     for text in ["", "Plain words, 12 of them.", "naïve Éclairs don't", "ab" * 300, *strange_texts(300)]:
         ids = np.frombuffer(encoder.encode(text), f"<{encoder.code}").tolist()
         assert ids == library.encode(text, add_special_tokens=False).ids
+
+
+def test_plain_texts_of_a_slice_are_encoded_together(monkeypatch, library):
+    """Words with different marks, cases and neighbours cost one merge for each different pre-token of a slice."""
+    encoder = token_files.PackedEncoder(Vocabulary(WORDS))
+    asked = []
+    merge = encoder.vocabulary.ids_of_token
+    monkeypatch.setattr(encoder.vocabulary, "ids_of_token", lambda token: asked.append(token) or merge(token))
+    texts = ["Anble anble, ANBLE.", "'anble' anble's", "", " \n", "anble!'s 's's 'LL'd'x don't 'tis '5 we're'", "1²12½ µªº×÷ÀÉŸŉſ"]
+    texts += ["é İ", "<|endoftext|>'s", "anble x"] + [f"a{chr(c)}b '{chr(c)}s" for c in range(1, 0x180)]
+    found = encoder.encode_all(texts)
+    for text, packed in zip(texts, found):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packed, f"<{encoder.code}").tolist() == want, text
+    assert asked.count("anble") <= 2  # by the plain path once, by the other one once
+    assert encoder.encode_all([]) == []

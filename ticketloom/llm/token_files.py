@@ -1,6 +1,6 @@
 """Operator 10: token ids in Arrow files of fixed-size lists.
 
-Documents in ascending doc_id order are encoded (as the library does, see word_bpe), an end id follows each, and the ids of a file are cut
+Documents in ascending doc_id order are encoded (as the library does, see `PackedEncoder`), an end id follows each, and the ids of a file are cut
 into sequences of one length. A file is in Arrow's random-access format: batches of equally many rows (the
 last one may be shorter) with two fixed-size-list columns, `ids` and `mask`; the mask is false on the
 padding that fills the last sequence. So sequence i lies in batch i // rows at row i % rows, and a mapped
@@ -18,6 +18,7 @@ of the table are not read.
 
 from __future__ import annotations
 
+import struct
 import uuid
 import zlib
 from dataclasses import dataclass
@@ -30,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketloom.llm.batches import slices, text_column
+from ticketloom.llm.batches import Memo, slices, text_column
 from ticketloom.llm.shared_files import create, mapped
-from ticketloom.llm.word_bpe import Encoder, vocabulary
+from ticketloom.llm.word_bpe import MEMO, vocabulary
+from ticketloom.llm.word_splits import Vocabulary, plain_segments
 from ticketloom.session import scratch_dir
 
 MANIFEST = "file STRING, part INT, n_docs LONG, n_ids LONG"
@@ -47,12 +49,59 @@ class Layout:
     end_id: int = 1
 
 
+class PackedEncoder:
+    """Encodes the texts of a slice together; the library merges each pre-token that the memo lacks.
+
+    The pre-tokens of plain texts are found by their bytes, and each different one is looked up once. All other texts
+    take the library's own steps. `code` is the number format of an id: 16 bits if the vocabulary fits, else 32.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.code = "H" if vocabulary.size <= 1 << 16 else "I"
+        self.type = np.dtype(f"<{self.code}")
+        self.segments, self.tokens = Memo(self._segment, MEMO * 3 // 2), Memo(self._token, MEMO // 2)
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _token(self, token: str) -> bytes:
+        return self._packed(self.vocabulary.ids_of_token(token))
+
+    def _segment(self, segment: str) -> bytes:
+        if segment.isspace():
+            return b""
+        return self._token(segment if segment.isascii() else self.vocabulary.mapped(segment))
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        segments, first = plain_segments(texts)
+        found = segments.dictionary_encode()
+        packed = list(map(self.segments.__getitem__, found.dictionary.to_numpy(zero_copy_only=False)))
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // self.type.itemsize
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        known = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), self.type)))
+        ids = known.take(found.indices).flatten().to_numpy().tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes[found.indices.to_numpy()])])[first] * self.type.itemsize
+        return [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
+    def _by_library(self, text: str) -> bytes:
+        parts = self.vocabulary.tokens_of_text(text)
+        return b"".join(self.tokens[p] if isinstance(p, str) else self._packed([p]) for p in parts)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        is_plain = [self.vocabulary.is_plain(t) for t in texts]
+        plain = iter(self._plain([t for t, p in zip(texts, is_plain) if p]))
+        return [next(plain) if p else self._by_library(t) for t, p in zip(texts, is_plain)]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+
 @lru_cache(maxsize=2)
-def packed_encoder(tokenizer_file: str) -> Encoder:
-    """One per Python worker, kept between its tasks; the library merges what the memo lacks. Ids have 16 bits if the
-    vocabulary fits."""
-    known = vocabulary(tokenizer_file)
-    return Encoder(known, code="H" if known.size <= 1 << 16 else "I", merge=known.ids_of_token)
+def packed_encoder(tokenizer_file: str) -> PackedEncoder:
+    """One per Python worker, kept between its tasks."""
+    return PackedEncoder(vocabulary(tokenizer_file))
 
 
 class SequenceWriter:
@@ -108,29 +157,29 @@ def write_token_files(documents: DataFrame, tokenizer_file: str, folder: str, la
 
     def write(batches):
         encoder = packed_encoder(tokenizer_file)
-        id_type = np.dtype(f"<{encoder.code}")
+        id_type = encoder.type
         end = np.array([layout.end_id], id_type).tobytes()
         name = f"{folder}/{uuid.uuid4().hex}"
-        ids = index = stream = None
+        writer = index = stream = None
         n_docs = n_ids = 0
         for batch in slices(batches):
-            packed = [encoder.encode(t) + end for t in batch.column("text").to_pylist()]
+            packed = [ids + end for ids in encoder.encode_all(batch.column("text").to_pylist())]
             sizes = np.array([len(p) // id_type.itemsize for p in packed], np.int64)
             starts = n_ids + np.cumsum(sizes) - sizes
             part = pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(starts), pa.array(sizes)], names=["doc_id", "first", "size"]
             )
-            if ids is None:
-                ids = SequenceWriter(f"{name}.arrow", id_type, layout)
+            if writer is None:
+                writer = SequenceWriter(f"{name}.arrow", id_type, layout)
                 stream = create(f"{name}.index.arrow")
                 index = pa.ipc.new_file(stream, part.schema)
             for p in packed:
-                ids.add(p)
+                writer.add(p)
             index.write_batch(part)
             n_docs += batch.num_rows
             n_ids += int(sizes.sum())
-        if ids is not None:
-            ids.close()
+        if writer is not None:
+            writer.close()
             index.close()
             stream.close()
             part = pa.array([TaskContext.get().partitionId()], pa.int32())

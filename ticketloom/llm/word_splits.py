@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer
 
@@ -25,6 +27,48 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Marks that end many words; the split pattern makes each a pre-token of its own after letters.
 STOPS = ".,;:!?"
 
+# Kinds of the characters of the plain path, as the split pattern tells them apart: white, letter, number, other.
+WHITE, LETTER, NUMBER, OTHER = range(4)
+
+
+def _kind(c: str) -> int:
+    return next((k for k, p in ((WHITE, r"\s"), (LETTER, r"\p{L}"), (NUMBER, r"\p{N}")) if regex.match(p, c)), OTHER)
+
+
+KINDS = np.array([_kind(chr(c)) for c in range(0x180)], np.uint8)
+
+
+def plain_segments(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """The pre-tokens of plain texts, in lower case, and the runs of white space between them, in one array; and the
+    number of the first one of each text, with the end.
+
+    The same split as that of `PATTERN`, by the kinds of neighbouring bytes; a character beyond ASCII has two. Between
+    two texts stands a line end, so that nothing reaches over.
+    """
+    parts = [t.lower().encode() for t in texts]
+    data = np.frombuffer(b"\n".join([*parts, b"\n"]), np.uint8)
+    kind = KINDS[data]
+    wide = np.flatnonzero(data >= 0xC0)
+    kind[wide] = kind[wide + 1] = KINDS[(data[wide].astype(np.int32) & 0x1F) << 6 | data[wide + 1] & 0x3F]
+    begins = np.ones(len(data), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    begins[wide + 1] = False
+    # 's, 't, 'm, 'd, 're, 've and 'll are one, where the match begins with the apostrophe.
+    mark = np.flatnonzero((data == ord("'")) & begins)
+    mark = mark[kind[mark + 1] == LETTER]
+    one, two = data[mark + 1], data[mark + 2]
+    size = np.isin(one, list(b"stmd")).astype(np.int64)
+    for pair in (b"re", b"ve", b"ll"):
+        size[(one == pair[0]) & (two == pair[1])] = 2
+    mark, size = mark[size > 0], size[size > 0]
+    begins[mark + 1] = False
+    begins[(mark + 1 + size)[kind[mark + 1 + size] == LETTER]] = True
+    at = np.flatnonzero(begins).astype(np.int32)
+    offsets = np.append(at, np.int32(len(data)))
+    segments = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
+    starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    return segments, np.searchsorted(at, starts)
+
 
 class Vocabulary:
     """The parts of a tokenizer file: ids, merges, special strings, split pattern."""
@@ -67,10 +111,11 @@ class Vocabulary:
             found = [word[:-1].lower(), word[-1]]
         else:
             found = self._token.findall(word.lower())
-        return [
-            t if t.isascii() else t.encode().decode("latin-1").translate(self._mapped)
-            for t in found
-        ]
+        return [t if t.isascii() else self.mapped(t) for t in found]
+
+    def mapped(self, token: str) -> str:
+        """The letters that stand for the bytes of a pre-token."""
+        return token.encode().decode("latin-1").translate(self._mapped)
 
     def ids_of_token(self, token: str) -> list[int]:
         """The ids of one pre-token, merged by the library."""
