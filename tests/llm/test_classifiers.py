@@ -106,3 +106,20 @@ def test_toxic_words_are_those_beside_different_neighbours():
     fresh = [" ".join(plain(50)), " ".join(plain(50) + ["scoundrel,"] + plain(9))]
     low, high = toxicity.scores(fresh, model)
     assert low < 0.5 <= high
+
+
+def test_the_driver_holds_the_features_of_the_sample_once(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(quality_classifier, "STEPS", 1)
+    texts = ["", " \n", "a"] + [f"word{i} other, words\n" * (150 + i % 7) for i in range(1500)]
+    want = quality_classifier.passages(texts)
+    found = quality_classifier._sample_passages(texts)
+    assert all(np.array_equal(a, b) for a, b in zip(found, want))
+    size = want[0].nbytes
+    del want, found
+    tracemalloc.start()
+    quality_classifier.fitted(Sample(texts, [i % 2 for i in range(len(texts))], 0.5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.7 * size

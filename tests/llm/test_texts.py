@@ -217,3 +217,10 @@ def test_plain_texts_of_a_slice_are_encoded_together(monkeypatch, library):
         assert np.frombuffer(packed, f"<{encoder.code}").tolist() == want, text
     assert asked.count("anble") <= 2  # by the plain path once, by the other one once
     assert encoder.encode_all([]) == []
+
+
+def test_the_driver_keeps_no_encoder_after_the_lexicon(edge):
+    word_bpe.encoder.cache_clear()
+    word_bpe.vocabulary.cache_clear()
+    word_bpe.build_lexicon(edge, WORDS)
+    assert word_bpe.encoder.cache_info().currsize == word_bpe.vocabulary.cache_info().currsize == 0

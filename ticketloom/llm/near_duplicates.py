@@ -356,7 +356,8 @@ def classes(documents: DataFrame) -> DataFrame:
     opened = stored(_open_buckets(buckets, component, texts), "open")
     more = stored(_verified(_open_pairs(opened), texts).union(_block_links(opened, texts)), "links")
     if not more.isEmpty():
-        component = components(near.union(more))
+        # The components so far stand for their links, so few rounds are left.
+        component = components(component.toDF("a", "b").union(more))
     of_class = nodes.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     of_class = stored(of_class, "classes")
     smallest = of_class.groupBy("component").agg(F.min("first_id").alias("class_id"))

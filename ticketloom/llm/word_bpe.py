@@ -162,7 +162,8 @@ def frequent_words(documents: DataFrame, most: int = LEXICON_WORDS) -> DataFrame
 
 def build_lexicon(documents: DataFrame, tokenizer_file: str, most: int = LEXICON_WORDS) -> str:
     """Compiles the frequent words of the documents; the place of the file in the shared folder."""
-    found = encoder(tokenizer_file)
+    # Not the workers' one, which stays: the driver needs it just here.
+    found = Encoder(Vocabulary(tokenizer_file))
     # About `most` words at the most: each takes up at least one part in `most` of all characters.
     words = [r["word"] for r in frequent_words(documents, most).collect()]
     tokens = {t for w in words for t in found.vocabulary.tokens_of_word(w)}
