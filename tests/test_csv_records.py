@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ticketloom.session import stored
+from ticketloom.sources import event_csv
 from ticketloom.sources.event_csv import (
     csv_options,
     file_layouts,
@@ -89,6 +91,51 @@ def test_no_task_takes_a_whole_file(spark, small_splits, tmp_path):
     assert most <= 60
 
 
+def test_lines_stay_where_they_are_read(spark, small_splits, tmp_path, monkeypatch):
+    """No text is shuffled but the pieces of records that reach over a split's end, two per split at most."""
+    made = []
+    monkeypatch.setattr(event_csv, "stored", lambda df, name: made.append((df, stored(df, name))) or made[-1][1])
+    (tmp_path / "a.csv").write_text(written(random.Random(7), 80))
+    lines = file_lines(spark.read.option("lineSep", "\n").text(str(tmp_path)))
+    assert record_lines(lines).count() == 81
+    with_text = [(df, kept) for df, kept in made if {"value", "record"} & set(df.columns)]
+    assert with_text
+    for df, _ in with_text:
+        assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+    pieces = with_text[0][1].where("NOT whole").groupBy("file", "block").count()
+    assert 0 < pieces.agg(F.max("count")).first()[0] <= 2
+
+
+def test_more_splits_than_are_broadcast(spark, small_splits, tmp_path, monkeypatch):
+    """Then lines meet what is known of their split in a shuffle, and are put in order again."""
+    monkeypatch.setattr(event_csv, "BROADCAST_ROWS", 0)
+    rng = random.Random(8)
+    for name in ("a.csv", "b.csv"):
+        (tmp_path / name).write_text(written(rng, 40))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = read_layouts(spark, file_layouts(file_lines(spark.read.text(str(tmp_path))))).toDF(*NAMES)
+        assert sorted(map(tuple, found.collect()), key=str) == whole(spark, tmp_path)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_split_may_come_in_many_batches(spark, tmp_path):
+    """A record that is open at a batch's end goes on in the next one; several small files share a task."""
+    rng = random.Random(9)
+    for name in ("a.csv", "b.csv", "c.csv"):
+        (tmp_path / name).write_text(written(rng, 30))
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "3", "spark.sql.files.minPartitionNum": "1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        found = read_layouts(spark, file_layouts(file_lines(spark.read.text(str(tmp_path))))).toDF(*NAMES)
+        assert sorted(map(tuple, found.collect()), key=str) == whole(spark, tmp_path)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 def test_layouts_mix(spark, tmp_path):
     rng = random.Random(6)
     (tmp_path / "a.csv").write_text(written(rng, 5))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ticketloom.functions.text import blank_to_null, stripped
 from ticketloom.functions.times import with_timestamp
 from ticketloom.schema import CSAT_TYPE, REQUIRED_COLUMNS, TARGET_COLUMNS, TEXT_COLUMNS
-from ticketloom.session import stored
+from ticketloom.session import BROADCAST_ROWS, stored
 from ticketloom.sources.event_store import keyed_events
 
 # Header names accepted for each column besides its own, in order of preference.
@@ -127,55 +127,161 @@ def _ends_inside(delimiter: str, inside: bool) -> str:
     return f'(?s)^(?:{content}$|{content}"{rest}{d}{opened})' if inside else f"(?s)^{opened}"
 
 
+# What is told of each split, and the records, or pieces of them, that a split holds.
+SPLIT_ENDS = "file string, block bigint, from_0 int, from_1 int, begun_0 bigint, begun_1 bigint"
+SPLIT_RECORDS = "file string, block bigint, number bigint, whole boolean, record string"
+
+
 def record_lines(lines: DataFrame, delimiter: str = DELIMITER) -> DataFrame:
     """Records of delimited files, whose cells may hold line breaks: file, number from 1, record.
 
-    A line maps the state before it, inside a quoted cell or not, to the state behind it. Within a split
-    running sums give the state before each line for either state at the split's beginning; the splits of a
-    file, a row each, are put together in the same way. So no task reads more than a split. Only the lines
-    of records of several lines are shuffled once more, by record.
+    `lines` comes from a text source as it is (see `file_lines`), so each task has the lines of its splits in order.
+    A line maps the state before it, inside a quoted cell or not, to the state behind it. A first pass gives, per
+    split, the state behind it and the records begun in it for either state before it; the splits of a file, a row
+    each, are put together by `_states`. A second pass knows the state before each split and puts its records
+    together where they are read. Only the pieces of records that reach over a split's end are shuffled.
     """
     from_outside, from_inside = (
         F.col("value").rlike(_ends_inside(delimiter, inside)).cast("int") for inside in (False, True)
     )
-    numbered = lines.withColumn("line", F.monotonically_increasing_id())
-    numbered = numbered.withColumns({"from_0": from_outside, "from_1": from_inside})
+    told = lines.withColumns({"from_0": from_outside, "from_1": from_inside})
     split = ["file", "block"]
-    states = _states(numbered, split, "line")
-    in_split = Window.partitionBy(*split).orderBy("line")
-    # Lines that begin a record, so far in the split.
-    begun = {f"begun_{s}": F.sum((F.col(f"before_{s}") == 0).cast("int")).over(in_split) for s in (0, 1)}
-    # One evaluation: the splits' own rows and all lines come from it.
-    told = stored(states.withColumns(begun).withColumn("last", F.lead("line").over(in_split).isNull()), "lines")
-
-    ends = told.where("last").select(
-        *split,
-        *[F.when(F.col(f"before_{s}") == 0, F.col("from_0")).otherwise(F.col("from_1")).alias(f"to_{s}") for s in (0, 1)],
-        "begun_0",
-        "begun_1",
-    )
-    ends = _states(ends.withColumnsRenamed({"to_0": "from_0", "to_1": "from_1"}), ["file"], "block")
+    split_ends, split_records = _split_passes()
+
+    ends = _states(told.select(*split, "from_0", "from_1").mapInArrow(split_ends, SPLIT_ENDS), ["file"], "block")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     begun_here = F.when(F.col("before_0") == 0, F.col("begun_0")).otherwise(F.col("begun_1"))
-    ends = ends.select(
-        *split,
-        F.col("before_0").alias("state"),
-        F.coalesce(F.sum(begun_here).over(before), F.lit(0)).alias("records_before"),
-    )
-    placed = told.join(ends, split)
-    outside = F.col("state") == 0
-    state = F.when(outside, F.col("before_0")).otherwise(F.col("before_1"))
-    number = F.when(outside, F.col("begun_0")).otherwise(F.col("begun_1")) + F.col("records_before")
-    placed = placed.select("file", "block", "line", "value", state.alias("state"), number.alias("number"), "from_0")
-    whole = (F.col("state") == 0) & (F.col("from_0") == 0)
-    alone = placed.where(whole).select("file", "number", F.col("value").alias("record"))
-    in_order = F.array_sort(F.collect_list(F.struct("block", "line", "value")))
-    longer = placed.where(~whole).groupBy("file", "number").agg(in_order.alias("lines"))
-    longer = longer.select("file", "number", F.array_join("lines.value", "\n").alias("record"))
-    both = alone.unionByName(longer)
+    records_before = F.coalesce(F.sum(begun_here).over(before), F.lit(0)).alias("records_before")
+    ends = stored(ends.select(*split, F.col("before_0").alias("state"), records_before), "splits")
+
+    splits = ends.count()
+    columns = [*split, "value", "from_0", "from_1", "state", "records_before"]
+    if splits <= BROADCAST_ROWS:
+        placed = told.join(F.broadcast(ends), split).select(*columns)
+    else:
+        numbered = told.withColumn("line", F.monotonically_increasing_id())
+        placed = numbered.join(ends, split).sortWithinPartitions(*split, "line").select(*columns)
+    # One evaluation: whole records and pieces come from it.
+    found = stored(placed.mapInArrow(split_records, SPLIT_RECORDS), "records")
+    in_order = F.array_sort(F.collect_list(F.struct("block", "record")))
+    longer = found.where("NOT whole").groupBy("file", "number").agg(in_order.alias("pieces"))
+    longer = longer.select("file", "number", F.array_join("pieces.record", "\n").alias("record"))
+    both = found.where("whole").select("file", "number", "record").unionByName(longer)
     return both.withColumn("record", F.regexp_replace("record", "\r$", "")).where("record <> ''")
 
 
+def _split_passes():
+    """The two passes over the lines of splits, which stand in order, for mapInArrow.
+
+    Both functions hold all they use, so that workers need not import this package.
+    """
+
+    def runs(batches):
+        """The rows of a batch that are of one split, and whether that split begins with them."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            file, block = batch.column("file"), batch.column("block")
+            other = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(block[1:], block[:-1]))
+            cuts = [0, *(np.flatnonzero(other.to_numpy(zero_copy_only=False)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts, cuts[1:]):
+                rows = batch.slice(start, end - start)
+                split = (rows.column("file")[0].as_py(), rows.column("block")[0].as_py())
+                yield split, split != last, rows
+                last = split
+
+    def states(rows, state):
+        """The state before each row, and behind the last, if it is `state` before the first."""
+        import numpy as np
+
+        from_0, from_1 = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("from_0", "from_1"))
+        turns = np.concatenate(([0], np.cumsum(from_0 > from_1)))
+        # The last row before that maps both states to one.
+        forgets = np.where(from_0 == from_1, np.arange(len(from_0)), -1)
+        known = np.concatenate(([-1], np.maximum.accumulate(forgets)))
+        since = np.where(known < 0, state + turns, from_0[known] + turns - turns[known + 1]) % 2
+        return since[:-1], int(since[-1])
+
+    def split_ends(batches):
+        import pyarrow as pa
+
+        names = ["file", "block", "from_0", "from_1", "begun_0", "begun_1"]
+        types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+
+        def row(split, ends, begun):
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([*split, *ends, *begun], types)], names)
+
+        of = None
+        for split, first, rows in runs(batches):
+            if first:
+                if of:
+                    yield row(of, ends, begun)
+                of, ends, begun = split, [0, 1], [0, 0]
+            for s in (0, 1):
+                before, ends[s] = states(rows, ends[s])
+                begun[s] += int((before == 0).sum())
+        if of:
+            yield row(of, ends, begun)
+
+    def split_records(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names = ["file", "block", "number", "whole", "record"]
+
+        def out(split, numbers, whole, records):
+            n = len(records)
+            same = [pa.repeat(pa.scalar(v, t), n) for v, t in zip(split, (pa.string(), pa.int64()))]
+            numbers = pa.array(numbers, pa.int64())
+            return pa.RecordBatch.from_arrays([*same, numbers, pa.repeat(pa.scalar(whole), n), records], names)
+
+        def joined(values, bounds):
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values)
+            return pc.binary_join(lists, "\n").cast(pa.string())
+
+        def put_together(lines):
+            return pa.array(["\n".join(lines)], pa.string())
+
+        # The lines of the record that is open, the number of the last record begun, and whether that began in the split.
+        of, opened, number, here = None, [], 0, True
+        for split, first, rows in runs(batches):
+            if first:
+                if opened:
+                    yield out(of, [number], False, put_together(opened))
+                of, opened, here = split, [], False
+                state, number = rows.column("state")[0].as_py(), rows.column("records_before")[0].as_py()
+            values = rows.column("value")
+            before, state = states(rows, state)
+            begins = np.flatnonzero(before == 0)
+            until = int(begins[0]) if len(begins) else len(values)
+            opened += values.slice(0, until).to_pylist()
+            if not len(begins):
+                if not state:
+                    yield out(of, [number], here, put_together(opened))
+                    opened = []
+                continue
+            if opened:
+                yield out(of, [number], here, put_together(opened))
+            opened, here = [], True
+            bounds = np.append(begins, len(values))
+            if state:
+                opened = values.slice(int(bounds[-2])).to_pylist()
+                bounds = bounds[:-1]
+            if len(bounds) > 1:
+                numbers = number + 1 + np.arange(len(bounds) - 1)
+                yield out(of, numbers, True, joined(values, bounds))
+            number += len(begins)
+        if opened:
+            yield out(of, [number], False, put_together(opened))
+
+    return split_ends, split_records
+
+
 def _states(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """before_0 and before_1: the state before each row, if it is 0 or 1 before the first row of the keys.
 
