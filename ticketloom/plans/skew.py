@@ -53,7 +53,7 @@ def split_log(
     that partitioning. `large_to_events` gets the rows of the large cases and their ids, so that it can
     add what it knows per case without gathering the rows of one; copies are dropped on the map side.
     """
-    ids = _large_case_ids(rows, in_task_rows)
+    ids = large_case_ids(rows, in_task_rows)
     drop_in_case = (lambda events: events) if unique else unique_in_case
     drop_anywhere = (lambda events: events) if unique else dedupe_events
 
@@ -68,7 +68,7 @@ def split_log(
     return LogParts(normal, large, in_task_rows, count)
 
 
-def _large_case_ids(rows: DataFrame, in_task_rows: int) -> DataFrame | None:
+def large_case_ids(rows: DataFrame, in_task_rows: int) -> DataFrame | None:
     """Ids of the cases with more rows than one task should sort, or None without any.
 
     A sample of case_id alone names the candidates, of which there are fewer than two per in_task_rows
