@@ -74,10 +74,12 @@ def case_facts(normalized: DataFrame) -> DataFrame:
     aggregates.
     """
     in_variant = "OVER (PARTITION BY case_id, variant)"
+    # The order within the case first: it serves what is taken over the whole case.
     rows = normalized.selectExpr(
+        "*", "lead(event_level) OVER (PARTITION BY case_id ORDER BY ts, event_key) AS next_event_level"
+    ).selectExpr(
         "*",
         f"max(CASE WHEN {_listed(CLOSED)} THEN ts END) OVER (PARTITION BY case_id) AS last_close",
-        "lead(event_level) OVER (PARTITION BY case_id ORDER BY ts, event_key) AS next_event_level",
         _variant_rank(f"count(1) {in_variant}", f"unix_micros(max(ts) {in_variant})") + " AS variant_rank",
     )
     in_case = {

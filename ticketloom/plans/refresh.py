@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 
@@ -264,9 +264,7 @@ class CaseStore:
             self.files.delete(self._path(EVENTS, _again(name)))
             rows = sum(self._files(relation, {name: groups}).count() for relation, groups in new.items() if groups)
             hidden_now = {name: sum(layer.taken_over_cases for layer in layers)} if hidden else {}
-        folders = {
-            g: (*base.folders.get(g, ()), *of) for g, of in self._layer_of(name).items()
-        }
+        folders = {g: (*base.folders.get(g, ()), *of) for g, of in self._layer_of(name).items()}
         after = replace(
             base,
             number=base.number + 1,
@@ -341,18 +339,21 @@ class CaseStore:
         """
         rows = rows.withColumn(GROUP, self._in_group(at))
         rows = rows.hint("rebalance", GROUP) if even else rows
-        with self._as_they_lie(at):
+        with nullcontext() if even else self._as_they_lie(at):
             rows.write.mode("append").partitionBy(GROUP).parquet(self._path(relation, name), compression=CODEC)
 
     @contextmanager
     def _as_they_lie(self, at: Generations):
         """Writes in the order of the rows, a file of each group at a time; joins take buckets by case for keys.
 
-        Spark would sort rows by group before it writes them, and deal both sides of a join on case and key anew.
+        Spark would sort rows by group before it writes them, deal both sides of a join on case and key anew, and
+        sort the parts of aggregates.
         """
         settings = {
             "spark.sql.maxConcurrentOutputFileWriters": str(at.groups if at.groups <= FILES_AT_ONCE else 0),
             "spark.sql.requireAllClusterKeysForCoPartition": "false",
+            # The facts of a case are aggregated in the order that they come in.
+            "spark.sql.execution.useObjectHashAggregateExec": "false",
         }
         before = {name: self.spark.conf.get(name) for name in settings}
         for name, value in settings.items():
